@@ -23,7 +23,7 @@ PUBLIC_TYPES = [
 SENSITIVE_NAME = r"(?i)身份证|证件|财务|财报|审[计记]|资产负债|利润表|现金流|银行|账号|保密|涉密|id.?card"
 EXPLICIT_INSPECTION = r"(?i)检验检测机构资质|检验检测资质|资质认定证书|CMA|实验室认可|计量认证|检定校准"
 CANONICAL_LICENSE_SLOTS = ["营业执照副本图片", "营业执照"]
-TRANSPORT_WORDS = r"道路运输|无船承运"
+TRANSPORT_WORDS = ["道路运输", "无船承运"]
 
 SLOT_TYPES = {
     "营业执照副本图片": "business_license",
@@ -101,20 +101,22 @@ ISO_SLOT_TYPES = {
     "职业健康安全管理体系认证证书": "iso45001",
     "健康安全管理体系认证证书": "iso45001",
 }
-ISO_SLOT_SUFFIX = r"(?:图片|扫描件|复印件)$"
+ISO_SLOT_SUFFIXES = ["图片", "扫描件", "复印件"]
 ISO14001_STEMS = ["环境管理", "环境管理体系", "环境管理体系证书", "环境管理体系认证证书"]
 # words of a slot name -> the ISO number it stands for, first match wins
 ISO_SLOT_WORDS = [("质量管理", "9001"), ("环境管理", "14001"), ("健康安全|职业健康", "45001")]
 
-PERFORMANCE_VETO = r"无需|未提交|未提供|空白|模板|样本"
-PERFORMANCE_DIRECT = (
-    r"业绩|履约证明|运输(?:服务)?合同|承运合同|物流(?:服务)?合同|"
-    r"(?:委托|货运|运输)代理合同|中标通知书|客户评价"
-)
+PERFORMANCE_VETO = ["无需", "未提交", "未提供", "空白", "模板", "样本"]
+PERFORMANCE_DIRECT = [
+    "业绩", "履约证明", "运输合同", "运输服务合同", "承运合同", "物流合同", "物流服务合同",
+    "委托代理合同", "货运代理合同", "运输代理合同", "中标通知书", "客户评价",
+]
 PERFORMANCE_SLOT = "合作业绩证明"
-PERFORMANCE_PLAUSIBLE = r"合同|协议|业绩|履约|中标|订单|客户评价"
+PERFORMANCE_PLAUSIBLE = ["合同", "协议", "业绩", "履约", "中标", "订单", "客户评价"]
 
-FINANCIAL_TITLE = r"财务报表|财务报告|财报|审[计记]报告|资产负债表|利润表|现金流量表"
+FINANCIAL_TITLE = [
+    "财务报表", "财务报告", "财报", "审计报告", "审记报告", "资产负债表", "利润表", "现金流量表",
+]
 TITLE_YEAR = r"(?<!\d)(20\d{2})(?!\d)"
 PERIOD_KEYS = ["报告期", "报告年度", "ReportDate"]
 

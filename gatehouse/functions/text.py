@@ -45,9 +45,16 @@ def blank(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+_SPACES = "".join(chr(c) for c in [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+    0x202F, 0x205F, 0x3000])
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_NARROW = "".join(chr(0x21 + i) for i in range(94))
+
+
 def squeeze(col: Column) -> Column:
     """Drop every kind of white space."""
-    return swap(blank(col), r"\s+", "")
+    return F.translate(blank(col), _SPACES, "")
 
 
 def trim(col: Column) -> Column:
@@ -148,3 +155,8 @@ def numbered(items: Column, indent: str = "  ", gap: str = ". ", start: Column |
 
 def shown(col: Column, length: int = 30) -> Column:
     return F.when(F.length(col) > length, F.concat(F.substring(col, 1, length), F.lit("…"))).otherwise(col)
+
+
+def title_of(label: Column) -> Column:
+    """The part before the first slash."""
+    return trim(F.split(label, "/")[0])

@@ -118,12 +118,12 @@ def _verify_text(rule: Rule, status: Column, detail: Column) -> Column:
     return F.lit(None).cast("string")
 
 
-def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str,
+def checklist_items(suppliers: DataFrame, rules: list[Rule], as_of: str,
                     keep: list[str] | None = None) -> DataFrame:
-    """K1-K3 over routed suppliers (columns of the profile plus rule_sets, dropped_rules,
-    financial_submitted, financial_years, performance_files, transport_files).
+    """K1-K3 over routed suppliers (the profile plus rule_sets, dropped_rules, financial_submitted,
+    financial_years, performance_files, transport_files): `items`, one array per request.
 
-    `role` says how the item entered: auto (hard rule failed), missing (material
+    `role` says how a failed item counts: auto (hard rule), missing (material
     lacking) or neither; `verify` is the point to verify, if any.
     """
     day = F.lit(as_of).cast("date")
@@ -133,9 +133,9 @@ def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str,
         if rule.check_type in ("skip", ""):
             continue
         status, detail = _item(rule, day)
-        failed = status == "fail"
         role = ("auto" if rule.check_type == "auto"
                 else "missing" if rule.id in ("A08", "E1", "E2") or rule.check_type == "material" else None)
+        files = {"E1": "transport_files", "E2": "performance_files"}.get(rule.id)
         items.append(F.when(applies(rule), F.struct(
             F.lit(rule.id).alias("rule_id"),
             rule_position(rule, rules).cast("int").alias("position"),
@@ -145,15 +145,17 @@ def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str,
             F.lit(rule.requirement or f"{rule.id} {rule.name}").alias("requirement"),
             status.alias("status"),
             detail.alias("detail"),
-            F.when(failed, F.lit(role).cast("string")).alias("role"),
+            F.when(status == "fail", F.lit(role).cast("string")).alias("role"),
             _verify_text(rule, status, detail).alias("verify"),
-            (F.col("performance_files").isNotNull() if rule.id == "E2" else
-             F.col("transport_files").isNotNull() if rule.id == "E1" else
-             F.lit(False)).alias("has_files"),
+            (F.col(files).isNotNull() if files else F.lit(False)).alias("has_files"),
         )))
-    keep = ["todo_id"] if keep is None else keep
-    exploded = judged.select(*keep, F.explode(F.array_compact(F.array(*items))).alias("item"))
-    return exploded.select(*keep, "item.*")
+    return judged.select(*(keep or ["todo_id"]), F.array_compact(F.array(*items)).alias("items"))
+
+
+def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str) -> DataFrame:
+    """The checklist in long form, one row per (request, rule)."""
+    return checklist_items(suppliers, rules, as_of).select(
+        "todo_id", F.explode("items").alias("item")).select("todo_id", "item.*")
 
 
 def verify_items(checklist: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ expression per row: no join, no row blow-up, and any number of matches.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import (
-    blank, drop_number_prefix, file_stem, fold_width, has, has_any, or_null, squeeze, swap,
+    blank, drop_number_prefix, file_stem, fold_squeeze, fold_width, has, has_any, or_null,
 )
 
 EMPTY_TYPES = "array<string>"
@@ -73,14 +75,18 @@ def upload_text() -> Column:
     return F.concat_ws(" ", *[blank(F.col(c)) for c in ("file_name", "file_desc", "file_summ")])
 
 
+def _slot_forms(slot: str) -> list[str]:
+    return [slot + suffix for suffix in ["", *fixed.ISO_SLOT_SUFFIXES]]
+
+
 def iso_candidates(file_name: Column, type_name: Column) -> Column:
     """ISO numbers in the name, else the slot or a known stem."""
     name = fold_width(blank(file_name))
-    slot = swap(squeeze(fold_width(blank(type_name))), fixed.ISO_SLOT_SUFFIX, "")
+    slot = fold_squeeze(type_name)
     numbers = _set(*[F.when(name.contains(code), F.lit("iso" + code)) for code in fixed.ISO_CODES])
     stem = drop_number_prefix(file_stem(name))
     others = _set(
-        *[F.when(slot == words, F.lit(kind)) for words, kind in fixed.ISO_SLOT_TYPES.items()],
+        *[F.when(slot.isin(_slot_forms(words)), F.lit(kind)) for words, kind in fixed.ISO_SLOT_TYPES.items()],
         F.when(stem.isin(fixed.ISO14001_STEMS), F.lit("iso14001")),
     )
     return F.when(F.size(numbers) > 0, numbers).otherwise(others)
@@ -101,55 +107,155 @@ def resolve_types(types: Column, metadata: Column) -> Column:
     return F.when(marked_only, F.array_remove(types, "inspection_cert")).otherwise(types)
 
 
+TYPES = sorted(set(fixed.SLOT_TYPES.values()) | {kind for _, kind in fixed.KEYWORD_TYPES})
+
+
+def flag(kind: str) -> str:
+    return f"is_{kind}"
+
+
+def listed(flags: dict[str, Column]) -> Column:
+    """The names whose flag is set, in the order given (no lambda, so it stays in generated code)."""
+    text = F.concat_ws(",", *[F.when(column, F.lit(name)) for name, column in flags.items()])
+    return F.when(text == "", _none()).otherwise(F.split(text, ","))
+
+
+def with_type_flags(mats: DataFrame, slots: dict[str, str] | None = None,
+                    keywords: list[tuple[str, str]] | None = None) -> DataFrame:
+    """C1-C5 as one boolean column per material type, plus `slot_code` and `name_code` of a clash.
+
+    Texts are normalised once in a step of their own; what follows are plain
+    comparisons in generated code.
+    """
+    slots = fixed.SLOT_TYPES if slots is None else slots
+    keywords = fixed.KEYWORD_TYPES if keywords is None else keywords
+    name, slot = blank(F.col("file_name")), blank(F.col("type_name"))
+    texts = mats.select(
+        *[c for c in mats.columns if c != "types"],
+        F.lower(upload_text()).alias("__text"), fold_width(name).alias("__name"), slot.alias("__slot"),
+        iso_code_of_name(name).alias("__in_name"), iso_code_of_slot(slot).alias("__in_slot"))
+    text, slot = F.col("__text"), F.col("__slot")
+    clash = F.coalesce(F.col("__in_name") != F.col("__in_slot"), F.lit(False))
+    numbered = has_any(F.col("__name"), fixed.ISO_CODES)
+    stem = drop_number_prefix(file_stem(F.col("__name")))
+    texts = texts.select(
+        "*", clash.alias("__clash"), numbered.alias("__numbered"),
+        F.when(~numbered, fold_squeeze(slot)).alias("__plain_slot"),
+        F.when(~numbered & F.col("__name").contains("环境管理"), stem.isin(fixed.ISO14001_STEMS)).alias("__stem"))
+    found = {}
+    for kind in sorted(set(slots.values()) | {k for _, k in keywords}):
+        hit = F.lit(False)
+        places = [s for s, k in slots.items() if k == kind]
+        words = [w.lower() for w, k in keywords if k == kind]
+        if kind in fixed.ISO_TYPES:
+            code = kind[3:]
+            iso_places = [f for s, k in fixed.ISO_SLOT_TYPES.items() if k == kind for f in _slot_forms(s)]
+            by_slot = slot.isin(places) | F.coalesce(F.col("__plain_slot").isin(iso_places), F.lit(False))
+            if kind == "iso14001":
+                by_slot = by_slot | F.coalesce("__stem", F.lit(False))
+            hit = (has_any(F.col("__name"), [code]) | by_slot | has_any(text, words))
+            hit = (hit & ~(F.col("__clash") & (F.col("__in_slot") == code))) | (
+                F.col("__clash") & (F.col("__in_name") == code))
+        else:
+            if places:
+                hit = hit | slot.isin(places)
+            if words:
+                hit = hit | has_any(text, words)
+        found[kind] = F.coalesce(hit, F.lit(False))
+    flagged = texts.select("*", *[column.alias(flag(kind)) for kind, column in found.items()])
+    if "inspection_cert" in found:
+        iso = reduce(Column.__or__, [F.col(flag(k)) for k in fixed.ISO_TYPES if k in found], F.lit(False))
+        metadata = F.concat_ws(" ", F.col("file_name"), slot, F.col("file_desc"))
+        kept = F.col("is_inspection_cert") & (~iso | has(metadata, fixed.EXPLICIT_INSPECTION))
+        flagged = flagged.withColumn("is_inspection_cert", kept)
+    rest = [c for c in mats.columns if c != "types"]
+    return flagged.select(
+        *rest, *[flag(kind) for kind in found],
+        F.when(F.col("__clash"), F.col("__in_slot")).alias("slot_code"),
+        F.when(F.col("__clash"), F.col("__in_name")).alias("name_code"))
+
+
 def classify_materials(mats: DataFrame, slots: dict[str, str] | None = None,
                        keywords: list[tuple[str, str]] | None = None) -> DataFrame:
-    """C1-C5 in one projection: `types` (sorted) and `iso_conflict` per upload."""
-    name, slot = blank(F.col("file_name")), blank(F.col("type_name"))
-    in_name, in_slot = iso_code_of_name(name), iso_code_of_slot(slot)
-    clash = in_name.isNotNull() & in_slot.isNotNull() & (in_name != in_slot)
-    raw = F.array_union(
-        F.array_union(iso_candidates(name, slot), slot_types(slot, slots)),
-        keyword_types(upload_text(), keywords))
-    placed = F.when(clash, F.array_union(
-        F.array_remove(raw, F.concat(F.lit("iso"), in_slot)),
-        F.array(F.concat(F.lit("iso"), in_name)))).otherwise(raw)
-    metadata = F.concat_ws(" ", name, slot, blank(F.col("file_desc")))
-    conflict = F.when(clash, F.struct(
-        name.alias("file"), slot.alias("position"),
-        in_slot.alias("expected_code"), in_name.alias("actual_code")))
+    """Uploads with `types` (sorted) and the ISO numbers of a slot/name clash."""
+    flagged = with_type_flags(mats, slots, keywords)
+    kinds = [c[3:] for c in flagged.columns if c.startswith("is_") and c not in mats.columns]
     rest = [c for c in mats.columns if c != "types"]
-    return mats.select(
-        *rest, F.array_sort(resolve_types(placed, metadata)).alias("types"), conflict.alias("iso_conflict"))
+    return flagged.select(
+        *rest, listed({kind: F.col(flag(kind)) for kind in kinds}).alias("types"), "slot_code", "name_code")
+
+
+def conflict_of(file: Column, slot: Column, expected: Column, actual: Column) -> Column:
+    return F.struct(file.alias("file"), slot.alias("position"),
+                    expected.alias("expected_code"), actual.alias("actual_code"))
 
 
 def iso_conflicts(mats: DataFrame) -> DataFrame:
     """C4: one row per upload whose name and slot state different ISO numbers."""
-    return (mats.filter(F.col("iso_conflict").isNotNull())
-            .select("todo_id", "position", F.col("iso_conflict.file").alias("file"),
-                    F.col("iso_conflict.position").alias("slot"),
-                    F.col("iso_conflict.expected_code").alias("expected_code"),
-                    F.col("iso_conflict.actual_code").alias("actual_code")))
+    return mats.filter("slot_code is not null").select(
+        "todo_id", "position", F.col("file_name").alias("file"), F.col("type_name").alias("slot"),
+        F.col("slot_code").alias("expected_code"), F.col("name_code").alias("actual_code"))
+
+
+def first_conflicts(mats: DataFrame) -> DataFrame:
+    """The first conflict per ISO number of each request (at most three), from the clashing uploads only."""
+    conflict = conflict_of(*[F.col(c) for c in ("file", "slot", "expected_code", "actual_code")])
+    firsts = [F.min(F.when(F.col("expected_code") == code, F.struct(F.col("position").alias("at"), conflict.alias("c"))))
+              for code in fixed.ISO_CODES]
+    return (iso_conflicts(mats).groupBy("todo_id").agg(F.array_compact(F.array(*firsts)).alias("x"))
+            .select("todo_id", F.transform("x", lambda r: r["c"]).alias("iso_conflicts")))
 
 
 def certifications(types: Column) -> Column:
     return F.array_compact(F.array(*[
-        F.when(F.array_contains(types, kind), F.lit(kind.upper())) for kind in fixed.ISO_TYPES]))
+        F.when(F.array_contains(types, kind), F.lit(kind.upper())) for kind in sorted(fixed.ISO_TYPES)]))
 
 
 def material_rollup(mats: DataFrame) -> DataFrame:
-    """Type set, certifications and first conflict per ISO number of each request.
+    """Type set and certifications of each request.
 
-    A row brings at most all known types, so the sets stay small however many
-    uploads one request has, and they are combined before the shuffle.
+    Every type is one boolean that is combined before the shuffle, so a request
+    with any number of uploads costs the same small row per task.
     """
-    first_conflict = F.array_compact(F.array(*[
-        F.min_by("iso_conflict", F.when(F.col("iso_conflict.expected_code") == code, F.col("position")))
-        for code in fixed.ISO_CODES]))
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("types"))))
-    return (mats.groupBy("todo_id")
-            .agg(kinds.alias("classified_materials"), first_conflict.alias("iso_conflicts"),
-                 F.count(F.lit(1)).alias("uploads"))
-            .withColumn("certifications", certifications(F.col("classified_materials"))))
+    kinds = [c for c in mats.columns if c.startswith("is_")]
+    if not kinds:
+        mats = mats.select("todo_id", *[
+            F.array_contains(F.coalesce("types", _none()), kind).alias(flag(kind)) for kind in TYPES])
+        kinds = [flag(kind) for kind in TYPES]
+    rolled = mats.groupBy("todo_id").agg(
+        *[F.bool_or(kind).alias(kind) for kind in kinds], F.count(F.lit(1)).alias("uploads"))
+    return rolled.select("todo_id", *_roll_columns(kinds), "uploads")
+
+
+def _roll_columns(kinds: list[str]) -> list[Column]:
+    iso = {k.upper(): F.col(flag(k)) for k in sorted(fixed.ISO_TYPES) if flag(k) in kinds}
+    return [listed({kind[3:]: F.col(kind) for kind in sorted(kinds)}).alias("classified_materials"),
+            listed(iso).alias("certifications")]
+
+
+def material_facts(mats: DataFrame) -> DataFrame:
+    """All that a decision asks of the uploads (with type flags), in one hash aggregate over fixed-width values."""
+    from .financial import year_bits, years_of
+
+    kinds = [c for c in mats.columns if c.startswith("is_")]
+    financial = F.col("is_financial_report") | has_financial_words()
+    low, high = year_bits(financial)
+    rolled = mats.groupBy("todo_id").agg(
+        *[F.bool_or(kind).alias(kind) for kind in kinds],
+        F.bool_or(financial).alias("financial_submitted"),
+        F.bit_or(low).alias("__low"), F.bit_or(high).alias("__high"),
+        F.bool_or(performance_flag()).alias("has_performance"),
+        F.bool_or(transport_flag()).alias("has_transport"),
+        *[F.bool_or(F.coalesce(F.col("slot_code") == code, F.lit(False))).alias(f"clash_{code}")
+          for code in fixed.ISO_CODES])
+    return rolled.select(
+        "todo_id", *_roll_columns(kinds), "financial_submitted",
+        years_of(F.col("__low"), F.col("__high")).alias("financial_years"), "has_performance", "has_transport",
+        *[f"clash_{code}" for code in fixed.ISO_CODES])
+
+
+def has_financial_words() -> Column:
+    return has_any(F.concat_ws(" ", F.col("file_name"), F.col("type_name")), fixed.FINANCIAL_TITLE)
 
 
 def hydrate(mats: DataFrame, suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +286,7 @@ def match_files(files: DataFrame, mats: DataFrame) -> DataFrame:
     """
     description = F.concat_ws(" ", *[blank(F.col(c)) for c in ("file_name", "type_name", "file_desc")])
     extra = _set(
-        F.when(has(description, fixed.TRANSPORT_WORDS), F.lit("transport_license")),
+        F.when(has_any(description, fixed.TRANSPORT_WORDS), F.lit("transport_license")),
         F.when(has(description, fixed.SENSITIVE_NAME), F.lit("sensitive")))
     kinds = F.array_union(F.array_union(
         F.coalesce("types", _none()), iso_candidates(F.col("file_name"), F.col("type_name"))), extra)
@@ -211,37 +317,41 @@ def match_files(files: DataFrame, mats: DataFrame) -> DataFrame:
 
 def performance_flag() -> Column:
     """The name shows proof of past performance (or does so in its slot)."""
-    name = squeeze(fold_width(blank(F.col("file_name"))))
-    slot = squeeze(fold_width(blank(F.col("type_name"))))
-    proof = has(name, fixed.PERFORMANCE_DIRECT) | (
-        slot.contains(fixed.PERFORMANCE_SLOT) & has(name, fixed.PERFORMANCE_PLAUSIBLE))
-    return proof & ~has(name, fixed.PERFORMANCE_VETO)
+    name, slot = fold_squeeze(F.col("file_name")), fold_squeeze(F.col("type_name"))
+    proof = has_any(name, fixed.PERFORMANCE_DIRECT) | (
+        slot.contains(fixed.PERFORMANCE_SLOT) & has_any(name, fixed.PERFORMANCE_PLAUSIBLE))
+    return proof & ~has_any(name, fixed.PERFORMANCE_VETO)
 
 
 def transport_flag() -> Column:
     """C11: the upload is or claims to be a transport licence."""
     words = F.concat_ws(" ", *[blank(F.col(c)) for c in ("file_name", "type_name", "file_desc")])
-    typed = F.array_contains(F.coalesce("types", _none()), "transport_license")
-    return (typed | has(words, fixed.TRANSPORT_WORDS)) & or_null(F.col("file_name")).isNotNull()
-
+    typed = F.col("is_transport_license")
+    return (typed | has_any(words, fixed.TRANSPORT_WORDS)) & or_null(F.col("file_name")).isNotNull()
 
-def named_files(mats: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Distinct file names of the flagged uploads of each request, in upload order, as one text."""
-    from ..functions.ordering import joined_text
-
-    firsts = (mats.filter(flag).groupBy("todo_id", "file_name")
-              .agg(F.min("position").alias("position")))
-    return joined_text(
-        firsts, ["todo_id"], F.struct("position", "file_name"), F.col("file_name"),
-        F.floor(F.col("position") / 512), "、", name)
 
+def typed_flags(mats: DataFrame) -> DataFrame:
+    """Type flags of uploads that carry a `types` array instead."""
+    types = F.coalesce("types", _none())
+    return mats.select("*", *[F.array_contains(types, kind).alias(flag(kind)) for kind in TYPES],
+                       F.lit(None).cast("string").alias("slot_code"), F.lit(None).cast("string").alias("name_code"))
 
-def performance_files(mats: DataFrame) -> DataFrame:
-    return named_files(mats, performance_flag(), "performance_files")
 
+def proof_files(mats: DataFrame) -> DataFrame:
+    """C10 + C11: distinct names of performance and transport files of each request, in upload
+    order, each as one text. Only flagged uploads are shuffled, and copies are folded first."""
+    from ..functions.ordering import joined_text
 
-def transport_files(mats: DataFrame) -> DataFrame:
-    return named_files(mats, transport_flag(), "transport_files")
+    kinds = F.array_compact(F.array(
+        F.when(performance_flag(), F.lit("performance")), F.when(transport_flag(), F.lit("transport"))))
+    firsts = (mats.select("todo_id", "file_name", "position", F.explode(kinds).alias("kind"))
+              .groupBy("todo_id", "kind", "file_name").agg(F.min("position").alias("position")))
+    texts = joined_text(
+        firsts, ["todo_id", "kind"], F.struct("position", "file_name"), F.col("file_name"),
+        F.floor(F.col("position") / 512), "、", "files")
+    return texts.groupBy("todo_id").agg(
+        F.max(F.when(F.col("kind") == "performance", F.col("files"))).alias("performance_files"),
+        F.max(F.when(F.col("kind") == "transport", F.col("files"))).alias("transport_files"))
 
 
 def id_name_sets(mats: DataFrame) -> DataFrame:

@@ -19,6 +19,13 @@ def decide(checklist: DataFrame) -> DataFrame:
     ).select("todo_id", verdict(F.col("__reject"), F.col("__manual")).alias("decision"))
 
 
+def decide_items(requests: DataFrame) -> DataFrame:
+    """A1 on requests that still carry their items as an array: no explode, no shuffle."""
+    reject = F.exists("items", lambda i: F.coalesce(i["role"].isin("auto", "missing"), F.lit(False)))
+    manual = F.exists("items", lambda i: i["verify"].isNotNull())
+    return requests.withColumn("decision", verdict(reject, manual))
+
+
 def verdict(reject: Column, manual: Column) -> Column:
     return F.when(reject, "reject").when(manual, "manual").otherwise("recommend")
 
@@ -29,33 +36,43 @@ def _ordered(*values: Column, when: Column) -> Column:
 
 
 def opinion_stage2(checklist: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """A2 + W4: decision and numbered opinion text of each request.
+    """A2 + W4: decision and numbered opinion text of each request, from the long checklist.
 
     `suppliers` gives todo_id, type_desc, registered_capital, has_financial_report
     and production_license_reason, one row per request. What is collected per
-    request are checklist items, never uploads.
+    request are checklist items (at most one per rule), never uploads.
     """
-    role, name = F.col("role"), F.col("name")
-    is_iso = name.contains("ISO")
-    folded = checklist.groupBy("todo_id").agg(
-        F.bool_or(F.coalesce(role.isin("auto", "missing"), F.lit(False))).alias("reject"),
-        F.bool_or(F.col("verify").isNotNull()).alias("manual"),
-        F.bool_or(F.coalesce(role == "missing", F.lit(False))).alias("lacks"),
-        F.bool_or(F.coalesce((role == "missing") & (F.col("rule_id") == "A08"), F.lit(False))).alias("lacks_a08"),
-        F.bool_or(F.coalesce(F.col("verify").contains("经审计") | F.col("verify").contains("A08"),
-                             F.lit(False))).alias("asks_report"),
-        _ordered("position", "rule_id", "name", when=role == "auto").alias("hard"),
-        _ordered("review_order", "position", "name", when=(role == "missing") & is_iso).alias("iso"),
-        _ordered("review_order", "position", "rule_id", "requirement",
-                 when=(role == "missing") & ~is_iso).alias("other"),
-        _ordered("position", "verify", when=F.col("verify").isNotNull()).alias("points"),
-    )
-    joined = folded.join(suppliers.select(
-        "todo_id", "type_desc", "registered_capital", "has_financial_report",
-        "production_license_reason"), "todo_id", "left")
+    folded = checklist.groupBy("todo_id").agg(F.array_sort(F.collect_list(F.struct(
+        "position", "rule_id", "name", "review_order", "requirement", "role", "verify"))).alias("items"))
+    joined = folded.join(suppliers.select("todo_id", *OPINION_COLUMNS), "todo_id", "left")
+    return opinion_items(joined).select("todo_id", "decision", "opinion")
+
+
+OPINION_COLUMNS = ["type_desc", "registered_capital", "has_financial_report", "production_license_reason"]
+
+
+def opinion_items(requests: DataFrame) -> DataFrame:
+    """Adds decision and opinion to requests that carry their items as an array."""
+    def where(test) -> Column:
+        return F.filter("items", lambda i: F.coalesce(test(i), F.lit(False)))
+
+    def ordered(items: Column) -> Column:
+        return F.array_sort(F.transform(items, lambda i: F.struct(
+            i["review_order"].alias("review_order"), i["position"].alias("position"), i["name"].alias("name"),
+            i["rule_id"].alias("rule_id"), i["requirement"].alias("requirement"))))
+
+    joined = requests.select(
+        "*", where(lambda i: i["role"] == "auto").alias("hard"),
+        ordered(where(lambda i: (i["role"] == "missing") & i["name"].contains("ISO"))).alias("iso"),
+        ordered(where(lambda i: (i["role"] == "missing") & ~i["name"].contains("ISO"))).alias("other"),
+        where(lambda i: i["verify"].isNotNull()).alias("points"))
+    lacks = (F.size("iso") > 0) | (F.size("other") > 0)
+    reject, manual = lacks | (F.size("hard") > 0), F.size("points") > 0
+    lacks_a08 = F.exists("other", lambda r: r["rule_id"] == "A08")
+    asks = F.exists("points", lambda r: r["verify"].contains("经审计") | r["verify"].contains("A08"))
     capital = short_number(F.coalesce("registered_capital", F.lit(0.0)))
     why = blank(F.col("production_license_reason"))
-    asks_report = (~F.coalesce("has_financial_report", F.lit(False)) & ~F.col("lacks_a08") & F.col("asks_report"))
+    asks_report = ~F.coalesce("has_financial_report", F.lit(False)) & ~lacks_a08 & asks
     problems = F.transform("hard", lambda r: F.when(
         r["rule_id"] == "C1_01", say("注册资本", capital, "万元，未达到500万元要求")).otherwise(
         say(r["rule_id"], " ", r["name"], "未达标")))
@@ -71,24 +88,24 @@ def opinion_stage2(checklist: DataFrame, suppliers: DataFrame) -> DataFrame:
         .otherwise(r["requirement"])))
     supplements = F.concat(
         F.array_compact(F.array(F.when(F.size("iso") > 0, iso_line))), others,
-        F.array_compact(F.array(F.when(F.col("lacks") & asks_report,
+        F.array_compact(F.array(F.when(lacks & asks_report,
                                        F.lit("上年度经审计的财报（2026年须提交2025年财报）")))))
     none = F.array().cast("array<string>")
     reject_lines = F.concat(
         F.array(F.lit("退回。")),
         F.when(F.size("hard") > 0, F.concat(F.array(F.lit("存在问题：")), numbered(problems))).otherwise(none),
-        F.when(F.col("lacks"), F.concat(
+        F.when(lacks, F.concat(
             F.array(F.lit("请补充资质文件：")), numbered(supplements, start=F.size("hard") + 1))).otherwise(none))
     points = F.array_distinct(F.transform("points", lambda r: r["verify"]))
     manual_lines = F.concat(
         F.array(F.lit("转人工复核。材料齐全，以下核验点需人工/后续自动核验：")),
         F.when(asks_report, F.array(F.lit("  0. 需补充：经审计的上年度财报（2026年须提交2025年财报）"))).otherwise(none),
         numbered(points))
-    decision = verdict(F.col("reject"), F.col("manual"))
+    decision = verdict(reject, manual)
     opinion = (F.when(decision == "reject", F.array_join(reject_lines, "\n"))
                .when(decision == "manual", F.array_join(manual_lines, "\n"))
                .otherwise(fixed.OPINION_RECOMMEND))
-    return joined.select("todo_id", decision.alias("decision"), opinion.alias("opinion"))
+    return joined.select(*requests.columns, decision.alias("decision"), opinion.alias("opinion"))
 
 
 def append_issues(opinion: Column, decision: Column, registry_issues: Column, ocr_issues: Column) -> Column:

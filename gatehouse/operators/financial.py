@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import blank, find_all, has
+from ..functions.text import blank, find_all, has, has_any
 
 
 def is_financial() -> Column:
     typed = F.array_contains(F.coalesce("types", F.array().cast("array<string>")), "financial_report")
     words = F.concat_ws(" ", blank(F.col("file_name")), blank(F.col("type_name")))
-    return typed | has(words, fixed.FINANCIAL_TITLE)
+    return typed | has_any(words, fixed.FINANCIAL_TITLE)
 
 
 def title_text() -> Column:
@@ -20,17 +20,39 @@ def title_text() -> Column:
         "file_name", "file_title", "file_desc", "file_summ", "remark")])
 
 
+FIRST_YEAR = 2000
+
+
+def year_bits(financial: Column) -> tuple[Column, Column]:
+    """Years 2000-2099 in the title as two bit sets, so that they combine as numbers."""
+    years = F.when(financial, find_all(title_text(), fixed.TITLE_YEAR, 1))
+
+    def bits(first: int, last: int) -> Column:
+        return F.aggregate(years, F.lit(0).cast("bigint"), lambda acc, y: F.when(
+            y.cast("int").between(first, last), acc.bitwiseOR(F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), y.cast("int") - first))).otherwise(acc))
+
+    any_year = financial & has(title_text(), fixed.TITLE_YEAR)
+    zero = F.lit(0).cast("bigint")
+    return (F.when(any_year, bits(FIRST_YEAR, FIRST_YEAR + 59)).otherwise(zero),
+            F.when(any_year, bits(FIRST_YEAR + 60, FIRST_YEAR + 99)).otherwise(zero))
+
+
+def years_of(low: Column, high: Column) -> Column:
+    def members(bits: Column, first: int, count: int) -> Column:
+        return F.filter(F.sequence(F.lit(first), F.lit(first + count - 1)), lambda y: F.getbit(bits, y - first) == 1)
+
+    none = F.array().cast("array<int>")
+    return (F.when((low == 0) & (high == 0), none)
+            .otherwise(F.concat(members(low, FIRST_YEAR, 60), members(high, FIRST_YEAR + 60, 40))))
+
+
 def title_years(mats: DataFrame) -> DataFrame:
-    """Years in the titles of each request's financial uploads, and whether there are any uploads.
-
-    The set of years is small whatever the number of uploads; duplicates are
-    dropped before the shuffle.
-    """
-    found = mats.select("todo_id", is_financial().alias("financial"), F.when(
-        is_financial(), find_all(title_text(), fixed.TITLE_YEAR, 1)).alias("years"))
-    return found.groupBy("todo_id").agg(
-        F.max("financial").alias("submitted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("years")))).cast("array<int>").alias("title_years"))
+    """Years in the titles of each request's financial uploads, and whether there are any uploads."""
+    low, high = year_bits(is_financial())
+    rolled = mats.groupBy("todo_id").agg(
+        F.bool_or(is_financial()).alias("submitted"), F.bit_or(low).alias("low"), F.bit_or(high).alias("high"))
+    return rolled.select("todo_id", "submitted", years_of(F.col("low"), F.col("high")).alias("title_years"))
 
 
 def year_status(submitted: Column, years: Column, as_of: Column) -> Column:
