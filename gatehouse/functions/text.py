@@ -69,13 +69,14 @@ def or_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　 "
-_NARROW = "".join(chr(0x21 + i) for i in range(94)) + "  "
-
-
 def fold_width(col: Column) -> Column:
     """Full-width letters, digits and punctuation become their plain forms."""
-    return F.translate(col, _WIDE, _NARROW)
+    return F.translate(col, _WIDE + "\u3000\u00a0", _NARROW + "  ")
+
+
+def fold_squeeze(col: Column) -> Column:
+    """Both at once."""
+    return F.translate(blank(col), _WIDE + _SPACES, _NARROW)
 
 
 def drop_number_prefix(name: Column) -> Column:
