@@ -16,23 +16,41 @@ from pyspark.sql import functions as F
 
 def split_ordinal(df: DataFrame, keys: list[str], order: list[Column], cells: list[Column],
                   name: str = "ordinal", total: str | None = None) -> DataFrame:
-    """row_number() over (keys; order), worked out per cell plus the count of earlier cells."""
+    """row_number() over (keys; order), worked out per cell plus the count of earlier cells.
+
+    With several cells each one refines the one before it: earlier rows are counted
+    level by level, so a level only ever orders the values of its own cell.
+    """
     marks = [f"__cell{i}" for i in range(len(cells))]
     marked = df.select("*", *[cell.alias(mark) for cell, mark in zip(cells, marks)])
-    counts = marked.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("__rows"))
-    ahead = Window.partitionBy(*keys).orderBy(*marks)
-    before = F.sum("__rows").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, *marks, F.coalesce(before, F.lit(0)).alias("__before"), *(
-        [F.sum("__rows").over(Window.partitionBy(*keys)).alias(total)] if total else []))
+    offsets = None
+    for level in range(len(marks), 0, -1):
+        group, last = [*keys, *marks[:level]], marks[level - 1]
+        source = marked if offsets is None else offsets
+        rows = F.count(F.lit(1)) if offsets is None else F.sum("__rows")
+        counts = source.groupBy(*group).agg(rows.alias("__rows"))
+        ahead = Window.partitionBy(*keys, *marks[:level - 1]).orderBy(last)
+        before = F.coalesce(F.sum("__rows").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        extra = [F.sum("__rows").over(Window.partitionBy(*keys)).alias(total)] if total and level == 1 else []
+        counts = counts.select(*group, "__rows", before.alias("__ahead"), *extra)
+        if offsets is None:
+            offsets = counts.withColumnRenamed("__ahead", "__before")
+        else:
+            offsets = offsets.alias("o").join(counts.alias("c"), _same("o", "c", group)).select(
+                *[F.col(f"o.{c}") for c in [*keys, *marks, "__rows"]],
+                (F.col("o.__before") + F.col("c.__ahead")).alias("__before"),
+                *([F.col(f"c.{total}")] if extra else []))
     inside = Window.partitionBy(*keys, *marks).orderBy(*order)
     ranked = marked.withColumn("__inside", F.row_number().over(inside)).alias("r")
-    same = reduce(Column.__and__, [
-        F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, *marks]])
     kept = [F.col(f"r.{c}") for c in df.columns] + ([F.col(f"o.{total}")] if total else [])
-    return ranked.join(offsets.alias("o"), same).select(
+    return ranked.join(offsets.alias("o"), _same("r", "o", [*keys, *marks])).select(
         *kept, (F.col("r.__inside") + F.col("o.__before")).alias(name))
 
 
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
 def joined_text(df: DataFrame, keys: list[str], order: Column, text: Column, cell: Column,
                 separator: str, name: str = "text") -> DataFrame:
     """Texts of a group in order, joined per cell first and then cell by cell."""
