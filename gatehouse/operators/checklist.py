@@ -16,7 +16,7 @@ from ..functions.numbers import short_number
 from ..functions.outcome import say
 from ..functions.text import blank
 from .financial import assessment_detail, year_status
-from .routing import applies, rule_position
+from .routing import applies, in_review_order, rule_position
 from .rules import Rule, with_verdicts
 
 
@@ -129,7 +129,7 @@ def checklist_items(suppliers: DataFrame, rules: list[Rule], as_of: str,
     day = F.lit(as_of).cast("date")
     judged = with_verdicts(suppliers, rules)
     items = []
-    for rule in rules:
+    for rule in in_review_order(rules):
         if rule.check_type in ("skip", ""):
             continue
         status, detail = _item(rule, day)

@@ -137,6 +137,16 @@ def applies(rule: Rule) -> Column:
     return F.array_contains("rule_sets", rule.rule_set) & ~F.array_contains("dropped_rules", rule.id)
 
 
+# a supplier's rule sets always follow each other in this order
+SET_ORDER = ["domestic", "overseas", "domestic_carrier", "domestic_trader", "overseas_trader",
+             "domestic_manufacturer", "overseas_manufacturer"]
+
+
+def in_review_order(rules: list[Rule]) -> list[Rule]:
+    place = {name: i for i, name in enumerate(SET_ORDER)}
+    return sorted(rules, key=lambda r: (place.get(r.rule_set, len(place)), r.position))
+
+
 def rule_position(rule: Rule, rules: list[Rule]) -> Column:
     """Place in the supplier's list: rule sets in their order, rules in catalogue order."""
     return F.array_position("rule_sets", rule.rule_set) * 1000 + rule.position

@@ -99,11 +99,11 @@ FACTS = """facts AS (
     string_agg(DISTINCT title_year, ',' ORDER BY title_year) AS years FROM mat4 GROUP BY todo_id)"""
 
 NAMES = """firsts AS (
-  SELECT todo_id, file_name, performance, min(position) AS at FROM mat4 WHERE performance OR transport
+  SELECT todo_id, file_name, performance, min(position) AS first_at FROM mat4 WHERE performance OR transport
   GROUP BY todo_id, file_name, performance),
 names AS (
-  SELECT todo_id, string_agg(file_name, '、' ORDER BY at, file_name) FILTER (WHERE performance) AS performance_files,
-    string_agg(file_name, '、' ORDER BY at, file_name) FILTER (WHERE NOT performance) AS transport_files
+  SELECT todo_id, string_agg(file_name, '、' ORDER BY first_at, file_name) FILTER (WHERE performance) AS performance_files,
+    string_agg(file_name, '、' ORDER BY first_at, file_name) FILTER (WHERE NOT performance) AS transport_files
   FROM firsts GROUP BY todo_id),
 clashes AS (
   SELECT todo_id, slot_no, min(struct_pack(p := position, f := file_name, t := type_name, s := slot_no, n := name_no)) AS c
@@ -248,7 +248,7 @@ written AS (
 _ISO_NO = "CASE rule_id WHEN 'C1_02' THEN '9001' WHEN 'C1_03' THEN '14001' WHEN 'C1_04' THEN '45001' WHEN 'D1_03' THEN '9001' WHEN 'D1_04' THEN '14001' WHEN 'D1_05' THEN '45001' END"
 FINAL = f"""marked AS (
   SELECT i.*, status = 'fail' AS failed, detail LIKE '缺少%' AS lacking, {_ISO_NO} AS iso_no,
-    '[' || rule_id || ']' || name || '：' AS tag, year_state IN ('missing', 'mismatch') AS needs_report, b.todo_id AS t
+    '[' || rule_id || ']' || i.name || '：' AS tag, year_state IN ('missing', 'mismatch') AS needs_report, b.todo_id AS t
   FROM items i JOIN base b ON i.todo_id = b.todo_id),
 grouped AS (
   SELECT todo_id, bool_or(failed) AS any_fail, bool_or(failed AND lacking) AS any_lacking,
@@ -305,8 +305,8 @@ READ = """reading AS (
       CASE check_value WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' ELSE 'none' END) AS doc_id FROM mat)"""
 
 _AT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
-CHAIN = f"""ev AS (SELECT user_id AS key, event_id AS seq, event_id // 1024 AS segment, {_AT} AS at, event_type AS kind, props AS payload, value FROM events),
-chains AS (SELECT key, segment, list(at || kind || payload ORDER BY seq) AS rows FROM ev GROUP BY key, segment)"""
+CHAIN = f"""ev AS (SELECT user_id AS key, event_id AS seq, event_id // 1024 AS segment, {_AT} AS moment, event_type AS kind, props AS payload, value FROM events),
+chains AS (SELECT key, segment, list(moment || kind || payload ORDER BY seq) AS rows FROM ev GROUP BY key, segment)"""
 _FOLD = "list_reduce(list_prepend(repeat('0', 64), {rows}), lambda acc, x: sha256(acc || x))"
 
 ENGINES = """docs2 AS (
@@ -462,7 +462,7 @@ linked AS (SELECT n.*, {_FOLD.format(rows='rows[1:i-1]')} AS previous, {_FOLD.fo
 FROM numbered n JOIN chains c ON n.key = c.key AND n.segment = c.segment),
 kept AS (SELECT *, lag(hash, 1, repeat('0', 64)) OVER (PARTITION BY key, segment ORDER BY seq) AS before FROM linked WHERE NOT (kind = 'purchase' AND value < 5)),
 judged AS (SELECT key, segment, seq, previous <> before AS broken_link,
-hash <> sha256(previous || at || kind || CASE WHEN kind = 'error' THEN replace(payload, ' ', '') ELSE payload END) AS broken_hash FROM kept)
+hash <> sha256(previous || moment || kind || CASE WHEN kind = 'error' THEN replace(payload, ' ', '') ELSE payload END) AS broken_hash FROM kept)
 SELECT * FROM judged WHERE broken_link OR broken_hash""",
     "valid_results": f"""WITH {APPS}, r AS (SELECT todo_id, CASE WHEN bill_type = 'P0704' THEN 'offline' ELSE 'online' END AS ocr_mode FROM app)
 SELECT * FROM r WHERE EXISTS (SELECT 1 FROM events WHERE user_id = todo_id AND CASE WHEN event_type IN ('click', 'view') THEN 'online'
