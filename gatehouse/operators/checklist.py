@@ -154,23 +154,33 @@ def checklist_items(suppliers: DataFrame, rules: list[Rule], as_of: str,
 
 def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str) -> DataFrame:
     """The checklist in long form, one row per (request, rule)."""
-    return checklist_items(suppliers, rules, as_of).select(
-        "todo_id", F.explode("items").alias("item")).select("todo_id", "item.*")
+    return long_form(checklist_items(suppliers, rules, as_of))
 
 
-def verify_items(checklist: DataFrame) -> DataFrame:
+def verify_items(requests: DataFrame) -> DataFrame:
     """Missing items and points to verify, derived again after enrichment.
 
     A missing rule counts only while its item is still `fail`.
     """
-    after_mark = F.expr("substring(detail, instr(detail, '；待核验：') + 5)")
-    tail = F.expr("substring(detail, instr(detail, '；') + 1)")
-    point = (
-        F.when(F.col("status") == "pending", F.when(
-            F.col("detail").contains("；待核验："), after_mark).otherwise(F.col("detail")))
-        .when((F.col("status") == "partial") & F.col("detail").contains("；"), tail)
-        .when(F.col("status").isin("fail", "manual"), F.col("detail")))
-    return (checklist
-            .withColumn("verify", F.nullif(point, F.lit("")))
-            .withColumn("role", F.when((F.col("role") == "missing") & (F.col("status") != "fail"),
-                                       F.lit(None).cast("string")).otherwise(F.col("role"))))
+    mark = "；待核验："
+
+    def derived(item: Column) -> Column:
+        status, detail = item["status"], item["detail"]
+
+        def after(text: str) -> Column:
+            return F.substr(detail, F.instr(detail, text) + len(text))
+
+        point = (
+            F.when(status == "pending", F.when(detail.contains(mark), after(mark)).otherwise(detail))
+            .when((status == "partial") & detail.contains("；"), after("；"))
+            .when(status.isin("fail", "manual"), detail))
+        cured = (item["role"] == "missing") & (status != "fail")
+        return (item.withField("verify", F.nullif(point, F.lit("")))
+                .withField("role", F.when(cured, F.lit(None).cast("string")).otherwise(item["role"])))
+
+    return requests.withColumn("items", F.transform("items", derived))
+
+
+def long_form(requests: DataFrame) -> DataFrame:
+    """The checklist as one row per (request, rule)."""
+    return requests.select("todo_id", F.explode("items").alias("item")).select("todo_id", "item.*")

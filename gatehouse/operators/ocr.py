@@ -126,11 +126,14 @@ def _guard_production(base: DataFrame) -> DataFrame:
         (F.col("n_open") + F.when(add_check, 1).otherwise(0)).alias("n_open"))
 
 
-def attach_extractions(checklist: DataFrame) -> DataFrame:
-    """Per request, the item each document type feeds (the first whose name has its words)."""
-    return checklist.groupBy("todo_id").agg(F.struct(*[
-        F.min_by("rule_id", F.when(has_any(F.col("name"), words), F.col("position"))).alias(kind)
-        for kind, words in fixed.ITEM_WORDS.items()]).alias("feeds"))
+def feeds() -> Column:
+    """Document type -> the first item of a request whose name has the words of that type."""
+    kinds = F.array(*[F.lit(kind) for kind in fixed.ITEM_WORDS])
+
+    def target(words: list[str]) -> Column:
+        return F.try_element_at(F.filter("items", lambda i: has_any(i["name"], words)), F.lit(1))["rule_id"]
+
+    return F.map_from_arrays(kinds, F.array(*[target(words) for words in fixed.ITEM_WORDS.values()]))
 
 
 def _rank(status: Column) -> Column:
@@ -172,54 +175,61 @@ def judge(summary: DataFrame) -> DataFrame:
                           detail.alias("detail"), issue.alias("issue"))
 
 
-def enrich_ocr(checklist: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Certificate results merged into the items they feed.
+DOCS = "array<struct<type_order:int,doc_type:string,status:string,detail:string,issue:string>>"
+
+
+def ocr_documents(extractions: DataFrame) -> DataFrame:
+    """K8 results of each request as one array in the order the types are applied (at most one per type)."""
+    judged = judge(ocr_summary(extractions)).filter("type_order is not null")
+    return judged.groupBy("todo_id").agg(F.sort_array(F.collect_list(F.struct(
+        "type_order", "doc_type", "status", "detail", "issue"))).alias("ocr_documents"))
+
+
+def enrich_ocr(requests: DataFrame) -> DataFrame:
+    """Certificate results (`ocr_documents`) merged into the items they feed.
 
     Several types of one item keep the graver status; a registry conflict is
-    never erased. Adds `ocr_issues` (array of struct(type_order, issue)).
+    never erased. Adds `ocr_issues` (array of struct(type_order, issue)) to each item.
     """
-    judged = judge(ocr_summary(extractions)).filter("type_order is not null")
-    per_request = judged.groupBy("todo_id").agg(F.sort_array(F.collect_list(F.struct(
-        "type_order", "doc_type", "status", "detail", "issue"))).alias("__docs"))
-    rows = (checklist.join(attach_extractions(checklist), "todo_id", "left")
-            .join(per_request, "todo_id", "left"))
-    fed = F.array(*[F.when(F.col("feeds")[kind] == F.col("rule_id"), F.lit(kind))
-                    for kind in fixed.ITEM_WORDS])
-    rows = rows.withColumn("__fed", F.array_compact(fed))
-    none = F.array().cast("array<struct<type_order:int,doc_type:string,status:string,detail:string,issue:string>>")
-    docs = F.filter(F.coalesce("__docs", none), lambda d: F.array_contains("__fed", d["doc_type"]))
-    start = F.struct(
-        F.col("status"), F.col("detail"), F.lit(None).cast("string").alias("prior_status"),
-        F.lit(None).cast("string").alias("prior_detail"),
-        F.array().cast("array<struct<type_order:int,issue:string>>").alias("issues"))
-    has_files, name = F.col("has_files"), F.col("name")
-
-    def step(acc: Column, d: Column) -> Column:
-        transport = d["doc_type"] == "transport_license"
-        stale = transport & (acc["status"] == "fail") & ~has_files
-        own_status = F.coalesce(d["status"], acc["status"])
-        own_detail = F.coalesce(d["detail"], acc["detail"])
-        graver = acc["prior_status"].isNotNull() & (_rank(acc["prior_status"]) > _rank(own_status))
-        status = F.when(graver, acc["prior_status"]).otherwise(own_status)
-        detail = F.when(graver, acc["prior_detail"]).otherwise(own_detail)
-        conflict = acc["status"].isin("fail", "manual", "partial") & acc["detail"].contains("企查查")
-        conflict = F.coalesce(conflict, F.lit(False))
-        status = F.when(conflict & (status == "pass"), acc["status"]).otherwise(status)
-        detail = F.when(conflict, F.concat(detail, F.lit("；"), acc["detail"])).otherwise(detail)
-        text = F.when(transport, d["issue"]).otherwise(F.concat(name, F.lit("："), d["issue"]))
-        added = F.array_compact(F.array(F.when(
-            ~stale & d["issue"].isNotNull(), F.struct(d["type_order"].alias("type_order"), text.alias("issue")))))
-        return F.struct(
-            F.when(stale, acc["status"]).when(transport, d["status"]).otherwise(status).alias("status"),
-            F.when(stale, acc["detail"]).when(transport, d["detail"]).otherwise(detail).alias("detail"),
-            F.when(transport, acc["prior_status"]).otherwise(status).alias("prior_status"),
-            F.when(transport, acc["prior_detail"]).otherwise(detail).alias("prior_detail"),
-            F.concat(acc["issues"], added).alias("issues"))
-
-    rows = rows.withColumn("__after", F.aggregate(docs, start, step))
-    return rows.select(*[
-        F.col(f"__after.{c}").alias(c) if c in ("status", "detail") else F.col(c)
-        for c in checklist.columns], F.col("__after.issues").alias("ocr_issues"))
+    staged = requests.withColumn("__feeds", feeds())
+    docs = F.coalesce("ocr_documents", F.array().cast(DOCS))
+
+    def merged(item: Column) -> Column:
+        own = F.filter(docs, lambda d: F.try_element_at("__feeds", d["doc_type"]) == item["rule_id"])
+        start = F.struct(
+            item["status"].alias("status"), item["detail"].alias("detail"),
+            F.lit(None).cast("string").alias("prior_status"), F.lit(None).cast("string").alias("prior_detail"),
+            F.array().cast("array<struct<type_order:int,issue:string>>").alias("issues"))
+        return F.struct(item.alias("item"), F.aggregate(own, start, lambda acc, d: _step(item, acc, d)).alias("after"))
+
+    pairs = F.transform("items", merged)
+    return (staged.withColumn("__pairs", pairs).withColumn("items", F.transform("__pairs", lambda p: (
+        p["item"].withField("status", p["after"]["status"]).withField("detail", p["after"]["detail"])
+        .withField("ocr_issues", p["after"]["issues"])))).drop("__pairs", "__feeds"))
+
+
+def _step(item: Column, acc: Column, d: Column) -> Column:
+    """One document type applied to an item."""
+    transport = d["doc_type"] == "transport_license"
+    stale = transport & (acc["status"] == "fail") & ~item["has_files"]
+    own_status = F.coalesce(d["status"], acc["status"])
+    own_detail = F.coalesce(d["detail"], acc["detail"])
+    graver = acc["prior_status"].isNotNull() & (_rank(acc["prior_status"]) > _rank(own_status))
+    status = F.when(graver, acc["prior_status"]).otherwise(own_status)
+    detail = F.when(graver, acc["prior_detail"]).otherwise(own_detail)
+    conflict = F.coalesce(acc["status"].isin("fail", "manual", "partial")
+                          & acc["detail"].contains("企查查"), F.lit(False))
+    status = F.when(conflict & (status == "pass"), acc["status"]).otherwise(status)
+    detail = F.when(conflict, F.concat(detail, F.lit("；"), acc["detail"])).otherwise(detail)
+    text = F.when(transport, d["issue"]).otherwise(F.concat(item["name"], F.lit("："), d["issue"]))
+    added = F.array_compact(F.array(F.when(
+        ~stale & d["issue"].isNotNull(), F.struct(d["type_order"].alias("type_order"), text.alias("issue")))))
+    return F.struct(
+        F.when(stale, acc["status"]).when(transport, d["status"]).otherwise(status).alias("status"),
+        F.when(stale, acc["detail"]).when(transport, d["detail"]).otherwise(detail).alias("detail"),
+        F.when(transport, acc["prior_status"]).otherwise(status).alias("prior_status"),
+        F.when(transport, acc["prior_detail"]).otherwise(detail).alias("prior_detail"),
+        F.concat(acc["issues"], added).alias("issues"))
 
 
 def combine_severity(items: DataFrame, keys: list[str], status: str = "status",

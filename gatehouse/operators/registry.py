@@ -44,13 +44,13 @@ def _active(state: Column) -> Column:
     return has_any(state, fixed.ACTIVE_STATES)
 
 
-def _identity_item() -> tuple[Column, Column, Column]:
+def _identity_item(item: Column) -> tuple[Column, Column, Column]:
     """Status, detail, issue."""
     incomplete = (F.coalesce("r_accuracy", F.lit("")) != "一致")
     for field in REG_FIELDS:
         incomplete = incomplete | (blank(F.col(f"r_{field}")) == "")
-    person, known = blank(F.col("s_legal_person")), blank(F.col("r_legal_person"))
-    stated, system = registry_capital(F.col("r_registered_capital")), F.coalesce("s_registered_capital", F.lit(0.0))
+    person, known = blank(F.col("legal_person")), blank(F.col("r_legal_person"))
+    stated, system = registry_capital(F.col("r_registered_capital")), F.coalesce("registered_capital", F.lit(0.0))
     state = F.col("r_reg_status")
     capital_off = (F.coalesce(stated, F.lit(0.0)) != 0) & (system != 0) & (
         F.abs(stated - system) / F.greatest(system, F.lit(1.0)) > 0.01)
@@ -61,10 +61,10 @@ def _identity_item() -> tuple[Column, Column, Column]:
                                 short_number(stated), "万）")),
         F.when(~_active(state), say("工商登记状态异常：「", state, "」"))))
     text = F.array_join(found, "；")
-    status = (F.when(incomplete, F.when(F.col("status") == "fail", "fail").otherwise("manual"))
+    status = (F.when(incomplete, F.when(item["status"] == "fail", "fail").otherwise("manual"))
               .when(F.size(found) > 0, "fail").otherwise("pass"))
     detail = (
-        F.when(incomplete, F.when(F.col("status") == "fail", F.col("detail")).otherwise(
+        F.when(incomplete, F.when(item["status"] == "fail", item["detail"]).otherwise(
             "企查查身份核验不完整或不一致，需人工核验"))
         .when(F.size(found) > 0, say("企查查核验发现问题：", text))
         .otherwise(say("企查查核验通过：名称/信用代码一致，法定代表人", known, "，注册资本",
@@ -110,36 +110,36 @@ def _reputation_item(has_reg: Column) -> tuple[Column, Column, Column]:
         .otherwise("A10 商业信誉：失信/被执行等专项数据企查查无数据，需人工核验"))
 
 
-def enrich_registry(checklist: DataFrame, suppliers: DataFrame, matched: DataFrame, as_of: str) -> DataFrame:
-    """K6 + K7: registry findings replace the status of A01, A02, A08 and A10.
+def registry_facts(matched: DataFrame) -> DataFrame:
+    """The matched record of each request under names of its own."""
+    known = F.coalesce("has_reg_info", F.coalesce(*[F.col(c) for c in REG_FIELDS]).isNotNull())
+    return matched.select("todo_id", known.alias("r_has_reg"), *[
+        F.col(c).alias(f"r_{c}") for c in [*REG_FIELDS, "accuracy", "shareholders", "controllers", "financial"]])
 
-    Only the incomplete-evidence branch of A01 respects an earlier `fail`; the
-    other branches overwrite it, and A08 is never passed. Adds `registry_issue`.
+
+def enrich_registry(requests: DataFrame, as_of: str) -> DataFrame:
+    """K6 + K7: registry findings replace the status of A01, A02, A08 and A10 in `items`.
+
+    `requests` carry their profile, their items and their registry facts, so this is a
+    projection. Only the incomplete-evidence branch of A01 respects an earlier `fail`;
+    the other branches overwrite it, and A08 is never passed. Adds `registry_issue`.
     """
     day = F.lit(as_of).cast("date")
-    facts = matched.select(
-        "todo_id", F.lit(True).alias("r_found"),
-        F.coalesce("has_reg_info", F.coalesce(*[F.col(c) for c in REG_FIELDS]).isNotNull()).alias("r_has_reg"),
-        *[F.col(c).alias(f"r_{c}") for c in [*REG_FIELDS, "accuracy", "shareholders", "controllers", "financial"]])
-    system = suppliers.select(
-        "todo_id", F.col("legal_person").alias("s_legal_person"),
-        F.col("registered_capital").alias("s_registered_capital"),
-        F.col("has_financial_report").alias("s_report"))
-    rows = checklist.join(system, "todo_id", "left").join(facts, "todo_id", "left")
-    rule = F.col("rule_id")
     has_reg = F.coalesce("r_has_reg", F.lit(False))
-    a01, a02, a10 = _identity_item(), _related_item(), _reputation_item(has_reg)
-    report = assessment_detail(report_periods(F.col("r_financial")), F.col("s_report"), day)
-    a08 = (F.when(~F.col("s_report"), "fail").otherwise("manual"), report, say("A08 财报：", report))
-    use_a01 = (rule == "A01") & has_reg
-    use_a02 = (rule == "A02") & (has_reg | (F.size(F.coalesce(
-        "r_shareholders", F.array().cast("array<struct<name:string,share:string>>"))) > 0))
-
-    def pick(part: int, default: Column) -> Column:
-        return (F.when(use_a01, a01[part]).when(use_a02, a02[part]).when(rule == "A08", a08[part])
-                .when(rule == "A10", a10[part]).otherwise(default))
-
-    return rows.select(*[
-        pick(0, F.col("status")).alias("status") if c == "status" else
-        pick(1, F.col("detail")).alias("detail") if c == "detail" else F.col(c)
-        for c in checklist.columns], pick(2, F.lit(None).cast("string")).alias("registry_issue"))
+    holders = F.size(F.coalesce("r_shareholders", F.array().cast("array<struct<name:string,share:string>>")))
+    report = assessment_detail(report_periods(F.col("r_financial")), F.col("has_financial_report"), day)
+    related, reputation = _related_item(), _reputation_item(has_reg)
+    financial = (F.when(~F.col("has_financial_report"), "fail").otherwise("manual"), report, say("A08 财报：", report))
+
+    def enriched(item: Column) -> Column:
+        rule, identity = item["rule_id"], _identity_item(item)
+
+        def pick(part: int, default: Column) -> Column:
+            return (F.when((rule == "A01") & has_reg, identity[part])
+                    .when((rule == "A02") & (has_reg | (holders > 0)), related[part])
+                    .when(rule == "A08", financial[part]).when(rule == "A10", reputation[part]).otherwise(default))
+
+        return (item.withField("status", pick(0, item["status"])).withField("detail", pick(1, item["detail"]))
+                .withField("registry_issue", pick(2, F.lit(None).cast("string"))))
+
+    return requests.withColumn("items", F.transform("items", enriched))

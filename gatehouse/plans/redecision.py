@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import or_null
-from ..operators.checklist import build_checklist, checklist_items, verify_items
+from ..operators.checklist import checklist_items, long_form, verify_items
 from ..functions.fixed import ISO_CODES
 from ..operators.classify import (
     conflict_of, first_conflicts, material_facts, proof_files, typed_flags,
 )
-from ..operators.decide import OPINION_COLUMNS, append_issues, opinion_items, opinion_stage2
-from ..operators.ocr import enrich_ocr
+from ..operators.decide import OPINION_COLUMNS, append_issues, opinion_items
+from ..operators.ocr import enrich_ocr, ocr_documents
 from ..operators.profile import display_name, with_inspection
-from ..operators.registry import enrich_registry, match_registry
+from ..operators.registry import enrich_registry, match_registry, registry_facts
 from ..operators.routing import route_rule_sets, route_stage1, route_stage2
 from ..operators.rules import Rule
 
@@ -82,43 +82,58 @@ def review_stage1(applications: DataFrame, suppliers: DataFrame, materials: Data
         F.coalesce("route_opinion", "opinion").alias("opinion"))
 
 
-def final_checklist(prepared: DataFrame, rules: list[Rule], registry: DataFrame,
-                    extractions: DataFrame, as_of: str) -> DataFrame:
-    """Checklist after registry and certificate results, with its points to verify."""
-    raw = build_checklist(prepared, rules, as_of)
-    matched = match_registry(prepared, registry, ["social_credit_code", "name", "apply_unit"])
-    checked = enrich_registry(raw, prepared, matched, as_of)
-    return verify_items(enrich_ocr(checked, extractions))
+KEPT = ["todo_id", "name", "bill_name", "title", "apply_unit", "route_decision", "route_type", "route_opinion",
+        "legal_person", *OPINION_COLUMNS]
 
 
 def redecide(applications: DataFrame, suppliers: DataFrame, materials: DataFrame, rules: list[Rule],
-             registry: DataFrame, extractions: DataFrame, as_of: str, ocr_mode: str = "online",
-             ) -> tuple[DataFrame, DataFrame]:
-    """(results, checklist) of the offline re-decision; every request gets exactly one result."""
+             registry: DataFrame, extractions: DataFrame, as_of: str, ocr_mode: str = "online") -> DataFrame:
+    """The offline re-decision: one row per request with its result and its `items`.
+
+    Everything meets once, on the request: uploads, registry record and certificate
+    results are reduced to one row per request and joined on the same key; the
+    checklist, its enrichment, the decision and the opinion are projections of that
+    row. Write the result once and take `results_of` and `checklist_of` from the table.
+    """
     staged = route_stage2(prepare_suppliers(applications, suppliers, materials))
-    ruled = staged.filter("route_decision is null")
-    checklist = final_checklist(ruled, rules, registry, extractions, as_of)
-    opinions = opinion_stage2(checklist, staged)
-    issue = F.struct(F.col("position"), F.col("registry_issue").alias("issue"))
-    findings = checklist.groupBy("todo_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("registry_issue").isNotNull(), issue))).alias("__reg"),
-        F.array_sort(F.flatten(F.collect_list("ocr_issues"))).alias("__ocr"))
-
-    def texts(name: str) -> Column:
-        return F.coalesce(F.transform(name, lambda r: r["issue"]), F.array().cast(STRINGS))
-
-    joined = (staged.join(opinions, "todo_id", "left").join(findings, "todo_id", "left")
+    names = schemas.conform(suppliers, schemas.SUPPLIER).select("todo_id", "social_credit_code", "name").join(
+        applications.select("todo_id", "apply_unit"), "todo_id", "left")
+    matched = match_registry(names, registry, ["social_credit_code", "name", "apply_unit"])
+    listed = checklist_items(staged, rules, as_of, KEPT)
+    joined = (listed.join(registry_facts(matched), "todo_id", "left")
+              .join(ocr_documents(extractions), "todo_id", "left")
               .join(licence_names(extractions), "todo_id", "left"))
-    decision = F.coalesce("route_decision", "decision")
-    registry_issues, ocr_issues = texts("__reg"), texts("__ocr")
+    decided = opinion_items(verify_items(enrich_ocr(enrich_registry(joined, as_of))))
+
+    def issues(items: Column) -> Column:
+        return F.transform(items, lambda i: i["issue"])
+
+    registry_issues = F.transform(F.filter(
+        "items", lambda i: i["registry_issue"].isNotNull()), lambda i: i["registry_issue"])
+    ocr_issues = issues(F.array_sort(F.flatten(F.transform("items", lambda i: i["ocr_issues"]))))
+    ruled = F.col("route_decision").isNull()
+    none = F.array().cast("array<string>")
+    staged = decided.select(
+        *KEPT, "ocr_name", "opinion", F.coalesce("route_decision", "decision").alias("decision"),
+        F.when(ruled, F.col("items")).otherwise(F.filter("items", lambda i: F.lit(False))).alias("items"),
+        F.when(ruled, registry_issues).otherwise(none).alias("qcc_issues"),
+        F.when(ruled, ocr_issues).otherwise(none).alias("ocr_issues"))
     name = F.coalesce(or_null(display_name(
         F.col("ocr_name"), F.col("title"), F.col("apply_unit"), F.col("name"))), F.col("todo_id").cast("string"))
-    results = joined.select(
+    return staged.select(
         "todo_id", name.alias("name"), F.coalesce("bill_name", F.lit("")).alias("bill_name"),
-        F.coalesce("route_type", "type_desc").alias("type_desc"), decision.alias("decision"),
-        F.when(F.col("route_decision").isNotNull(), F.col("route_opinion")).otherwise(append_issues(
-            F.col("opinion"), decision, registry_issues, ocr_issues)).alias("opinion"),
-        F.when(F.col("route_decision") == "skip", F.regexp_extract("route_opinion", "^不适用。(.*)。$", 1)).alias("skip_reason"),
-        registry_issues.alias("qcc_issues"), ocr_issues.alias("ocr_issues"),
-        F.lit(ocr_mode).alias("ocr_mode"), F.lit(as_of).cast("date").alias("decided_on"))
-    return results, checklist
+        F.coalesce("route_type", "type_desc").alias("type_desc"), "decision",
+        F.when(ruled, append_issues(F.col("opinion"), F.col("decision"), F.col("qcc_issues"), F.col("ocr_issues")))
+        .otherwise(F.col("route_opinion")).alias("opinion"),
+        F.when(F.col("route_decision") == "skip", F.regexp_extract(
+            "route_opinion", "^不适用。(.*)。$", 1)).alias("skip_reason"),
+        "qcc_issues", "ocr_issues", F.lit(ocr_mode).alias("ocr_mode"),
+        F.lit(as_of).cast("date").alias("decided_on"), "items")
+
+
+def results_of(reviewed: DataFrame) -> DataFrame:
+    return reviewed.drop("items")
+
+
+def checklist_of(reviewed: DataFrame) -> DataFrame:
+    return long_form(reviewed)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatehouse import schemas
 from gatehouse.operators import checklist, classify, decide, financial, ocr, profile, review, routing
 from gatehouse.operators import rules as rule_ops
-from gatehouse.plans.redecision import prepare_suppliers, redecide, review_stage1
+from gatehouse.plans.redecision import checklist_of, prepare_suppliers, redecide, results_of, review_stage1
 
 from .conftest import AS_OF
 from .helpers import applications, frame, materials, suppliers
@@ -358,8 +358,11 @@ def test_certificate_enrichment(spark):
         _reading("mixed", "tax_credit", {"C级及以上": True, "评价年度=2025": None}),
         _reading("four", "tax_credit", {"k": False, "y": True}, ["一", "二", "三"]),
     ]
-    found = ocr.enrich_ocr(_checklist_frame(spark, cases), frame(spark, schemas.EXTRACTION, readings))
-    got = by(found.collect())
+    rows = _checklist_frame(spark, cases)
+    requests = rows.groupBy("todo_id").agg(F.array_sort(F.collect_list(F.struct(
+        "position", *[c for c in rows.columns if c not in ("todo_id", "position")]))).alias("items"))
+    joined = requests.join(ocr.ocr_documents(frame(spark, schemas.EXTRACTION, readings)), "todo_id", "left")
+    got = by(checklist.long_form(ocr.enrich_ocr(joined)).collect())
     expected = {"conflict": "fail", "expired": "fail", "legacy": "manual", "good": "pass", "untyped": "manual", "wrong": "fail", "road": "pass",
                 "road_old": "fail", "road_legacy": "manual", "stale": "fail", "graver": "fail", "many": "manual", "mixed": "partial", "four": "fail"}
     assert {k: r.status for k, r in got.items()} == expected
@@ -402,7 +405,8 @@ def test_redecision(spark, rules):
     readings = frame(spark, schemas.EXTRACTION, [
         _reading("reg", "business_license", good, fields={"名称": "执照上的有限公司"}),
         _reading("none", "tax_credit", {"C级及以上": False}, ["纳税信用等级为D级，低于C级要求"])])
-    results, items = redecide(apps, sups, mats, rules, registry, readings, AS_OF)
+    reviewed = redecide(apps, sups, mats, rules, registry, readings, AS_OF).cache()
+    results, items = results_of(reviewed), checklist_of(reviewed)
     got, lines = by(results.collect()), {(r.todo_id, r.rule_id): r for r in items.collect()}
     assert {k: got[k].decision for k in ids} == {
         "reg": "manual", "none": "manual", "error": "manual", "related": "manual", "hmt": "manual", "foreign": "skip", "cloud": "skip", "off": "manual"}
