@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...functions import fixed
 from ...functions.dates import find_dates
@@ -104,7 +105,11 @@ def scope_items(scope: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda item: item != ""))
 
 
-@F.pandas_udf("struct<ratio:double,two:string,whole:string>")
+SIMILARITY = T.StructType([
+    T.StructField("ratio", T.DoubleType()), T.StructField("two", T.StringType()), T.StructField("whole", T.StringType())])
+
+
+@F.pandas_udf(SIMILARITY)
 def similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Share of matching blocks, only where both sides are given."""
     rows = []

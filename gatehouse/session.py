@@ -39,6 +39,21 @@ def lenient_sql(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", previous)
 
 
+SMALL_TABLE = 1 << 30
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small table over all cores before costly projections.
+
+    A file of a few megabytes is one part that a single task reads. Above a gigabyte a
+    table has parts enough, and it is left as it is.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_TABLE:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder the cluster names; a folder of our own only where none is set."""
     spark = df.sparkSession
