@@ -39,8 +39,8 @@ def _reversed_name(text: Column) -> Column:
     return F.try_element_at(F.array_compact(F.transform(lines, candidate)), F.lit(1))
 
 
-def _legal_person(text: Column) -> Column:
-    value = grab(text, ["法定代表人"], fixed.VALUE_60)
+def _legal_person(text: Column, value: Column) -> Column:
+    """The labelled value without the debris of a neighbouring column."""
     cuts = "(?i)(?:" + "|".join(fixed.PERSON_CUTS) + r")[\s\S]*$"
     cleaned = F.btrim(swap(value, cuts, ""), F.lit(" \t" + fixed.VALUE_TRIM))
     cleaned = F.coalesce(find(cleaned, fixed.PERSON_DASH_NOISE), cleaned)
@@ -65,13 +65,14 @@ def read_licence(docs: DataFrame) -> DataFrame:
                 r"^型(?=\s)", "类型", multiline=True)
     staged = docs.withColumn("__t", text)
     t = F.col("__t")
+    staged = staged.withColumn("__person", grab(t, ["法定代表人"], fixed.VALUE_60))
     term = find(t, fixed.TERM)
     unbounded = has(F.regexp_extract(blank(F.col("text")), fixed.RAW_TERM, 0), fixed.STARS)
     return staged.select(
         *docs.columns,
         F.upper(F.coalesce(find(t, fixed.CREDIT_CODE), find(t, fixed.BARE_CREDIT_CODE))).alias("code"),
         F.coalesce(grab(t, ["名称"], fixed.VALUE_60), _reversed_name(t)).alias("company"),
-        _legal_person(t).alias("person"),
+        _legal_person(t, F.col("__person")).alias("person"),
         F.regexp_extract(t, fixed.PERSON_WINDOW, 0).alias("person_window"),
         grab(t, ["住所"], fixed.VALUE_120).alias("address"),
         licence_capital(t).alias("capital"),
