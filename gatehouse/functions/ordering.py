@@ -51,6 +51,15 @@ def _same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+def unnested(df: DataFrame, columns: list[str], array: Column, name: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer test the array for emptiness below the explode,
+    which computes it twice; the outer form does not, and its empty rows are dropped here.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def joined_text(df: DataFrame, keys: list[str], order: Column, text: Column, cell: Column,
                 separator: str, name: str = "text") -> DataFrame:
     """Texts of a group in order, joined per cell first and then cell by cell."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.ordering import unnested
 from ..functions.hashing import content_digest, event_digest
 
 SEGMENT = 1024
@@ -38,8 +39,7 @@ def build_chain(events: DataFrame, keys: list[str], size: int = SEGMENT) -> Data
             row["payload"].alias("payload"), acc["last"].alias("previous"), value.alias("hash")))).alias("links"))
 
     folded = F.aggregate("rows", start, step, lambda acc: acc["links"])
-    return (chains.select(*keys, "segment", F.explode(folded).alias("link"))
-            .select(*keys, "segment", "link.*"))
+    return unnested(chains, [*keys, "segment"], folded, "link").select(*keys, "segment", "link.*")
 
 
 def chain_heads(events: DataFrame, keys: list[str], size: int = SEGMENT) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import short_number
+from ..functions.ordering import unnested
 from ..functions.outcome import say
 from ..functions.text import blank
 from .financial import assessment_detail, year_status
@@ -183,4 +184,4 @@ def verify_items(requests: DataFrame) -> DataFrame:
 
 def long_form(requests: DataFrame) -> DataFrame:
     """The checklist as one row per (request, rule)."""
-    return requests.select("todo_id", F.explode("items").alias("item")).select("todo_id", "item.*")
+    return unnested(requests, ["todo_id"], F.col("items"), "item").select("todo_id", "item.*")

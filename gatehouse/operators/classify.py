@@ -340,11 +340,11 @@ def typed_flags(mats: DataFrame) -> DataFrame:
 def proof_files(mats: DataFrame) -> DataFrame:
     """C10 + C11: distinct names of performance and transport files of each request, in upload
     order, each as one text. Only flagged uploads are shuffled, and copies are folded first."""
-    from ..functions.ordering import joined_text
+    from ..functions.ordering import joined_text, unnested
 
     kinds = F.array_compact(F.array(
         F.when(performance_flag(), F.lit("performance")), F.when(transport_flag(), F.lit("transport"))))
-    firsts = (mats.select("todo_id", "file_name", "position", F.explode(kinds).alias("kind"))
+    firsts = (unnested(mats, ["todo_id", "file_name", "position"], kinds, "kind")
               .groupBy("todo_id", "kind", "file_name").agg(F.min("position").alias("position")))
     texts = joined_text(
         firsts, ["todo_id", "kind"], F.struct("position", "file_name"), F.col("file_name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import split_ordinal
+from ..functions.ordering import split_ordinal, unnested
 from ..functions.text import compare_form
 
 KEYS = ["doc_id", "doc_type"]
@@ -29,7 +29,7 @@ def compare_engines(a: DataFrame, b: DataFrame) -> DataFrame:
             (compare_form(F.col("fa")[k]) == compare_form(F.col("fb")[k])).alias("same"))),
         F.transform(checks, lambda k: F.struct(
             F.lit("check").alias("kind"), k.alias("key"), F.col("ca")[k].eqNullSafe(F.col("cb")[k]).alias("same"))))
-    return both.select(*KEYS, F.explode(rows).alias("r")).select(*KEYS, "r.*")
+    return unnested(both, KEYS, rows, "r").select(*KEYS, "r.*")
 
 
 def passes(checks: Column, issues: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.numbers import short_number
 from ..functions.outcome import say
-from ..functions.text import blank, numbered
+from ..functions.text import blank, numbered, squeeze
 
 
 def decide(checklist: DataFrame) -> DataFrame:
@@ -30,11 +30,6 @@ def verdict(reject: Column, manual: Column) -> Column:
     return F.when(reject, "reject").when(manual, "manual").otherwise("recommend")
 
 
-def _ordered(*values: Column, when: Column) -> Column:
-    """Values of the matching items as one array in review order (bounded by the catalogue)."""
-    return F.array_sort(F.collect_list(F.when(when, F.struct(*values))))
-
-
 def opinion_stage2(checklist: DataFrame, suppliers: DataFrame) -> DataFrame:
     """A2 + W4: decision and numbered opinion text of each request, from the long checklist.
 
@@ -125,26 +120,29 @@ def decision_summary(results: DataFrame) -> DataFrame:
         F.sum(F.size(F.coalesce("ocr_issues", F.array().cast("array<string>")))).alias("ocr_issues"))
 
 
-def opinion_final(checklist: DataFrame, results: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """A3: the text sent back, from the final checklist, the stage-2 result and the profile.
+def opinion_final(requests: DataFrame) -> DataFrame:
+    """A3: the text sent back, as a projection of the reviewed request.
 
-    `results`: todo_id, decision, opinion, skip_reason. `suppliers`: todo_id,
-    domestic_tip, financial_status (matched / mismatch / missing / unknown).
+    Needs todo_id, items, decision, opinion, skip_reason, domestic_tip and
+    financial_status (matched / mismatch / missing / unknown).
     """
-    status, detail = F.col("status"), blank(F.col("detail"))
-    failed = status == "fail"
-    lacking = F.coalesce(F.regexp_replace(detail, r"(?U)\s+", "").rlike(fixed.MISSING_DETAIL), F.lit(False))
-    folded = checklist.groupBy("todo_id").agg(
-        F.bool_or(failed).alias("any_fail"),
-        F.bool_or(failed & lacking).alias("any_lacking"),
-        F.bool_or((F.col("rule_id") == "A08") & (status != "skip")).alias("has_a08"),
-        _ordered("position", "rule_id", "name", detail.alias("detail"), when=failed & lacking).alias("lacking"),
-        _ordered("position", "rule_id", "name", detail.alias("detail"), when=failed & ~lacking).alias("other"),
-        _ordered("position", "rule_id", "name", detail.alias("detail"),
-                 when=status.isin("pending", "partial", "manual")).alias("open"),
-    )
-    extra = suppliers.select("todo_id", "domestic_tip", "financial_status")
-    joined = results.join(folded, "todo_id", "left").join(extra, "todo_id", "left")
+    def lacks(item: Column) -> Column:
+        return F.coalesce(squeeze(item["detail"]).rlike(fixed.MISSING_DETAIL), F.lit(False))
+
+    def where(test) -> Column:
+        return F.filter("items", lambda i: F.coalesce(test(i), F.lit(False)))
+
+    def plain(items: Column) -> Column:
+        return F.transform(items, lambda i: F.struct(
+            i["rule_id"].alias("rule_id"), i["name"].alias("name"), blank(i["detail"]).alias("detail")))
+
+    joined = requests.select(
+        "todo_id", "decision", "opinion", "skip_reason", "domestic_tip", "financial_status",
+        F.coalesce(F.size("items") > 0, F.lit(False)).alias("has_items"),
+        plain(where(lambda i: (i["status"] == "fail") & lacks(i))).alias("lacking"),
+        plain(where(lambda i: (i["status"] == "fail") & ~lacks(i))).alias("other"),
+        plain(where(lambda i: i["status"].isin("pending", "partial", "manual"))).alias("open"),
+        F.exists("items", lambda i: (i["rule_id"] == "A08") & (i["status"] != "skip")).alias("has_a08"))
     needs_report = F.coalesce("has_a08", F.lit(False)) & F.coalesce(
         F.col("financial_status").isin("missing", "mismatch"), F.lit(False))
     none = F.array().cast("array<string>")
@@ -194,15 +192,15 @@ def opinion_final(checklist: DataFrame, results: DataFrame, suppliers: DataFrame
                          F.concat(F.lit("转人工。"), F.array_join(reasons, "；")))
     decision = F.coalesce("decision", F.lit("manual"))
     text = (
-        F.when(F.col("any_lacking") | needs_report | (decision == "reject"), back)
-        .when(F.col("any_fail") | (F.size("open") > 0) | (decision == "manual"), manual)
+        F.when((F.size("lacking") > 0) | needs_report | (decision == "reject"), back)
+        .when((F.size("other") > 0) | (F.size("open") > 0) | (decision == "manual"), manual)
         .otherwise("同意。各项审核均通过，建议后续常规管理。"))
     tip = F.nullif(F.col("domestic_tip"), F.lit(""))
     stage2 = F.nullif(F.col("opinion"), F.lit(""))
     final = (
         F.when(decision == "skip", F.concat_ws("\n\n", F.coalesce(
             stage2, F.col("skip_reason"), F.lit("该供应商不适用标准审批流程")), tip))
-        .when(F.col("any_fail").isNull(), F.when(decision == "manual", F.coalesce(
+        .when(~F.col("has_items"), F.when(decision == "manual", F.coalesce(
             stage2, F.lit("转人工。缺少核验清单，无法确认审核完成。"))).otherwise(
             "转人工。缺少核验清单，无法确认审核完成。"))
         .otherwise(F.concat_ws("\n\n", text, tip)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.dates import canonical_term, day8, is_term, plain_term
-from ..functions.ordering import joined_text
+from ..functions.ordering import joined_text, unnested
 from ..functions.text import find_all, has_any, squeeze
 
 PAGE = ["doc_id", "page_id"]
@@ -64,8 +64,9 @@ def reading_order(boxes: DataFrame) -> DataFrame:
                 b["text"].alias("text")))).alias("out"))
 
     placed = F.array_sort(F.aggregate("boxes", start, step, lambda acc: acc["out"]))
-    return grouped.select(*PAGE, "block", F.posexplode(placed).alias("place", "b")).select(
-        *PAGE, "block", "b.row", "place", "b.line_no", "b.text")
+    numbered = F.transform(placed, lambda b, i: F.struct(i.alias("place"), b.alias("b")))
+    return unnested(grouped, [*PAGE, "block"], numbered, "p").select(
+        *PAGE, "block", "p.b.row", "p.place", "p.b.line_no", "p.b.text")
 
 
 def row_texts(ordered: DataFrame) -> DataFrame:

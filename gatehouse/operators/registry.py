@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import registry_capital, short_number
+from ..functions.ordering import unnested
 from ..functions.outcome import say
 from ..functions.text import blank, has_any, or_null
 from .financial import assessment_detail, report_periods
@@ -25,7 +26,7 @@ def match_registry(suppliers: DataFrame, registry: DataFrame, keys: list[str],
         F.when(or_null(F.col(name).cast("string")).isNotNull(), F.struct(
             F.lit(rank).alias("rank"), F.col(name).cast("string").alias("key")))
         for rank, name in enumerate(keys)]))
-    wanted = suppliers.select(key, F.explode(ranked).alias("k")).select(key, "k.rank", "k.key")
+    wanted = unnested(suppliers, [key], ranked, "k").select(key, "k.rank", "k.key")
     columns = [c for c in registry.columns if c != "key"]
     best = (wanted.join(registry, "key").groupBy(key).agg(
         F.min_by(F.struct("rank", *columns), "rank").alias("m")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.ordering import joined_text
+from ..functions.ordering import joined_text, unnested
 from ..functions.outcome import say
 from ..functions.text import blank, shown
 from .rules import Rule
@@ -19,21 +19,23 @@ def required_of(rule_id: Column) -> Column:
         for rule, (kind, label) in fixed.REQUIRED_MATERIALS.items()])
 
 
-def missing_materials(checklist: DataFrame, uploaded: DataFrame) -> DataFrame:
+def missing_materials(requests: DataFrame) -> DataFrame:
     """Required but not uploaded, one row per (request, rule, label).
 
-    `uploaded`: todo_id, classified_materials, financial_submitted (a roll-up, one
-    row per request). Items that do not apply are left out.
+    `requests` carry items, classified_materials and financial_submitted, so what is
+    required meets what is uploaded in one row. Items that do not apply are left out.
     """
-    rows = checklist.filter("status <> 'skip' and rule_id not like 'D2%'").join(uploaded, "todo_id", "left")
+    kept = ["todo_id", "classified_materials", "financial_submitted"]
+    rows = unnested(requests, kept, F.col("items"), "i").select(
+        "todo_id", "classified_materials", "financial_submitted", "i.rule_id", "i.name", "i.status", "i.has_files")
+    rows = rows.filter("status <> 'skip' and rule_id not like 'D2%'")
     need = required_of(F.col("rule_id"))
     types = F.coalesce("classified_materials", F.array().cast("array<string>"))
     label = (
         F.when(F.col("rule_id") == "E2", F.when(~F.col("has_files"), "过往业绩证明"))
         .when(F.col("rule_id") == "A08", F.when(~F.col("financial_submitted"), "经审计的上年度财报"))
         .when(~F.array_contains(types, need["type"]), need["label"]))
-    return (rows.select("todo_id", "rule_id", "name", label.alias("label"))
-            .filter("label is not null").dropDuplicates(["todo_id", "rule_id", "label"]))
+    return rows.select("todo_id", "rule_id", "name", label.alias("label")).filter("label is not null")
 
 
 def passed_checks(attachments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.ordering import unnested
 from ..functions.text import blank, first_word, has_any, trim
 from .rules import Rule
 
@@ -158,4 +159,4 @@ def applicable_rules(routed: DataFrame, rules: list[Rule], key: str = "todo_id")
         F.when(applies(rule), F.struct(
             F.lit(rule.id).alias("rule_id"), rule_position(rule, rules).alias("position")))
         for rule in rules]))
-    return routed.select(key, F.explode(items).alias("r")).select(key, "r.rule_id", "r.position")
+    return unnested(routed, [key], items, "r").select(key, "r.rule_id", "r.position")

@@ -115,10 +115,9 @@ def title_years(spark, sf):
 
 
 def missing_materials(spark, sf):
-    prepared = requests(spark, sf, texts=False)
-    uploaded = prepared.select("todo_id", "classified_materials", "financial_submitted")
-    items = checklist.build_checklist(prepared, CATALOGUE, AS_OF)
-    return review.missing_materials(items, uploaded).select("todo_id", "rule_id", "label")
+    kept = ["todo_id", "classified_materials", "financial_submitted"]
+    items = checklist.checklist_items(requests(spark, sf, texts=False), CATALOGUE, AS_OF, kept)
+    return review.missing_materials(items).select("todo_id", "rule_id", "label")
 
 
 # --- checklist and decision -------------------------------------------------------
@@ -158,14 +157,12 @@ def opinion_text(spark, sf):
 
 
 def opinion_final(spark, sf):
-    prepared = requests(spark, sf)
-    items = checklist.build_checklist(prepared, CATALOGUE, AS_OF)
-    day = F.lit(AS_OF).cast("date")
-    extra = prepared.select(
-        "todo_id", F.lit("").alias("domestic_tip"), financial.year_status(
-            F.col("financial_submitted"), F.col("financial_years"), day).alias("financial_status"))
-    results = decide.decide(items).withColumn("opinion", F.lit("")).withColumn("skip_reason", F.lit(""))
-    return decide.opinion_final(items, results, extra).select("todo_id", "final_opinion")
+    kept = ["todo_id", "financial_submitted", "financial_years"]
+    items = decide.decide_items(checklist.checklist_items(requests(spark, sf), CATALOGUE, AS_OF, kept))
+    status = financial.year_status(F.col("financial_submitted"), F.col("financial_years"), F.lit(AS_OF).cast("date"))
+    reviewed = items.withColumns({
+        "financial_status": status, "domestic_tip": F.lit(""), "opinion": F.lit(""), "skip_reason": F.lit("")})
+    return decide.opinion_final(reviewed).select("todo_id", "final_opinion")
 
 
 # --- registry ---------------------------------------------------------------------

@@ -395,13 +395,15 @@ coalesce(years, '') AS title_years FROM base""",
     "decision_summary": f"""WITH {ITEMS}, {VERDICTS} SELECT decision, count(*) AS requests, CAST(sum(failed) AS BIGINT) AS failed_items,
 CAST(sum(manuals) AS BIGINT) AS manual_items FROM decided GROUP BY decision""",
     "opinion_text": f"WITH {ITEMS}, {VERDICTS}, {OPINION} SELECT todo_id, decision, opinion FROM written",
-    "opinion_final": f"""WITH {ITEMS}, {FINAL} SELECT todo_id, CASE WHEN any_lacking OR report OR reject THEN
+    "opinion_final": f"""WITH {ITEMS}, {FINAL}, texts AS (SELECT todo_id, CASE WHEN any_lacking OR report OR reject THEN
 concat_ws(chr(10), CASE WHEN len(supplements) > 0 THEN '退回。' || list_aggregate(list_transform(supplements, lambda x, i: i || '. ' || x), 'string_agg', '；') || '。补充后重新提交。'
   ELSE '退回。具体见上方审查报告。' END,
   CASE WHEN len(coalesce(back_notes, [])) > 0 THEN '另需整改/核实：' || list_aggregate(back_notes, 'string_agg', '；') || '。' END)
 WHEN any_fail OR manual OR len(coalesce(notes, [])) > 0 THEN concat_ws(chr(10), CASE WHEN report THEN '需补充：经审计的上年度财报。' END,
   '转人工。' || list_aggregate(list_concat(coalesce(fail_notes, []), coalesce(notes, [])), 'string_agg', '；'))
-ELSE '同意。各项审核均通过，建议后续常规管理。' END AS final_opinion FROM supplemented""",
+ELSE '同意。各项审核均通过，建议后续常规管理。' END AS final_opinion FROM supplemented)
+SELECT b.todo_id, coalesce(final_opinion, '转人工。缺少核验清单，无法确认审核完成。') AS final_opinion
+FROM base b LEFT JOIN texts t ON b.todo_id = t.todo_id""",
     "registry_match": f"""WITH {SUP}, reg AS (SELECT 'C' || s_suppkey AS k, s_suppkey FROM supplier
 UNION ALL SELECT 'A' || CAST(floor(s_acctbal) AS BIGINT), min(s_suppkey) FROM supplier GROUP BY 1
 UNION ALL SELECT n_name, min(s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)

@@ -280,9 +280,8 @@ def test_checklist_items(spark, rules):
     assert rows["b", "A10"].status == "pass" and rows["b", "C1_02"].status == "pending" and rows["b", "C1_05"].status == "skip"
     stage1 = by(review_stage1(apps, sups, mats, rules, AS_OF).collect())
     assert stage1["a"].decision == "reject" and stage1["a"].opinion.startswith("退回。\n存在问题：\n  1. 注册资本499.99万元，未达到500万元要求\n请补充资质文件：\n  2. ISO 9001、ISO 14001 认证证书（须为贵司认证且在有效期内）")
-    uploaded = prepared.select("todo_id", "classified_materials", "financial_submitted")
-    lacking = {(r.rule_id, r.label) for r in review.missing_materials(
-        checklist.build_checklist(prepared, rules, AS_OF), uploaded).filter("todo_id = 'a'").collect()}
+    items = checklist.checklist_items(prepared, rules, AS_OF, ["todo_id", "classified_materials", "financial_submitted"])
+    lacking = {(r.rule_id, r.label) for r in review.missing_materials(items).filter("todo_id = 'a'").collect()}
     assert ("C1_05", "生产许可证/强制认证") in lacking and ("A08", "经审计的上年度财报") not in lacking
 
 
@@ -309,7 +308,10 @@ def test_final_opinion(spark):
                                      for k, d in states.items()], "todo_id string, decision string, opinion string, skip_reason string")
     extra = spark.createDataFrame([(k, "提示" if k == "skip" else "", "mismatch" if k == "report" else "matched") for k in states],
                                   "todo_id string, domestic_tip string, financial_status string")
-    got = {r.todo_id: r.final_opinion for r in decide.opinion_final(items, results, extra).collect()}
+    grouped = items.groupBy("todo_id").agg(F.array_sort(F.collect_list(F.struct(
+        "position", "rule_id", "name", "status", "detail"))).alias("items"))
+    reviewed = results.join(extra, "todo_id").join(grouped, "todo_id", "left")
+    got = {r.todo_id: r.final_opinion for r in decide.opinion_final(reviewed).collect()}
     assert got["missing"] == "退回。1. 缺少纳税信用等级证明（须为正规文件，C级及以上）；2. 缺少新增专项资质证明。补充后重新提交。"
     assert got["after"] == "退回。1. 缺少售后服务五星认证或售后服务承诺函。补充后重新提交。"
     assert "缺少营业执照副本" not in got["fields"] and "[A01]法律主体资格：OCR核验发现问题" in got["fields"]
