@@ -70,7 +70,7 @@ def short_number(value: Column) -> Column:
     """At most six significant digits, no trailing zeros, exponent from a million on."""
     size = F.abs(value)
     text = F.format_string("%.0f", value)
-    for whole in range(5, 0, -1):
+    for whole in range(5, -4, -1):
         text = F.when(size < F.lit(10.0 ** whole - 0.5 * 10.0 ** (whole - 6)),
                       F.format_string(f"%.{6 - whole}f", value)).otherwise(text)
     text = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)

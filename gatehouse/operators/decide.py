@@ -178,7 +178,10 @@ def opinion_final(requests: DataFrame) -> DataFrame:
         F.when(needs_report, F.array(F.lit(fixed.A08_MISSING))).otherwise(none),
         F.transform(without_report("other"), lambda r: F.concat(
             tagged(r), r["detail"], F.lit("；请整改并提交符合要求的材料")))))
-    open_items = F.transform(without_report("open"), clipped)
+    joined = joined.select("*", supplements.alias("__supplements"), F.transform(
+        without_report("open"), clipped).alias("__open"), F.concat(
+        F.transform("other", clipped), F.transform("open", clipped)).alias("__reasons"))
+    supplements, open_items = F.col("__supplements"), F.col("__open")
     back = F.concat_ws(
         "\n",
         F.when(F.size(supplements) > 0, F.concat(
@@ -186,8 +189,7 @@ def opinion_final(requests: DataFrame) -> DataFrame:
         ).otherwise("退回。具体见上方审查报告。"),
         F.when(F.size(open_items) > 0, F.concat(
             F.lit("另需整改/核实："), F.array_join(open_items, "；"), F.lit("。"))))
-    reasons = F.concat(F.transform("other", clipped), F.transform("open", clipped))
-    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("部分审核项需人工核验")))
+    reasons = F.when(F.size("__reasons") > 0, F.col("__reasons")).otherwise(F.array(F.lit("部分审核项需人工核验")))
     manual = F.concat_ws("\n", F.when(needs_report, "需补充：经审计的上年度财报。"),
                          F.concat(F.lit("转人工。"), F.array_join(reasons, "；")))
     decision = F.coalesce("decision", F.lit("manual"))
