@@ -15,7 +15,6 @@ from ..operators.extract import confidence_distribution as distribution
 from ..operators.extract import extract_all, to_extract
 from ..operators.profile import with_region
 from ..streaming import jobs
-from . import adapters
 from .adapters import AS_OF, HMT_NATIONS, materials, requests, suppliers, table, view
 
 CATALOGUE = rules.load_catalogue()
