@@ -34,17 +34,38 @@ READERS = {
 }
 PAGED = {"production", "transport"}
 DISABLED = ["financial_report"]
+#: What a reading depends on: the content, the engine, and the type it is read as.
+READING = ["sha256", "engine", "doc_type"]
 
 
 def to_extract(docs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Documents whose (digest, engine) has no cached reading, one per digest and type.
+    """The documents to read: one per (digest, engine, type) that has no cached reading.
 
-    The choice is made on digests alone; texts meet only for the chosen rows.
+    A document without digest or engine cannot share a reading and is read itself. The choice is made on
+    digests alone, by a partial aggregate; texts meet only for the chosen rows. `shared_results` gives the results back.
     """
-    keys = ["sha256", "engine"]
-    chosen = (docs.select(*keys, "doc_type", "doc_id").join(cache.select(*keys).distinct(), keys, "left_anti")
-              .groupBy(*keys, "doc_type").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    return docs.join(chosen, "doc_id", "left_semi")
+    known = F.col("sha256").isNotNull() & F.col("engine").isNotNull()
+    cached = [c for c in READING if c in cache.columns]
+    chosen = (docs.filter(known).select(*READING, "doc_id").join(cache.select(*cached).distinct(), cached, "left_anti")
+              .groupBy(*READING).agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    return docs.filter(known).join(chosen, "doc_id", "left_semi").unionByName(docs.filter(~known))
+
+
+def shared_results(docs: DataFrame, results: DataFrame, cache: DataFrame) -> DataFrame:
+    """The result of every upload: its own, or that of the reading it shares.
+
+    `results`: those of the documents `to_extract` chose (doc_id and whatever they hold); `cache`: the same columns with
+    `READING` instead of doc_id. Names, positions and requests stay those of the upload.
+    """
+    known = F.col("sha256").isNotNull() & F.col("engine").isNotNull()
+    values = [c for c in results.columns if c not in (*DOC_COLUMNS, *READING) or c == "error"]
+    read = docs.select("doc_id", *READING).join(results.select("doc_id", *values), "doc_id")
+    by_reading = read.filter(known).drop("doc_id").unionByName(cache.select(*READING, *values).join(
+        read.filter(known).select(*READING), READING, "left_anti"))
+    own = [c for c in docs.columns if c not in values]
+    shared = docs.filter(known).select(*own).join(by_reading, READING, "left")
+    alone = docs.filter(~known).select(*own).join(results.select("doc_id", *values), "doc_id", "left")
+    return shared.select(*own, *values).unionByName(alone.select(*own, *values))
 
 
 def extract_all(docs: DataFrame, lines: DataFrame, suppliers: DataFrame, as_of: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.outcome import say
-from ..functions.text import blank, file_stem, has, has_any, strip_comments
+from ..functions.text import blank, has, has_any, strip_comments
 from .classify import match_files
 from .extract.identity import keep_allowed_fields
 
@@ -65,11 +65,3 @@ def mask_outcomes(files: DataFrame, cards: DataFrame, mats: DataFrame) -> DataFr
         .when(F.coalesce("cards", F.lit(0)) == 0, "PaddleOCR 未返回识别结果"))
     return joined.select("todo_id", "file", outcome.alias("outcome"), reason.alias("reason"),
                          F.coalesce("cards", F.lit(0)).alias("cards"))
-
-
-def material_owner(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-
-
-def stem_of(path: Column) -> Column:
-    return file_stem(path)

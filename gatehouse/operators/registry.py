@@ -29,7 +29,8 @@ def match_registry(suppliers: DataFrame, registry: DataFrame, keys: list[str],
     wanted = unnested(suppliers, [key], ranked, "k").select(key, "k.rank", "k.key")
     columns = [c for c in registry.columns if c != "key"]
     best = (wanted.join(registry, "key").groupBy(key).agg(
-        F.min_by(F.struct("rank", *columns), "rank").alias("m")))
+        # two records under one key: the first in the order of their values
+        F.min_by(F.struct("rank", *columns), F.struct("rank", F.to_json(F.struct(*columns)))).alias("m")))
     return best.select(key, F.col("m.rank").alias("match_rank"), *[F.col(f"m.{c}").alias(c) for c in columns])
 
 

@@ -9,7 +9,6 @@ from .. import schemas
 from ..operators.classify import with_type_flags
 from ..operators.profile import with_inspection, with_license_need, with_region
 from ..operators.routing import route_rule_sets
-from ..session import spread_small
 from .redecision import add_uploads
 
 TABLES = [
@@ -63,16 +62,9 @@ OCR_DOC = "SELECT doc_id, text, lang, source AS owner, n_chars AS size FROM docu
 VIEWS = {"application": APPLICATION, "supplier_view": SUPPLIER, "material": MATERIAL, "log": LOG, "ocr_doc": OCR_DOC}
 
 
-# tables that costly projections run over, with the key they are next grouped or joined by
-SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
-
-
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name in SPREAD:
-            df = spread_small(df, SPREAD[name])
-        df.createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 _NEEDS = {

@@ -12,7 +12,8 @@ from ..operators import audit, checklist, classify, compare, decide, financial,
 from ..operators import registry as reg
 from ..operators import retention, review, routing, rules, state
 from ..operators.extract import confidence_distribution as distribution
-from ..operators.extract import extract_all, to_extract
+from ..operators.extract import extract_all, shared_results, to_extract
+from ..operators.extract.dispatch import READING
 from ..operators.profile import with_region
 from ..streaming import jobs
 from .adapters import AS_OF, HMT_NATIONS, materials, requests, suppliers, table, view
@@ -363,7 +364,7 @@ def call_counts_stream(spark, sf):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     calls = jobs.call_counts_stream(events.select(
         F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind")))
-    counted = jobs.run_to_table(calls, jobs.shared_folder(spark, "call-counts"))
+    counted = jobs.run_to_table(calls, jobs.stream_folder(spark, "call-counts"), ["day", "endpoint"])
     return counted.select(day_text(F.col("day")).alias("day"), "endpoint", "calls")
 
 
@@ -405,6 +406,17 @@ def audit_chain_broken(spark, sf):
         "key", "segment", "seq", "broken_link", "broken_hash")
 
 
+def audit_chain_gap(spark, sf):
+    """Chains of which whole segments or tails of segments were deleted, against the seals made before."""
+    rows = _audit_rows(spark, sf)
+    sealed = audit.seals(audit.chain_heads(rows, ["key"], 256), ["key"], 8)
+    number = F.floor(F.col("seq") / 256)
+    segment_gone = (F.col("key") % 5 == 0) & (number % 4 == 1)
+    tail_gone = (F.col("key") % 5 == 1) & (number % 4 == 2) & (F.col("seq") % 256 >= 128)
+    left = audit.chain_heads(rows.filter(~(segment_gone | tail_gone)), ["key"], 256)
+    return audit.verify_seals(left, sealed, ["key"], 8).select("key", "level", "block", "problem", "lost")
+
+
 def valid_results(spark, sf):
     results = applications(spark, sf).select(
         "todo_id", F.when(F.col("bill_type") == "P0704", "offline").otherwise("online").alias("ocr_mode"))
@@ -469,10 +481,13 @@ def mask_documents(spark, sf):
 
 
 def extract_dedupe(spark, sf):
+    """The reading of every upload (X21): its own, a shared or a cached one; some uploads have no digest."""
+    digest = F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256))
     docs = view(spark, sf, "ocr_doc").select(
-        "doc_id", F.col("lang").alias("doc_type"), "owner", F.sha2("text", 256).alias("sha256"), F.lit("e1").alias("engine"))
-    cache = docs.filter("owner = 'src0'").select("sha256", "engine")
-    return to_extract(docs, cache).select("doc_id", "doc_type", "sha256")
+        "doc_id", F.col("lang").alias("doc_type"), "owner", digest.alias("sha256"), F.lit("e1").alias("engine"))
+    old = docs.filter("owner = 'src0' and sha256 is not null").groupBy(*READING).agg(F.min("doc_id").alias("reading"))
+    results = to_extract(docs, old).select("doc_id", F.col("doc_id").alias("reading"))
+    return shared_results(docs, results, old).select("doc_id", "doc_type", "sha256", "reading")
 
 
 def page_text(spark, sf):
@@ -534,7 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "certificate_terms": certificate_terms, "licence_checks": licence_checks, "resume_pending": resume_pending,
     "latest_state": latest_state, "call_counts": call_counts, "call_counts_stream": call_counts_stream,
     "expired_inventory": expired_inventory, "first_claims": first_claims, "audit_chain_head": audit_chain_head,
-    "audit_chain_broken": audit_chain_broken, "valid_results": valid_results,
+    "audit_chain_broken": audit_chain_broken, "audit_chain_gap": audit_chain_gap, "valid_results": valid_results,
     "results_in_force": results_in_force, "merge_results": merge_results,
     "identity_violations": identity_violations, "fresh_tasks": fresh_tasks, "mask_documents": mask_documents,
     "extract_dedupe": extract_dedupe, "page_text": page_text, "engine_agreement": engine_agreement,

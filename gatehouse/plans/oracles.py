@@ -466,6 +466,12 @@ kept AS (SELECT *, lag(hash, 1, repeat('0', 64)) OVER (PARTITION BY key, segment
 judged AS (SELECT key, segment, seq, previous <> before AS broken_link,
 hash <> sha256(previous || moment || kind || CASE WHEN kind = 'error' THEN replace(payload, ' ', '') ELSE payload END) AS broken_hash FROM kept)
 SELECT * FROM judged WHERE broken_link OR broken_hash""",
+    "audit_chain_gap": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id // 256 AS segment,
+((user_id % 5 = 0 AND event_id // 256 % 4 = 1) OR (user_id % 5 = 1 AND event_id // 256 % 4 = 2 AND event_id % 256 >= 128)) AS gone FROM events),
+top AS (SELECT max(segment) AS last FROM e),
+levels AS (SELECT 0 AS level, 1 AS width UNION ALL SELECT level + 1, width * 8 FROM levels, top WHERE level = 0 OR last // width > 0),
+b AS (SELECT key, level, segment // width AS block, count(*) AS was, count(*) FILTER (WHERE gone) AS lost FROM e, levels GROUP BY ALL)
+SELECT key, level, block, CASE WHEN lost = was THEN 'missing' ELSE 'changed' END AS problem, lost FROM b WHERE lost > 0""",
     "valid_results": f"""WITH {APPS}, r AS (SELECT todo_id, CASE WHEN bill_type = 'P0704' THEN 'offline' ELSE 'online' END AS ocr_mode FROM app)
 SELECT * FROM r WHERE EXISTS (SELECT 1 FROM events WHERE user_id = todo_id AND CASE WHEN event_type IN ('click', 'view') THEN 'online'
 WHEN event_type = 'error' THEN 'offline' END = ocr_mode)""",
@@ -483,8 +489,9 @@ CASE WHEN o_totalprice > 300000 THEN 'task_id' END, CASE WHEN o_orderstatus <> '
     "mask_documents": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
 '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[IP]', 'g'),
 'token = "[0-9A-Za-z]+"', 'token = "[SECRET]"', 'g'), '[0-9]{16}', '[NUMBER]', 'g') AS text FROM documents""",
-    "extract_dedupe": """WITH d AS (SELECT doc_id, lang AS doc_type, source, sha256(text) AS sha256 FROM documents)
-SELECT min(doc_id) AS doc_id, doc_type, sha256 FROM d WHERE sha256 NOT IN (SELECT sha256 FROM d WHERE source = 'src0') GROUP BY doc_type, sha256""",
+    "extract_dedupe": """WITH d AS (SELECT doc_id, lang AS doc_type, source, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS sha256 FROM documents),
+r AS (SELECT sha256, doc_type, coalesce(min(doc_id) FILTER (WHERE source = 'src0'), min(doc_id)) AS reading FROM d WHERE sha256 IS NOT NULL GROUP BY ALL)
+SELECT doc_id, d.doc_type, d.sha256, coalesce(reading, doc_id) AS reading FROM d LEFT JOIN r ON d.sha256 = r.sha256 AND d.doc_type = r.doc_type""",
     "page_text": r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))) AS rows FROM documents)
 SELECT doc_id, list_aggregate(list_filter(rows, lambda x: x <> ''), 'string_agg', chr(10)) AS page_text FROM l WHERE len(list_filter(rows, lambda x: x <> '')) > 0""",
     "engine_agreement": f"""WITH {ENGINES}, per AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'field') AS f, count(*) FILTER (WHERE kind = 'field' AND same) AS fs,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -39,26 +39,15 @@ def lenient_sql(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", previous)
 
 
-SMALL_TABLE = 1 << 30
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as `spark.checkpoint.dir` names it.
 
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small table over all cores before costly projections.
-
-    A file of a few megabytes is one part that a single task reads. Above a gigabyte a
-    table has parts enough, and it is left as it is.
+    A local session without the setting gets a folder of its own; a cluster without it is an error.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_TABLE:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; a folder of our own only where none is set."""
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gatehouse-checkpoint-"))
-    return df.checkpoint()
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gatehouse-")
+    return folder

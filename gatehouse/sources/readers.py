@@ -74,7 +74,11 @@ def read_todo_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.col("r.businessBillId").alias("business_bill_id"), F.col("r.procInstId").alias("proc_inst_id"),
         F.col("r.actInstId").alias("act_inst_id"), F.col("r.actInstName").alias("act_inst_name"),
         F.col("r.taskId").alias("task_id"), F.col("r.title").alias("title"),
-        F.try_to_timestamp("r.applyTime").alias("apply_time")).dropDuplicates(["todo_id"])
+        F.try_to_timestamp("r.applyTime").alias("apply_time"))
+    # of several rows of one request the newest counts; equal times are settled by the other columns
+    names = [c for c in apps.columns if c != "todo_id"]
+    apps = apps.groupBy("todo_id").agg(F.max(F.struct("apply_time", *[c for c in names if c != "apply_time"])).alias("v")).select(
+        "todo_id", *[F.col(f"v.{c}").alias(c) for c in names])
     counts = rows.agg(F.max("recordsTotal").alias("stated"), F.count(key).alias("landed"),
                       F.count_distinct(key).alias("distinct_requests"))
     return apps, counts.withColumn("complete", F.col("stated") == F.col("distinct_requests"))
@@ -87,9 +91,9 @@ LIST_SCHEMA = (
 
 
 def read_material_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Attachment lists, one row per upload, in upload order."""
+    """Attachment lists, one row per upload, in upload order; an empty list is one row without a position."""
     lists = spark.read.schema(LIST_SCHEMA).json(path)
-    rows = lists.select(F.col("todoId").alias("todo_id"), F.posexplode("data.supFilesBOList").alias("position", "f"))
+    rows = lists.select(F.col("todoId").alias("todo_id"), F.posexplode_outer("data.supFilesBOList").alias("position", "f"))
     return rows.select(
         "todo_id", "position", F.col("f.uploadId").alias("upload_id"), blank(F.col("f.fileName")).alias("file_name"),
         blank(F.col("f.fileinfoTypeName")).alias("type_name"), blank(F.col("f.fileDesc")).alias("file_desc"),
@@ -126,12 +130,14 @@ def read_ocr(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    """Last progress record per request; malformed lines are skipped."""
-    lines = spark.read.text(path)
+    """Last progress record per request; malformed lines are skipped. Of equal times the later line counts,
+    by file, block and place in the block."""
+    lines = spark.read.text(path).select("value", F.struct(
+        "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"))
     record = F.from_json("value", schemas.PROGRESS, {"mode": "PERMISSIVE"})
-    rows = lines.select(record.alias("r")).filter("coalesce(r.todoId, '') <> ''")
+    rows = lines.select(record.alias("r"), "at").filter("coalesce(r.todoId, '') <> ''")
     latest = rows.groupBy(F.col("r.todoId").alias("todo_id")).agg(
-        F.max_by(F.struct("r.name", "r.decision", "r.ts"), F.struct("r.ts", "r.decision", "r.name")).alias("v"))
+        F.max_by(F.struct("r.name", "r.decision", "r.ts"), F.struct(F.col("r.ts"), F.col("at"))).alias("v"))
     return latest.select("todo_id", "v.name", "v.decision", F.col("v.ts").cast("string").alias("ts"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,41 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import pending
-from ..session import CHECKPOINT_CONF
+from ..session import shared_folder
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one the cluster names; a temporary one only where none is named."""
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    root = root or tempfile.mkdtemp(prefix="gatehouse-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one stream under the one that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def decide_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                  at: str = "apply_time", delay: str = "7 days", once: bool = True) -> StreamingQuery:
+                  once: bool = True) -> StreamingQuery:
     """Decide arriving requests, each key once.
 
-    Repeats within the delay are dropped by the stream, later ones against the
-    decisions already written. A batch writes its own partition in overwrite mode,
-    so a batch that is run again after a failure replaces its own output.
+    Which keys were decided is state of the stream, kept by key and spread over the shuffle partitions, so a batch reads its
+    own rows only. A batch writes its own partition in overwrite mode: one that is run again after a
+    failure replaces its own output.
     """
-    spark = requests.sparkSession
-    fresh = requests.withWatermark(at, delay).dropDuplicatesWithinWatermark(["todo_id"])
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("todo_id")
-            batch = pending(batch, done)
-        except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
         decide(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = requests.dropDuplicates(["todo_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+STALE = "上次处理被中断（服务重启），请重新点击后台审批"
+
+
 def latest_tasks(log: DataFrame) -> DataFrame:
     """Last task state per request; partial aggregation keeps a busy key cheap."""
     values = [c for c in log.columns if c != "todo_id"]
@@ -57,27 +47,74 @@ def mark_stale(tasks: DataFrame, as_of: str, minutes: int) -> DataFrame:
     limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes))
     stale = (F.col("status") == "running") & (F.col("updated_at") < limit)
     return (tasks.withColumn("error", F.when(
-                stale, "上次处理被中断（服务重启），请重新点击后台审批").otherwise(F.col("error")))
+                stale, STALE).otherwise(F.col("error")))
             .withColumn("step", F.when(stale, "stale_running_reset").otherwise(F.col("step")))
             .withColumn("status", F.when(stale, "error").otherwise(F.col("status"))))
 
 
+class _TaskWatch:
+    """Last state of each request, and a timer that fires when a running task has not reported for too long."""
+
+    SCHEMA = "todo_id string, status string, step string, error string, at timestamp"
+
+    def __init__(self, minutes: int):
+        self.limit = 60_000 * minutes
+
+    def __call__(self, key, batches, state):
+        import pandas as pd
+
+        newest = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "error", "stale_running_reset", STALE, pd.Timestamp(newest[2], unit="ms"))],
+                               columns=["todo_id", "status", "step", "error", "at"])
+            return
+        for batch in batches:
+            for row in batch.itertuples():
+                at = int(row.at.timestamp() * 1000)
+                if newest is None or (at, row.seq) >= (newest[2], newest[3]):
+                    newest = (row.status, row.error, at, int(row.seq), row.step)
+        status, error, at, seq, step = newest
+        state.update(newest)
+        if status == "running":
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + self.limit)
+        yield pd.DataFrame([(key[0], status, step, error, pd.Timestamp(at, unit="ms"))],
+                           columns=["todo_id", "status", "step", "error", "at"])
+
+
+def task_stream(log: DataFrame, minutes: int, delay: str = "1 minute") -> DataFrame:
+    """Task states (todo_id, seq, status, step, error, at) as a stream, in update mode.
+
+    Each batch gives the latest state of the requests it touches. A running task that no record follows within `minutes`
+    of event time comes out once more as failed.
+    """
+    rows = log.withWatermark("at", delay).select(
+        F.col("todo_id").cast("string").alias("todo_id"), "status", "step", "error", "at", F.col("seq").cast("long").alias("seq"))
+    return rows.groupBy("todo_id").applyInPandasWithState(
+        _TaskWatch(minutes), _TaskWatch.SCHEMA, "status string, error string, at long, seq long, step string", "update", "EventTimeTimeout")
+
+
 def call_counts_stream(events: DataFrame, at: str = "at", endpoint: str = "kind",
                        delay: str = "1 day") -> DataFrame:
-    """Calls per day and endpoint; in append and update mode rows past the watermark are dropped."""
+    """Calls per day and endpoint; rows of days that the watermark has passed are dropped with their state."""
     return (events.withWatermark(at, delay).groupBy(F.window(at, "1 day"), F.col(endpoint).alias("endpoint"))
             .agg(F.count(F.lit(1)).alias("calls"))
             .select(F.to_date("window.start").alias("day"), "endpoint", "calls"))
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Drain a stream and give back what its last batch wrote."""
+def run_to_table(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Drain a stream in update mode and give back the last value of each key.
+
+    A batch writes the keys it changed to its own partition, so one that is run again replaces its own output.
+    """
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+    query = (stream.writeStream.outputMode("update").foreachBatch(write)
              .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    written = stream.sparkSession.read.parquet(out)
+    values = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])

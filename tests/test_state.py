@@ -207,7 +207,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (root / "lists").mkdir()
     (root / "lists" / "a.json").write_text(json.dumps({"todoId": "1", "data": {"supFilesBOList": [{"fileName": "a"}, {"fileName": "b"}]}}) + "\n"
                                            + json.dumps({"todoId": "2", "data": {}}), encoding="utf-8")
-    assert [(r.position, r.file_name) for r in readers.read_material_lists(spark, str(root / "lists")).orderBy("position").collect()] == [(0, "a"), (1, "b")]
+    assert [(r.position, r.file_name) for r in readers.read_material_lists(spark, str(root / "lists")).orderBy("position").collect()] == [(None, ""), (0, "a"), (1, "b")]
     (root / "cache.json").write_text(json.dumps({"7": {"todo": {"billType": "P0701", "title": "乙/2"}, "supplier": {"name": "乙", "registered_capital": 5.0,
         "certifications": ["ISO9001"]}, "materials_detail": [{"fileName": "x", "types": ["tax_cert"]}]}}), encoding="utf-8")
     entries = readers.read_keyed_json(spark, str(root / "cache.json"))
@@ -256,18 +256,71 @@ def test_streams(spark, tmp_path):
     assert run() == ["1", "2"]
     land("b", [("2", "2026-01-03T00:00:00"), ("3", "2026-01-03T00:00:00")])
     assert run() == ["1", "2", "3"]
-    log = tmp_path / "log"
-    rows = spark.createDataFrame([("2026-01-01T01:00:00", "a"), ("2026-01-01T02:00:00", "a"), ("2026-01-02T02:00:00", "b")], "at string, kind string")
-    rows.withColumn("at", F.to_timestamp("at")).write.parquet(str(log))
-    events = spark.readStream.schema("at timestamp, kind string").parquet(str(log))
-    counted = jobs.run_to_table(jobs.call_counts_stream(events), jobs.shared_folder(spark, "t"))
-    batch = state.call_counts(spark.read.parquet(str(log))).filter("endpoint is not null")
-    assert {(r.day, r.endpoint, r.calls) for r in counted.collect()} == {(r.day, r.endpoint, r.calls) for r in batch.collect()}
+    log = str(tmp_path / "log")
 
+    def count():
+        events = spark.readStream.schema("at timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(log)
+        counted = jobs.run_to_table(jobs.call_counts_stream(events), str(tmp_path / "calls"), ["day", "endpoint"])
+        return {(str(r.day), r.endpoint): r.calls for r in counted.collect()}
 
-def test_lineage_is_cut_in_the_named_folder(spark):
-    from gatehouse.session import cut_lineage
+    def log_calls(*rows):
+        spark.createDataFrame([(datetime.fromisoformat(t), k) for t, k in rows], "at timestamp, kind string").coalesce(1).write.mode("append").parquet(log)
 
-    df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert df.count() == 5
-    assert spark.sparkContext.getCheckpointDir().startswith("file:" + spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    log_calls(("2026-01-01T01:00:00", "a"), ("2026-01-01T02:00:00", "a"), ("2026-01-02T02:00:00", "b"))
+    assert count() == {("2026-01-01", "a"): 2, ("2026-01-02", "b"): 1}
+    log_calls(("2026-01-02T03:00:00", "b"), ("2026-01-09T00:00:00", "a"))
+    expected = {("2026-01-01", "a"): 2, ("2026-01-02", "b"): 2, ("2026-01-09", "a"): 1}
+    assert count() == expected
+    # the watermark has passed the first days: a late row changes nothing
+    log_calls(("2026-01-01T05:00:00", "a"), ("2026-01-09T05:00:00", "a"))
+    assert count() == {**expected, ("2026-01-09", "a"): 2}
+
+
+def test_task_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "todo_id string, seq long, status string, step string, error string, at timestamp"
+
+    def land(*rows):
+        spark.createDataFrame([(k, n, status, "s", None, datetime.fromisoformat(t)) for k, n, status, t in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        found = jobs.run_to_table(jobs.task_stream(stream, 30), out, ["todo_id"])
+        return {r.todo_id: (r.status, r.step) for r in found.collect()}
+
+    land(("1", 1, "running", "2026-01-01T00:00:00"), ("2", 2, "running", "2026-01-01T00:00:00"), ("2", 3, "done", "2026-01-01T00:10:00"))
+    assert run() == {"1": ("running", "s"), "2": ("done", "s")}
+    # event time passes the limit of the first task; an older record of the second changes nothing
+    land(("3", 9, "running", "2026-01-01T05:00:00"), ("2", 1, "running", "2026-01-01T00:05:00"))
+    run()
+    land(("3", 10, "running", "2026-01-01T05:10:00"))
+    assert run() == {"1": ("error", "stale_running_reset"), "2": ("done", "s"), "3": ("running", "s")}
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from gatehouse.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    bare = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_folder(bare)
+
+
+def test_readings_are_shared(spark):
+    from gatehouse.operators.extract import shared_results, to_extract
+
+    columns = "doc_id string, todo_id string, doc_type string, file string, position int, text string, sha256 string, engine string, error string"
+    docs = spark.createDataFrame([
+        ("a", "1", "t", "a.png", 0, "x", "h", "e", None), ("b", "2", "t", "b.png", 1, "x", "h", "e", None), ("c", "3", "u", "c.png", 0, "x", "h", "e", None),
+        ("d", "4", "t", "d.png", 0, "y", None, None, None), ("f", "5", "t", "f.png", 0, "z", None, "e", None), ("g", "6", "t", "g.png", 0, "w", "k", "e", None)], columns)
+    cache = spark.createDataFrame([("k", "e", "t", "old", None)], "sha256 string, engine string, doc_type string, fields string, error string")
+    chosen = to_extract(docs, cache)
+    assert sorted(r.doc_id for r in chosen.collect()) == ["a", "c", "d", "f"]
+    results = chosen.select("doc_id", F.concat(F.lit("read "), "doc_id").alias("fields"), F.lit(None).cast("string").alias("error"))
+    found = {r.doc_id: (r.todo_id, r.file, r.fields) for r in shared_results(docs, results, cache).collect()}
+    assert found == {"a": ("1", "a.png", "read a"), "b": ("2", "b.png", "read a"), "c": ("3", "c.png", "read c"), "d": ("4", "d.png", "read d"),
+                     "f": ("5", "f.png", "read f"), "g": ("6", "g.png", "old")}
