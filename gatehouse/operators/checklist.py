@@ -153,6 +153,48 @@ def checklist_items(suppliers: DataFrame, rules: list[Rule], as_of: str,
     return judged.select(*(keep or ["todo_id"]), F.array_compact(F.array(*items)).alias("items"))
 
 
+def checklist_flags(suppliers: DataFrame, rules: list[Rule], as_of: str, keep: list[str]) -> DataFrame:
+    """What the checklist decides, without its texts: `reject`, `manual`, and how many items are `failed` and `to_check`.
+
+    Statuses are plain conditions, so everything stays in generated code and no item is built.
+    """
+    day = F.lit(as_of).cast("date")
+    judged = with_verdicts(suppliers, rules)
+    no, zero = F.lit(False), F.lit(0)
+    reject, manual, failed, to_check = no, no, zero, zero
+    for rule in in_review_order(rules):
+        if rule.check_type in ("skip", ""):
+            continue
+        status, here = _item(rule, day)[0], applies(rule)
+        fails, asks = here & (status == "fail"), here & (status == "manual")
+        if rule.check_type in ("auto", "material") or rule.id in ("A08", "E1", "E2"):
+            reject = reject | F.coalesce(fails, no)
+        if rule.id in ("A08", "E1", "E2"):
+            manual = manual | F.coalesce(asks, no)
+        elif rule.check_type == "qichacha":
+            manual = manual | F.coalesce(here & status.isin("fail", "pending"), no)
+        elif rule.check_type == "material" and rule.verify:
+            manual = manual | F.coalesce(here & (status == "pending"), no)
+        failed = failed + F.coalesce(fails.cast("int"), zero)
+        to_check = to_check + F.coalesce(asks.cast("int"), zero)
+    return judged.select(*keep, reject.alias("reject"), manual.alias("manual"), failed.alias("failed"), to_check.alias("to_check"))
+
+
+def checklist_statuses(suppliers: DataFrame, rules: list[Rule], as_of: str, keep: list[str]) -> DataFrame:
+    """`items` with rule_id, name, status and has_files only: enough for what is missing."""
+    day = F.lit(as_of).cast("date")
+    judged = with_verdicts(suppliers, rules)
+    items = []
+    for rule in in_review_order(rules):
+        if rule.check_type in ("skip", ""):
+            continue
+        files = {"E1": "transport_files", "E2": "performance_files"}.get(rule.id)
+        items.append(F.when(applies(rule), F.struct(
+            F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("name"), _item(rule, day)[0].alias("status"),
+            (F.col(files).isNotNull() if files else F.lit(False)).alias("has_files"))))
+    return judged.select(*keep, F.array_compact(F.array(*items)).alias("items"))
+
+
 def build_checklist(suppliers: DataFrame, rules: list[Rule], as_of: str) -> DataFrame:
     """The checklist in long form, one row per (request, rule)."""
     return long_form(checklist_items(suppliers, rules, as_of))

@@ -254,6 +254,56 @@ def material_facts(mats: DataFrame) -> DataFrame:
         *[f"clash_{code}" for code in fixed.ISO_CODES])
 
 
+def material_summary(mats: DataFrame) -> DataFrame:
+    """The facts of `material_facts` with the texts of `proof_files` and `first_conflicts`, from one pass over the uploads.
+
+    Uploads are folded by (request, name if the name is wanted) over fixed-width values first, which spreads a
+    large request by its names; per request only the flagged names meet.
+    """
+    from .financial import year_bits, years_of
+
+    kinds = [c for c in mats.columns if c.startswith("is_")]
+    financial = F.col("is_financial_report") | has_financial_words()
+    low, high = year_bits(financial)
+    rows = mats.select(
+        "todo_id", "position", "file_name", "type_name", "slot_code", "name_code", *kinds, low.alias("__low"), high.alias("__high"),
+        financial.alias("__financial"), performance_flag().alias("__performance"), transport_flag().alias("__transport"))
+    clash = F.col("slot_code").isNotNull()
+    named = F.coalesce(F.col("__performance") | F.col("__transport") | clash, F.lit(False))
+    keys = [F.when(named, F.col("file_name")).alias("__name"), F.when(clash, F.col("type_name")).alias("__slot"), "slot_code", "name_code"]
+    cells = rows.groupBy("todo_id", *keys).agg(
+        *[F.bool_or(kind).alias(kind) for kind in kinds], F.bool_or("__financial").alias("__financial"),
+        F.bit_or("__low").alias("__low"), F.bit_or("__high").alias("__high"),
+        F.bool_or("__performance").alias("has_performance"), F.bool_or("__transport").alias("has_transport"),
+        F.min(F.when(F.col("__performance"), F.col("position"))).alias("__proof_at"),
+        F.min(F.when(F.col("__transport"), F.col("position"))).alias("__transport_at"),
+        F.min(F.when(clash, F.col("position"))).alias("__clash_at"))
+    conflict = conflict_of(F.col("__name"), F.col("__slot"), F.col("slot_code"), F.col("name_code"))
+
+    def gathered(seen: Column, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(seen, value)))
+
+    def listed_names(flagged: str, at: str) -> Column:
+        return gathered(F.col(flagged), F.struct(F.col(at).alias("at"), F.col("__name").alias("name")))
+
+    rolled = cells.groupBy("todo_id").agg(
+        *[F.bool_or(kind).alias(kind) for kind in kinds], F.bool_or("__financial").alias("financial_submitted"),
+        F.bit_or("__low").alias("__low"), F.bit_or("__high").alias("__high"),
+        F.bool_or("has_performance").alias("has_performance"), F.bool_or("has_transport").alias("has_transport"),
+        listed_names("has_performance", "__proof_at").alias("__proofs"), listed_names("has_transport", "__transport_at").alias("__papers"),
+        *[F.min(F.when(F.col("slot_code") == code, F.struct(F.col("__clash_at").alias("at"), conflict.alias("c")))).alias(f"__first_{code}")
+          for code in fixed.ISO_CODES])
+
+    def text(names: str) -> Column:
+        return F.nullif(F.array_join(F.array_distinct(F.transform(names, lambda r: r["name"])), "、"), F.lit(""))
+
+    firsts = F.array_compact(F.array(*[F.col(f"__first_{code}.c") for code in fixed.ISO_CODES]))
+    return rolled.select(
+        "todo_id", *_roll_columns(kinds), "financial_submitted", years_of(F.col("__low"), F.col("__high")).alias("financial_years"),
+        "has_performance", "has_transport", text("__proofs").alias("performance_files"), text("__papers").alias("transport_files"),
+        F.when(F.size(firsts) > 0, firsts).alias("iso_conflicts"))
+
+
 def has_financial_words() -> Column:
     return has_any(F.concat_ws(" ", F.col("file_name"), F.col("type_name")), fixed.FINANCIAL_TITLE)
 

@@ -116,7 +116,7 @@ def title_years(spark, sf):
 
 def missing_materials(spark, sf):
     kept = ["todo_id", "classified_materials", "financial_submitted"]
-    items = checklist.checklist_items(requests(spark, sf, texts=False), CATALOGUE, AS_OF, kept)
+    items = checklist.checklist_statuses(requests(spark, sf, texts=False), CATALOGUE, AS_OF, kept)
     return review.missing_materials(items).select("todo_id", "rule_id", "label")
 
 
@@ -134,7 +134,11 @@ def _decided(spark, sf):
 
 
 def decision(spark, sf):
-    return _decided(spark, sf).select("todo_id", "type_desc", "decision")
+    staged = routing.route_stage1(requests(spark, sf, texts=False))
+    kept = ["todo_id", "type_desc", "route_decision"]
+    flags = checklist.checklist_flags(staged, CATALOGUE, AS_OF, kept)
+    return flags.select("todo_id", "type_desc", F.coalesce(
+        "route_decision", decide.verdict(F.col("reject"), F.col("manual"))).alias("decision"))
 
 
 def decision_summary(spark, sf):

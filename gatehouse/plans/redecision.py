@@ -9,9 +9,7 @@ from .. import schemas
 from ..functions.text import or_null
 from ..operators.checklist import checklist_items, long_form, verify_items
 from ..functions.fixed import ISO_CODES
-from ..operators.classify import (
-    conflict_of, first_conflicts, material_facts, proof_files, typed_flags,
-)
+from ..operators.classify import conflict_of, material_facts, material_summary, typed_flags
 from ..operators.decide import OPINION_COLUMNS, append_issues, opinion_items
 from ..operators.ocr import enrich_ocr, ocr_documents
 from ..operators.profile import display_name, with_inspection
@@ -35,21 +33,17 @@ def prepare_suppliers(applications: DataFrame, suppliers: DataFrame, materials:
 
 
 def add_uploads(routed: DataFrame, materials: DataFrame, texts: bool = True) -> DataFrame:
-    """Facts of the uploads joined to routed requests.
+    """Facts of the uploads joined to routed requests: one pass over the uploads and one row per request.
 
-    The facts are one hash aggregate; names of proof files and of clashing uploads
-    are gathered from the flagged uploads alone, and only where texts are wanted.
+    Where no texts are wanted, only fixed-width values are aggregated.
     """
     if "slot_code" not in materials.columns:
         materials = typed_flags(materials)
-    facts = material_facts(materials).withColumnRenamed("certifications", "uploaded_certifications")
     own_conflicts = "iso_conflicts" in routed.columns
-    joined = routed.join(facts.drop(*[c for c in ["classified_materials"] if c in routed.columns]), "todo_id", "left")
-    if texts:
-        joined = joined.join(proof_files(materials), "todo_id", "left")
-        if not own_conflicts:
-            joined = joined.join(first_conflicts(materials), "todo_id", "left")
-    else:
+    summary = material_summary(materials) if texts else material_facts(materials)
+    summary = summary.withColumnRenamed("certifications", "uploaded_certifications")
+    joined = routed.join(summary.drop(*[c for c in ["classified_materials", "iso_conflicts"] if c in routed.columns]), "todo_id", "left")
+    if not texts:
         joined = (joined.withColumn("performance_files", F.when(F.col("has_performance"), ""))
                   .withColumn("transport_files", F.when(F.col("has_transport"), "")))
         if not own_conflicts:
