@@ -73,11 +73,34 @@ def financial_title_check(mats: DataFrame, requests: DataFrame, as_of: str) -> D
         year_status(F.col("submitted"), F.col("title_years"), day).alias("status"))
 
 
+#: How deep objects may be nested in a registry payload; a deeper one is an error.
+PAYLOAD_DEPTH = 8
+_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
+
+
 def report_periods(payload: Column) -> Column:
-    """Reporting periods stated anywhere in a nested JSON payload, sorted."""
-    values = [F.regexp_extract_all(blank(payload), F.lit(rf'"{key}"\s*:\s*"?([^",}}\]]*)'), F.lit(1))
-              for key in fixed.PERIOD_KEYS]
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*values)), lambda x: F.trim(x))))
+    """Reporting periods stated anywhere in a nested JSON payload, sorted.
+
+    Each object gives the first of its own keys in PERIOD_KEYS that is not empty. Objects are taken from the inside out, a
+    level at a time; a payload nested deeper than PAYLOAD_DEPTH raises an error, and text that is no JSON has no periods.
+    """
+    # braces inside strings would look like objects, so strings lose them
+    tokens = F.regexp_extract_all(blank(payload), F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    text = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), F.translate(t, "{}", "")).otherwise(t)), "")
+    text = F.when(F.try_parse_json(payload).isNotNull(), text).otherwise("")
+
+    def period(item: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(item, rf'"{key}"\s*:\s*"?([^",}}\]]*)', 1)), F.lit("")) for key in fixed.PERIOD_KEYS])
+
+    def stated(value: Column) -> Column:
+        return F.nullif(F.nullif(value, F.lit("null")), F.lit(""))
+
+    found = F.array().cast("array<string>")
+    for _ in range(PAYLOAD_DEPTH):
+        found = F.concat(found, F.transform(F.regexp_extract_all(text, F.lit(_OBJECT), F.lit(0)), lambda o: stated(period(o))))
+        text = F.regexp_replace(text, _OBJECT, "0")
+    deep = F.when(text.contains("{"), F.raise_error(F.lit(f"payload nested deeper than {PAYLOAD_DEPTH}")).cast("array<string>"))
+    return F.coalesce(deep, F.array_sort(F.array_distinct(F.array_compact(found))))
 
 
 def assessment_detail(periods: Column, submitted: Column, as_of: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..schemas import CONFLICT
 from ..functions.text import blank, first_word, has_any, or_null, trim
 
 
@@ -119,9 +120,12 @@ def with_tyc(df: DataFrame, column: str = "tyc_info") -> DataFrame:
 
 
 def supplier_profile(base: DataFrame, rollup: DataFrame, as_of: str) -> DataFrame:
-    """Profile of each request from its base info (with tyc_info) and material roll-up."""
+    """Profile of each request from its base info (with tyc_info) and what its uploads show
+    (`material_summary`; a roll-up without conflicts counts as having none)."""
     day = F.lit(as_of).cast("date")
     none = F.array().cast("array<string>")
+    if "iso_conflicts" not in rollup.columns:
+        rollup = rollup.withColumn("iso_conflicts", F.lit(None).cast(f"array<{CONFLICT}>"))
     joined = with_tyc(base.join(rollup, "todo_id", "left"))
 
     def has_type(kind: str) -> Column:
@@ -152,7 +156,7 @@ def supplier_profile(base: DataFrame, rollup: DataFrame, as_of: str) -> DataFram
         (F.col("bill_type") == "P0704").alias("is_cooperation"),
         has_any(sup_type, fixed.MANUFACTURER_TYPE_WORDS).alias("is_manufacturer"),
         F.coalesce("certifications", none).alias("certifications"),
-        "iso_conflicts",
+        F.coalesce("iso_conflicts", F.array().cast(f"array<{CONFLICT}>")).alias("iso_conflicts"),
         F.coalesce("classified_materials", none).alias("classified_materials"),
         has_type("business_license").alias("has_business_license"),
         has_type("legal_person_id").alias("has_legal_id_material"),
