@@ -1,9 +1,9 @@
 """Toxicity: a linear-chain conditional random field over the words of a text.
 
-Documents carry labels, words do not, so labelled tokens are made first: in a bounded sample of labelled documents a word
-is offending if the number of toxic documents among those that hold it is too large for chance (binomial tail), and its occurrences in toxic
-documents are tokens of label 1. The field has two states; a token's emission is the sum of learned weights of
-its word, its first and last three bytes and the words beside it, hashed; transitions are learned too. Forward-backward gives
+Documents carry labels, words do not, so labelled tokens are made first: in a bounded sample of labelled documents a word or a
+beginning of words is offending if nearly all documents that hold it are toxic and more of its contexts than chance allows
+(binomial tail), and its occurrences in toxic documents are tokens of label 1. The field has two states; a token's emission is the sum of
+learned weights of its word, its beginnings and its end, hashed; transitions are learned too. Forward-backward gives
 marginals: over the labelled tokens for the gradient, and over a text for tagging. A logistic layer over the
 largest marginal and the expected number of offending tokens, fitted on the sample's documents, is the score.
 
@@ -33,27 +33,35 @@ from .words import LETTERS, Words, mix
 BUCKETS = 1 << 18
 STEPS = 256
 #: Toxic and other documents that the field is fitted on, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER = 600, 1800
+SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 3000
+#: Bytes of the beginnings of words that are units of their own, and of the ending.
+BEGINNINGS = (4, 5, 6, 7)
+ENDING = 3
+#: A unit counts as offending from so many toxic documents on, if they are this share of all that hold it.
+LEAST_DOCS = 4
+MOSTLY = 0.8
 CHANCE = 1e-5
-ROUNDS = 12
+ROUNDS = 10
 PARTS, REMAINDER = 5, 0
 #: A token of at least this marginal is part of a span.
 TAGGED = 0.5
 
 
+def units(words: Words) -> np.ndarray:
+    """Hashes of what a word is made of, a row each: the whole word, its beginnings of several lengths, its end."""
+    s, e = words.starts, words.ends
+    parts = [words.hashes]
+    for kind, size in enumerate(BEGINNINGS, 1):
+        # a word that is no longer than that has no such beginning of its own
+        long = e - s > size
+        parts.append(np.where(long, words.hash_spans(s, np.minimum(s + size, e)) ^ np.uint64(kind << 40), parts[0]))
+    parts.append(words.hash_spans(np.maximum(e - ENDING, s), e) ^ np.uint64(99 << 40))
+    return np.stack(parts)
+
+
 def token_features(words: Words, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of five features per token: the word, its beginning and end, the word before and after it in the text."""
-    s, e, doc = words.starts, words.ends, words.doc
-    own = words.hashes
-    begin = words.hash_spans(s, np.minimum(s + 3, e)) ^ np.uint64(1 << 40)
-    end = words.hash_spans(np.maximum(e - 3, s), e) ^ np.uint64(2 << 40)
-    edge = np.uint64(0x5851F42D4C957F2D)
-    before, after = np.full(len(own), edge), np.full(len(own), edge)
-    same = doc[1:] == doc[:-1]
-    before[1:][same] = own[:-1][same]
-    after[:-1][same] = own[1:][same]
-    parts = [own, begin, end, before ^ np.uint64(3 << 40), after ^ np.uint64(4 << 40)]
-    return np.stack([(mix(p) & np.uint64(buckets - 1)).astype(np.int32) for p in parts])
+    """Buckets of the units of every token."""
+    return (mix(units(words)) & np.uint64(buckets - 1)).astype(np.int32)
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,25 +147,43 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(summary @ self.layer, -50, 50)))
 
 
-def _tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for X binomial(n, p)."""
-    out = np.ones(len(k))
-    for i, (a, b) in enumerate(zip(k.tolist(), n.tolist(), strict=True)):
-        if a / b <= p:
-            continue
-        out[i] = sum(np.exp(lgamma(b + 1) - lgamma(x + 1) - lgamma(b - x + 1) + x * np.log(p) + (b - x) * np.log1p(-p)) for x in range(a, b + 1))
-    return out
+    return sum(np.exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * np.log(p) + (n - x) * np.log1p(-p)) for x in range(k, n + 1))
+
 
+def _counts(unit: np.ndarray, other: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per distinct unit: it, the number of different `other` it occurs with, and how many of those are toxic."""
+    order = np.lexsort((other, unit))
+    unit, other, toxic = unit[order], other[order], toxic[order]
+    fresh = np.concatenate(([True], (unit[1:] != unit[:-1]) | (other[1:] != other[:-1])))
+    unit, toxic = unit[fresh], toxic[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    return unit[starts], np.diff(np.concatenate((starts, [len(unit)]))), np.add.reduceat(toxic.astype(np.int64), starts)
 
-def offending_words(hashes: np.ndarray, doc: np.ndarray, labels: np.ndarray, chance: float = CHANCE) -> np.ndarray:
-    """Hashes of words that occur in toxic documents more often than chance allows, most of their documents being toxic."""
-    pairs = np.unique(np.rec.fromarrays([hashes, doc]))
-    kinds, place = np.unique(pairs["f0"], return_inverse=True)
-    total = np.bincount(place)
-    toxic = np.bincount(place, weights=labels[pairs["f1"]]).astype(int)
-    maybe = np.flatnonzero((toxic >= 3) & (2 * toxic > total))
-    rare = _tail(toxic[maybe], total[maybe], float(labels.mean())) < chance
-    return kinds[maybe[rare]]
+
+def offending_tokens(words: Words, labels: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+    """Which tokens have a unit (the word or a beginning of it) that belongs to toxic texts.
+
+    Nearly all documents that hold the unit are toxic, and so are more of its contexts (the words beside it) than chance
+    allows. Copies of a document share their contexts, so they do not make their words offending.
+    """
+    toxic = labels[words.doc] == 1
+    own, doc, edge = words.hashes, words.doc, np.uint64(1)
+    before, after = np.full(len(own), edge), np.full(len(own), edge)
+    same = doc[1:] == doc[:-1]
+    before[1:][same] = own[:-1][same]
+    after[:-1][same] = own[1:][same]
+    context = mix(before ^ mix(after))
+    hit = np.zeros(len(own), bool)
+    for unit in units(words)[:-1]:
+        kinds, docs, bad_docs = _counts(unit, doc.astype(np.uint64), toxic)
+        _, contexts, bad_contexts = _counts(unit, context, toxic)
+        share = max(float(bad_contexts.sum() / contexts.sum()), 1e-6)
+        maybe = np.flatnonzero((bad_docs >= LEAST_DOCS) & (bad_docs >= MOSTLY * docs) & (bad_contexts >= LEAST_DOCS) & (bad_contexts >= MOSTLY * contexts))
+        found = [i for i in maybe.tolist() if _tail(int(bad_contexts[i]), int(contexts[i]), share) < chance]
+        hit |= np.isin(unit, kinds[found])
+    return hit & toxic
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Field:
@@ -169,8 +195,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Field:
     if not len(words.starts):
         return made
     found = token_features(words)
-    bad = offending_words(words.hashes, words.doc, labels)
-    truth = np.isin(words.hashes, bad) & (labels[words.doc] == 1)
+    truth = offending_tokens(words, labels)
     first = np.concatenate(([True], words.doc[1:] != words.doc[:-1]))
     inner = np.flatnonzero(~first)
     seen = np.zeros((2, 2))
@@ -195,8 +220,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Field:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Newton steps with a small ridge; both classes weigh the same."""
-    weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    """Newton steps with a small ridge; every document weighs the same."""
+    weight = np.full(len(y), 1 / len(y))
     theta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
