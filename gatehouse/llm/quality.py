@@ -1,9 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are its words and its byte n-grams of two to four bytes (of the text with every run of white space kept as
-it is), hashed into buckets. A bucket has a learned vector; a document is the mean of its features' vectors, and a softmax
-layer over it gives the classes. Both are fitted by plain stochastic gradient descent in numpy on a bounded sample of labelled documents, drawn
-half and half from both classes. As mean and layer are linear, scoring needs one number per bucket, its vector times
+Features of a text are its words, whether neighbouring words are the same, and its byte n-grams of two to four bytes, hashed
+into buckets. A bucket has a learned vector; a document is the mean of its features' vectors, and a softmax
+layer over it gives the classes. Both are fitted by plain stochastic gradient descent in numpy on a bounded sample of labelled documents. As mean and layer are linear, scoring needs one number per bucket, its vector times
 the difference of the two output rows, so a whole text costs a table lookup per feature.
 
 Defined cases: a null or empty text has no features and is scored by the layer's bias; a null doc_id is not held out and has a score;
@@ -28,10 +27,18 @@ from .words import BYTE_VALUES, Words, mix
 BUCKETS = 1 << 17
 WIDTH = 12
 GRAMS = (2, 3, 4)
-EPOCHS = 6
-RATE = 0.4
-#: Documents of each class that the classifier is fitted on, at most.
-SAMPLE = 1200
+#: Buckets of the bigrams.
+SAME_PAIR, OTHER_PAIR = 0, 1
+EPOCHS = 8
+RATE = 0.5
+#: Features that one step of the fit looks at.
+FEWEST, MOST = 20, 500
+#: How much faster a feature's vector moves than the mean it is part of.
+STRETCH = 40
+#: The bias is this share of the sample's log-odds: it decides for texts without features.
+PRIOR = 0.5
+#: Documents that the classifier is fitted on, at most: so many of label 0, and twice as many of label 1.
+SAMPLE = 1000
 PARTS, REMAINDER = 3, 1
 
 
@@ -40,6 +47,11 @@ def features(text: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
     mask = np.uint64(buckets - 1)
     words = Words(text, offsets, lower=False)
     found, docs = [(words.hashes & mask).astype(np.int32)], [words.doc]
+    # bigrams: what counts of two words in a row is whether they are the same
+    pair = np.flatnonzero(words.doc[1:] == words.doc[:-1]) + 1
+    same = words.hashes[pair] == words.hashes[pair - 1]
+    found.append(np.where(same, SAME_PAIR, OTHER_PAIR).astype(np.int32))
+    docs.append(words.doc[pair])
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     values = BYTE_VALUES[text]
     for n in GRAMS:
@@ -80,36 +92,32 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         return Classifier(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.Generator(np.random.PCG64(seed))
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
-    layer, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    documents = []
-    for text in texts:
-        found, _ = features(*join_utf8([text.encode()]))
-        kinds, counts = np.unique(found, return_counts=True)
-        documents.append((kinds, (counts / max(counts.sum(), 1)).astype(np.float32)))
-    members = [np.flatnonzero(labels == k) for k in (0, 1)]
-    steps = epochs * 2 * max(map(len, members))
-    rare = np.array([1 / (2 * len(m)) for m in members])
-    draws = rng.choice(len(labels), steps, p=rare[labels])  # both classes equally often
-    for step, i in enumerate(draws):
-        kinds, shares = documents[i]
-        if not len(kinds):
+    layer = np.zeros((2, WIDTH), np.float32)
+    documents = [features(*join_utf8([text.encode()]))[0] for text in texts]
+    steps = epochs * len(texts)
+    order = np.concatenate([rng.permutation(len(texts)) for _ in range(epochs)])
+    sizes = np.exp(rng.uniform(np.log(FEWEST), np.log(MOST), steps)).astype(int)
+    for step, i in enumerate(order):
+        found = documents[i]
+        if not len(found):
             continue
+        if len(found) > sizes[step]:  # a part of the text's features: short texts must be judged well, too
+            found = found[rng.integers(0, len(found), sizes[step])]
         now = rate * (1 - step / steps)
-        mean = shares @ vectors[kinds]
-        odds = layer @ mean + bias
+        mean = vectors[found].mean(axis=0)
+        odds = layer @ mean
         likely = np.exp(odds - odds.max())
         likely /= likely.sum()
         likely[labels[i]] -= 1
         back = likely @ layer
         layer -= now * np.outer(likely, mean)
-        bias -= now * 0.1 * likely
-        # the mean's gradient belongs to each feature; its share would make steps of long texts vanish
-        vectors[kinds] -= (now * back) * (shares / shares.max())[:, None]
-    return Classifier((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
+        np.subtract.at(vectors, found, (now * STRETCH / len(found)) * back)
+    share = float(labels.mean())
+    return Classifier((vectors @ (layer[1] - layer[0])).astype(np.float32), float(np.log(share / (1 - share))) * PRIOR)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    rows = labelled_sample(docs, labels, "quality", PARTS, REMAINDER, {0: sample, 1: sample})
+    rows = labelled_sample(docs, labels, "quality", PARTS, REMAINDER, {0: sample, 1: 2 * sample})
     return fit(rows["text"].tolist(), rows["label"].to_numpy())
 
 

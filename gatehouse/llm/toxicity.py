@@ -33,7 +33,7 @@ from .words import LETTERS, Words, mix
 BUCKETS = 1 << 18
 STEPS = 256
 #: Toxic and other documents that the field is fitted on, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_OTHER = 800, 1600
 #: Bytes of the beginnings of words that are units of their own, and of the ending.
 BEGINNINGS = (4, 5, 6, 7)
 ENDING = 3
@@ -42,6 +42,8 @@ LEAST_DOCS = 4
 MOSTLY = 0.8
 CHANCE = 1e-5
 ROUNDS = 10
+#: Tokens that one numpy step of the fit looks at.
+TOKENS = 200_000
 PARTS, REMAINDER = 5, 0
 #: A token of at least this marginal is part of a span.
 TAGGED = 0.5
@@ -59,9 +61,18 @@ def units(words: Words) -> np.ndarray:
     return np.stack(parts)
 
 
-def token_features(words: Words, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the units of every token."""
-    return (mix(units(words)) & np.uint64(buckets - 1)).astype(np.int32)
+def buckets_of(unit: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return (mix(unit) & np.uint64(buckets - 1)).astype(np.int32)
+
+
+def contexts(words: Words) -> np.ndarray:
+    """A hash of the words beside each word."""
+    own, doc, edge = words.hashes, words.doc, np.uint64(1)
+    before, after = np.full(len(own), edge), np.full(len(own), edge)
+    same = doc[1:] == doc[:-1]
+    before[1:][same] = own[:-1][same]
+    after[:-1][same] = own[1:][same]
+    return mix(before ^ mix(after))
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +142,7 @@ class Field:
         """Marginals of the words of a chunk of texts."""
         if not len(words.starts):
             return np.zeros(0)
-        found = token_features(words, len(self.weights))
+        found = buckets_of(units(words), len(self.weights))
         emission = self.weights[found].sum(axis=0) + self.bias
         first = np.concatenate(([True], words.doc[1:] != words.doc[:-1]))
         return marginals(emission, first, self.transition)[0]
@@ -162,26 +173,20 @@ def _counts(unit: np.ndarray, other: np.ndarray, toxic: np.ndarray) -> tuple[np.
     return unit[starts], np.diff(np.concatenate((starts, [len(unit)]))), np.add.reduceat(toxic.astype(np.int64), starts)
 
 
-def offending_tokens(words: Words, labels: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+def offending_tokens(made: np.ndarray, context: np.ndarray, doc: np.ndarray, labels: np.ndarray, chance: float = CHANCE) -> np.ndarray:
     """Which tokens have a unit (the word or a beginning of it) that belongs to toxic texts.
 
-    Nearly all documents that hold the unit are toxic, and so are more of its contexts (the words beside it) than chance
-    allows. Copies of a document share their contexts, so they do not make their words offending.
+    Nearly all documents that hold the unit are toxic, and so are more of its contexts than chance allows. Copies of a
+    document share their contexts, so they do not make their words offending. `made` are the units, a row each, the last being the end.
     """
-    toxic = labels[words.doc] == 1
-    own, doc, edge = words.hashes, words.doc, np.uint64(1)
-    before, after = np.full(len(own), edge), np.full(len(own), edge)
-    same = doc[1:] == doc[:-1]
-    before[1:][same] = own[:-1][same]
-    after[:-1][same] = own[1:][same]
-    context = mix(before ^ mix(after))
-    hit = np.zeros(len(own), bool)
-    for unit in units(words)[:-1]:
+    toxic = labels[doc] == 1
+    hit = np.zeros(len(doc), bool)
+    for unit in made[:-1]:
         kinds, docs, bad_docs = _counts(unit, doc.astype(np.uint64), toxic)
-        _, contexts, bad_contexts = _counts(unit, context, toxic)
-        share = max(float(bad_contexts.sum() / contexts.sum()), 1e-6)
-        maybe = np.flatnonzero((bad_docs >= LEAST_DOCS) & (bad_docs >= MOSTLY * docs) & (bad_contexts >= LEAST_DOCS) & (bad_contexts >= MOSTLY * contexts))
-        found = [i for i in maybe.tolist() if _tail(int(bad_contexts[i]), int(contexts[i]), share) < chance]
+        _, places, bad_places = _counts(unit, context, toxic)
+        share = max(float(bad_places.sum() / places.sum()), 1e-6)
+        maybe = np.flatnonzero((bad_docs >= LEAST_DOCS) & (bad_docs >= MOSTLY * docs) & (bad_places >= LEAST_DOCS) & (bad_places >= MOSTLY * places))
+        found = [i for i in maybe.tolist() if _tail(int(bad_places[i]), int(places[i]), share) < chance]
         hit |= np.isin(unit, kinds[found])
     return hit & toxic
 
@@ -191,12 +196,21 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Field:
     labels, made = np.asarray(labels), Field()
     if not len(labels) or not labels.any():
         return made
-    words = Words(*join_utf8([t.encode() for t in texts]), LETTERS)
-    if not len(words.starts):
+    text, offsets = join_utf8([t.encode() for t in texts])
+    parts, around, docs = [], [], []
+    for begin, end in chunks(offsets):
+        words = Words(text[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin], LETTERS)
+        parts.append(units(words))
+        around.append(contexts(words))
+        docs.append(words.doc + begin)
+    doc = np.concatenate(docs)
+    if not len(doc):
         return made
-    found = token_features(words)
-    truth = offending_tokens(words, labels)
-    first = np.concatenate(([True], words.doc[1:] != words.doc[:-1]))
+    hashed = np.concatenate(parts, axis=1)
+    truth = offending_tokens(hashed, np.concatenate(around), doc, labels)
+    found = np.stack([buckets_of(row) for row in hashed])
+    del hashed, parts, around
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
     inner = np.flatnonzero(~first)
     seen = np.zeros((2, 2))
     np.add.at(seen, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
@@ -204,18 +218,23 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Field:
     made.bias = float(np.log(share / (1 - share)))
     weights, squares, pull = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 1e-3
     moved = np.full((2, 2), 1e-8)
-    flat = found.ravel()
+    begins = np.append(np.flatnonzero(first), len(doc))
+    slices = [(begins[a], begins[b]) for a, b in chunks(begins, TOKENS)]
     for _ in range(rounds):
-        likely, expected = marginals(weights[found].sum(axis=0) + made.bias, first, made.transition)
-        slope = np.bincount(flat, weights=np.tile(truth - likely, len(found)), minlength=BUCKETS) - pull * weights
+        slope, expected = -pull * weights, np.zeros((2, 2))
+        for a, b in slices:
+            likely, pairs = marginals(weights[found[:, a:b]].sum(axis=0) + made.bias, first[a:b], made.transition)
+            expected += pairs
+            for row in found[:, a:b]:
+                slope += np.bincount(row, weights=truth[a:b] - likely, minlength=BUCKETS)
         squares += slope**2
         weights += 1.5 * slope / np.sqrt(squares)
         change = seen - expected - pull * made.transition
         moved += change**2
         made.transition = made.transition + 0.3 * change / np.sqrt(moved)
     made.weights = weights.astype(np.float32)
-    likely, _ = marginals(made.weights[found].sum(axis=0) + made.bias, first, made.transition)
-    made.layer = _logistic(Field.summary(likely, words.doc, len(texts)), labels)
+    likely = np.concatenate([marginals(made.weights[found[:, a:b]].sum(axis=0) + made.bias, first[a:b], made.transition)[0] for a, b in slices])
+    made.layer = _logistic(Field.summary(likely, doc, len(texts)), labels)
     return made
 
 
