@@ -66,6 +66,19 @@ def signed_number(text: Column) -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
+def percent_value(text: Column) -> Column:
+    """'12.5%' as 0.125; a number without the sign stays as it is, other text is null."""
+    plain = F.regexp_replace(F.trim(text), "[,，\\s]", "")
+    sign = plain.endswith("%") | plain.endswith("％")
+    value = F.regexp_replace(plain, "[%％]$", "").try_cast("double")
+    return F.when(sign, value / 100).otherwise(value)
+
+
+def percent_text(value: Column, digits: int = 2) -> Column:
+    """0.125 as '12.50%'."""
+    return F.concat(F.format_string(f"%.{digits}f", value * 100), F.lit("%"))
+
+
 def short_number(value: Column) -> Column:
     """At most six significant digits, no trailing zeros, exponent from a million on."""
     size = F.abs(value)

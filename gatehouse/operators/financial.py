@@ -56,17 +56,24 @@ def title_years(mats: DataFrame) -> DataFrame:
 
 
 def year_status(submitted: Column, years: Column, as_of: Column) -> Column:
-    """K4: matched / mismatch / unknown / missing."""
+    """K4: matched / mismatch / unknown / missing; unknown too where it is not known whether a report was uploaded."""
     required = F.year(as_of) - 1
-    return (F.when(~submitted, "missing").when(F.array_contains(years, required), "matched")
+    return (F.when(submitted.isNull(), "unknown").when(~submitted, "missing").when(F.array_contains(years, required), "matched")
             .when(F.size(years) > 0, "mismatch").otherwise("unknown"))
 
 
 def financial_title_check(mats: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
-    """K4 for every request that has a list of uploads (an empty list means: not submitted)."""
+    """K4 for every request. An empty list of uploads means: not submitted.
+
+    Where `requests` say with `has_list` whether a list has landed, a request without one keeps what its profile
+    states in `has_financial_report`, and null, not known, where it states nothing.
+    """
     day = F.lit(as_of).cast("date")
-    checked = requests.select("todo_id").join(title_years(mats), "todo_id", "left").select(
-        "todo_id", F.coalesce("submitted", F.lit(False)).alias("submitted"),
+    listed = F.col("has_list") if "has_list" in requests.columns else F.lit(True)
+    stated = F.col("has_financial_report") if "has_financial_report" in requests.columns else F.lit(None).cast("boolean")
+    known = requests.select("todo_id", listed.alias("__listed"), stated.alias("__stated"))
+    checked = known.join(title_years(mats), "todo_id", "left").select(
+        "todo_id", F.coalesce("submitted", F.when(F.col("__listed"), False).otherwise(F.col("__stated"))).alias("submitted"),
         F.coalesce("title_years", F.array().cast("array<int>")).alias("title_years"))
     return checked.select(
         "*", (F.year(day) - 1).alias("required_year"),

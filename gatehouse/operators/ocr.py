@@ -41,6 +41,7 @@ def combine_attachments(extractions: DataFrame) -> DataFrame:
         many & F.col("error").isNotNull(), F.concat(prefix, F.lit("：识别失败，需人工核验")))))
     return rows.select(
         *[c for c in rows.columns if c not in ("checks", "fields", "issues")],
+        F.col("checks").alias("own_checks"), F.col("fields").alias("own_fields"), F.col("issues").alias("own_issues"),
         F.col("checks")[TYPE_CHECK].alias("type_check"),
         (F.coalesce(F.col("checks")[TYPE_CHECK] & F.col("checks")["在有效期内"], F.lit(False))
          & (F.size("issues") == 0) & F.col("error").isNull()).alias("is_valid"),

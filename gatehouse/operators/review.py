@@ -38,17 +38,23 @@ def missing_materials(requests: DataFrame) -> DataFrame:
     return rows.select("todo_id", "rule_id", "name", label.alias("label")).filter("label is not null")
 
 
+def _described() -> Column:
+    """Whether the validity line of an ISO certificate already says that it is in force."""
+    return F.coalesce(F.col("doc_type").isin(fixed.ISO_TYPES) & F.col("own_fields")["有效期至"].isNotNull()
+                      & F.col("own_checks")["在有效期内"], F.lit(False))
+
+
 def passed_checks(attachments: DataFrame) -> DataFrame:
     """Passed checks per (request, type), grouped by attachment, as one text.
 
     Works on single attachments (see combine_attachments), so each row already is
-    a group; the short texts are joined in attachment order.
+    a group; the short texts are joined in attachment order. A check that another line describes is left out.
     """
-    names = F.map_keys(F.map_filter("checks", lambda k, v: v))
-    plain = F.transform(names, lambda k: F.regexp_replace(k, r"^附件\d+\([^)]*\)\s*", ""))
+    names = F.map_keys(F.map_filter("own_checks", lambda k, v: v))
+    names = F.when(_described(), F.array_remove(names, "在有效期内")).otherwise(names)
     group = F.when(F.col("documents") > 1, say("附件", F.col("ordinal").cast("string"), " ")).otherwise("")
     rows = attachments.select(
-        "todo_id", "doc_type", "ordinal", F.concat(group, F.array_join(plain, "、")).alias("part"),
+        "todo_id", "doc_type", "ordinal", F.concat(group, F.array_join(names, "、")).alias("part"),
         F.size(names).alias("n")).filter("n > 0")
     text = joined_text(rows, ["todo_id", "doc_type"], F.struct("ordinal", "part"), F.col("part"),
                        F.floor(F.col("ordinal") / 512), "；", "passed")
@@ -56,10 +62,14 @@ def passed_checks(attachments: DataFrame) -> DataFrame:
 
 
 def verification(attachments: DataFrame) -> DataFrame:
-    """Fields and issues per (request, type) as shown in the review table."""
+    """Fields and issues per (request, type) as shown in the review table.
+
+    `attachments` may carry `system_person`, the legal person of the system record.
+    """
     iso = F.col("doc_type").isin(fixed.ISO_TYPES)
     licence = F.col("doc_type") == "business_license"
-    f, c = F.col("fields"), F.col("checks")
+    f, c = F.col("own_fields"), F.col("own_checks")
+    person = F.col("system_person") if "system_person" in attachments.columns else F.lit(None).cast("string")
 
     def pair(label: str, value: Column) -> Column:
         return say(label, "=", F.nullif(value, F.lit("")))
@@ -72,13 +82,18 @@ def verification(attachments: DataFrame) -> DataFrame:
     licence_parts = F.array(
         pair("统一社会信用代码", f["统一社会信用代码"]), pair("名称", f["名称"]),
         pair("法定代表人", f["法定代表人"]), say("注册资本=", f["注册资本_万"], "万"),
+        F.when(~c["法人一致"], say("法定代表人：执照「", blank(f["法定代表人"]), "」vs 系统「", blank(person), "」不一致")),
         F.when(~c["信用代码一致"], F.lit("信用代码：执照与系统不一致")),
         F.when(~c["经营范围一致"], F.lit("经营范围与系统不一致")))
-    others = F.transform(F.slice(F.map_entries("fields"), 1, 3),
-                         lambda e: F.concat(e["key"], F.lit("="), shown(F.coalesce(e["value"], F.lit("None")))))
-    shown_issues = F.when(iso, F.slice("issues", 1, 2)).when(licence, F.slice("issues", 1, 3)).otherwise(F.col("issues"))
+    wrong = F.size(F.map_keys(F.map_filter("own_checks", lambda k, v: ~v)))
+    others = F.concat(
+        F.transform(F.slice(F.map_entries("own_fields"), 1, 3), lambda e: F.concat(e["key"], F.lit("="), shown(F.coalesce(e["value"], F.lit("None"))))),
+        F.array(F.when((F.size("own_issues") == 0) & (wrong > 0), say(wrong.cast("string"), " 项不符"))))
+    shown_issues = F.when(iso, F.slice("own_issues", 1, 2)).when(licence, F.slice("own_issues", 1, 3)).otherwise(F.col("own_issues"))
     parts = F.concat(F.array_compact(F.when(iso, iso_parts).when(licence, licence_parts).otherwise(others)), shown_issues)
-    rows = attachments.select("todo_id", "doc_type", "ordinal", F.array_join(parts, "；").alias("part"),
+    # a reading that failed shows its error and nothing else
+    part = F.coalesce(F.col("error"), F.array_join(parts, "；"))
+    rows = attachments.select("todo_id", "doc_type", "ordinal", part.alias("part"),
                               f["姓名"].isNotNull().alias("has_name"), until.isNotNull().alias("has_term"))
     flags = rows.groupBy("todo_id", "doc_type").agg(
         F.max("has_name").alias("has_name"), F.max("has_term").alias("has_term"))
@@ -93,6 +108,9 @@ def verification(attachments: DataFrame) -> DataFrame:
 def review_table(checklist: DataFrame, uploaded: DataFrame, attachments: DataFrame,
                  rules: list[Rule]) -> DataFrame:
     """One row per request and item with basis, material state and verification result."""
+    if "legal_person" in uploaded.columns:
+        attachments = attachments.join(uploaded.select("todo_id", F.col("legal_person").alias("system_person")), "todo_id", "left")
+        uploaded = uploaded.drop("legal_person")
     rule = F.col("rule_id")
     basis = F.coalesce(*[F.when(rule == r.id, F.lit(r.requirement or r.verify or r.name)) for r in rules], F.col("name"))
     kind = F.coalesce(*[F.when(rule == r.id, F.lit(r.check_type)) for r in rules], F.lit(""))

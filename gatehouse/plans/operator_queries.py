@@ -473,6 +473,78 @@ def id_cards(spark, sf):
         "doc_id", flag_text(c["正反面齐全"]).alias("both_sides"), flag_text(c["姓名与法人一致"]).alias("name_ok"), valid.alias("valid"))
 
 
+_ANSWERS = """ans AS (
+  SELECT CAST(s_suppkey AS STRING) AS key, 'baseinfo' AS part, 2 AS seq, CASE s_suppkey % 5 WHEN 0 THEN '{"result": null, "data": {"企业名称": "旧"}}' WHEN 1 THEN '{"data": {"企业名称": "' || s_name || '", "登记状态": "存续"}}'
+    WHEN 2 THEN '[1]' ELSE '{"result": {"企业名称": "' || s_name || '", "注册资本": "500万元", "登记状态": "在业"}, "data": {"企业名称": "旧"}}' END AS response FROM supplier
+  UNION ALL SELECT CAST(s_suppkey AS STRING), 'baseinfo', 1, '{"result": {"企业名称": "更旧"}}' FROM supplier
+  UNION ALL SELECT CAST(s_suppkey AS STRING), 'verify_ic', 3, '{"result": {"核验结果是否一致": "一致"}}' FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT CAST(s_suppkey AS STRING), 'holders', 4, '{"result": [{"股东名称": "甲", "持股比例": "60%"}, {"股东名称": "乙", "持股比例": "40%"}]}' FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT CAST(s_suppkey AS STRING), 'balance_sheet', 5, '{"result": [{"报告期": "2000-12-31"}]}' FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 5 IN (1, 3, 4) THEN s_name ELSE '' END AS company_name,
+  CASE WHEN s_suppkey % 5 >= 3 THEN '500万元' ELSE '' END AS registered_capital, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 2 THEN '' WHEN 1 THEN '存续' ELSE '在业' END AS reg_status,
+  CASE WHEN s_suppkey % 2 = 0 THEN '一致' ELSE '' END AS accuracy, CASE WHEN s_suppkey % 3 = 0 THEN '甲60%,乙40%' ELSE '' END AS holders,
+  CASE WHEN s_suppkey % 4 = 0 THEN '2000-12-31' ELSE '' END AS periods FROM supplier""")
+def registry_records(spark, sf):
+    """landed answers with envelopes of every kind as registry records."""
+    from ..sources.readers import registry_of
+
+    table(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    found = registry_of(spark.sql(f"WITH {_ANSWERS} SELECT * FROM ans"))
+    return found.select("key", *[tx.blank(F.col(c)).alias(c) for c in ("company_name", "registered_capital", "reg_status", "accuracy")],
+                        F.array_join(F.transform("shareholders", lambda h: F.concat(h["name"], h["share"])), ",").alias("holders"),
+                        F.array_join(financial.report_periods(F.col("financial")), ",").alias("periods"))
+
+
+@query(f"""WITH {MAT}, {FLAGGED}, {FACTS}, r AS (SELECT o_orderkey AS todo_id, o_orderkey % 3 = 0 AS hidden, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS stated FROM orders),
+j AS (SELECT r.todo_id, CASE WHEN hidden THEN stated ELSE coalesce(financial, FALSE) END AS submitted, CASE WHEN NOT hidden THEN year_ok END AS ok, CASE WHEN NOT hidden THEN any_year END AS seen
+  FROM r LEFT JOIN facts f ON r.todo_id = f.todo_id)
+SELECT todo_id, coalesce(CAST(submitted AS VARCHAR), 'not known') AS submitted, CASE WHEN submitted IS NULL THEN 'unknown' WHEN NOT submitted THEN 'missing' WHEN ok THEN 'matched'
+  WHEN seen THEN 'mismatch' ELSE 'unknown' END AS status FROM j""")
+def upload_states(spark, sf):
+    """K4 with its third state: lists of uploads that have not landed."""
+    apps = applications(spark, sf)
+    key = F.col("todo_id")
+    stated = F.when(key % 4 == 0, True).when(key % 4 == 1, False)
+    requests_ = apps.select("todo_id", (key % 3 != 0).alias("has_list"), stated.alias("has_financial_report"))
+    landed = typed_materials(spark, sf).filter("todo_id % 3 <> 0")
+    checked = financial.financial_title_check(landed, requests_, AS_OF)
+    return checked.select("todo_id", F.coalesce(F.col("submitted").cast("string"), F.lit("not known")).alias("submitted"), "status")
+
+
+_REV = """rv AS (SELECT o_orderkey AS todo_id, o_custkey % 4 AS kind, o_orderkey % 5 AS k FROM orders)"""
+
+
+@query(f"""WITH {_REV} SELECT todo_id, CASE kind
+  WHEN 0 THEN '获证组织=甲；认证机构=乙；' || CASE k WHEN 0 THEN '有效期至 2002-01-01，在有效期内' WHEN 1 THEN '有效期至 2002-01-01，已过期' WHEN 2 THEN '有效期至 2002-01-01' ELSE '未识别到有效期' END
+    || CASE k WHEN 1 THEN '' ELSE '' END || '；核验通过：' || CASE WHEN k IN (3, 4) THEN '材料类型正确、在有效期内' ELSE '材料类型正确' END
+  WHEN 1 THEN '名称=丙；法定代表人=张三；注册资本=500.0万' || CASE WHEN k = 0 THEN '；法定代表人：执照「张三」vs 系统「李四」不一致' ELSE '' END || CASE WHEN k = 1 THEN '；信用代码：执照与系统不一致' ELSE '' END
+    || CASE WHEN k <> 0 THEN '；核验通过：法人一致' ELSE '' END
+  WHEN 2 THEN CASE WHEN k < 2 THEN '甲栏=一；乙栏=None；2 项不符' ELSE '甲栏=一；乙栏=None；请人工核验' END
+  ELSE 'OCR 失败' END AS verified FROM rv""")
+def review_cells(spark, sf):
+    """What the review table shows of certificates of each kind, failed readings included."""
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(f"WITH {_REV} SELECT * FROM rv")
+    kind, k, lit = F.col("kind"), F.col("k"), F.lit
+    none = lit(None).cast("boolean")
+    valid = F.when(k.isin(0, 3, 4), True).when(k == 1, False)
+    iso_fields = F.create_map(lit("获证组织"), lit("甲"), lit("认证机构"), lit("乙"), lit("有效期至"), F.when(k < 3, "2002-01-01"))
+    iso_checks = F.create_map(lit("材料类型正确"), lit(True), lit("在有效期内"), valid)
+    licence_fields = F.create_map(lit("名称"), lit("丙"), lit("法定代表人"), lit("张三"), lit("注册资本_万"), lit("500.0"))
+    licence_checks = F.create_map(lit("法人一致"), k != 0, lit("信用代码一致"), F.when(k == 1, False).otherwise(none))
+    plain_fields = F.create_map(lit("甲栏"), lit("一"), lit("乙栏"), lit(None).cast("string"))
+    plain_checks = F.create_map(lit("一致"), lit(False), lit("完整"), lit(False))
+    docs = rows.select(
+        "todo_id", F.when(kind == 0, "iso9001").when(kind == 1, "business_license").otherwise("authorization").alias("doc_type"), lit(0).alias("position"), lit("d").alias("doc_id"), lit("a.png").alias("file"),
+        F.when(kind == 0, iso_fields).when(kind == 1, licence_fields).when(kind == 2, plain_fields).alias("fields"),
+        F.when(kind == 0, iso_checks).when(kind == 1, licence_checks).when(kind == 2, plain_checks).alias("checks"),
+        F.when((kind == 2) & (k >= 2), F.array(lit("请人工核验"))).alias("issues"), F.when(kind == 3, "OCR 失败").alias("error"))
+    shown = review.verification(ocr.combine_attachments(docs).withColumn("system_person", lit("李四")))
+    return shown.select("todo_id", "verified")
+
+
 # --- scalar functions over whole columns -----------------------------------------------------
 @query("""SELECT doc_id, translate(text[1:100000000], 'abcXYZ019', 'abcXYZ019') AS folded,
   CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS clipped,
@@ -485,7 +557,7 @@ def text_forms(spark, sf):
 
 
 @query(f"""SELECT o_orderkey AS todo_id, CASE WHEN o_orderkey % 3 = 2 THEN -o_totalprice ELSE o_totalprice END AS amount,
-  o_totalprice AS plain, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE date_diff('year', o_orderdate, {_ASOF}) END AS years FROM orders""")
+  o_totalprice AS plain, round((o_orderkey % 10000) / 10000, 4) AS share, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE date_diff('year', o_orderdate, {_ASOF}) END AS years FROM orders""")
 def amounts(spark, sf):
     """Amounts written in several ways, and ages."""
     orders = table(spark, sf, "orders")
@@ -493,7 +565,8 @@ def amounts(spark, sf):
     stated = F.when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("("), written, F.lit(")"))).otherwise(written)
     found = F.when(F.col("o_orderkey") % 4 == 0, "不详").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return orders.select(F.col("o_orderkey").alias("todo_id"), numbers.signed_number(stated).alias("amount"),
-                         numbers.float_text(F.col("o_totalprice")).cast("double").alias("plain"), profile.years_since(found, F.lit(AS_OF).cast("date")).cast("bigint").alias("years"))
+                         numbers.float_text(F.col("o_totalprice")).cast("double").alias("plain"),
+                         F.round(numbers.percent_value(numbers.percent_text((F.col("o_orderkey") % 10000) / 10000)), 4).alias("share"), profile.years_since(found, F.lit(AS_OF).cast("date")).cast("bigint").alias("years"))
 
 
 @query("""SELECT event_id AS seq, CASE WHEN event_id % 4 = 3 THEN NULL ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') END AS moment FROM events""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -141,6 +141,51 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("todo_id", "v.name", "v.decision", F.col("v.ts").cast("string").alias("ts"))
 
 
+def unwrapped(response: Column) -> Column:
+    """what a service envelope holds: `result`, else `data`, as JSON text; `{}` if that is no object."""
+    body = F.try_parse_json(response)
+
+    def member(name: str) -> Column:
+        # an envelope that names the member, be it null, does not fall back to the other one
+        return F.when(F.array_contains(F.json_object_keys(response), name), F.coalesce(F.try_variant_get(body, f"$.{name}", "variant").cast("string"), F.lit("null")))
+
+    value = F.coalesce(member("result"), member("data"), F.lit("{}"))
+    return F.when(F.trim(value).startswith("{"), value).otherwise("{}")
+
+
+REGISTRY_PARTS = ["baseinfo", "verify_ic", "holders", "human_holding"]
+STATEMENTS = ["balance_sheet", "income_statement", "cash_flow"]
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Landed registry answers as the registry table: JSON lines of key, part, seq and response (JSON text)."""
+    answers = spark.read.schema("key string, part string, seq bigint, response string").json(path)
+    return registry_of(answers.filter("key is not null"))
+
+
+def registry_of(answers: DataFrame) -> DataFrame:
+    """Registry records from answers (key, part, seq, response); the last answer of each key and part counts."""
+    parts = [*REGISTRY_PARTS, *STATEMENTS]
+    last = answers.filter(F.col("part").isin(parts)).groupBy("key").agg(*[
+        F.max_by(F.when(F.col("part") == part, F.col("response")), F.when(F.col("part") == part, F.col("seq"))).alias(part) for part in parts])
+    info, verified, holding = (unwrapped(F.col(p)) for p in ("baseinfo", "verify_ic", "human_holding"))
+
+    def field(name: str) -> Column:
+        return F.get_json_object(info, f"$.{name}")
+
+    holders = F.from_json(F.get_json_object("holders", "$.result"), "array<struct<`股东名称`:string,`持股比例`:string>>")
+    controllers = F.from_json(F.get_json_object(holding, "$.实际控制人信息"), "array<struct<`实际控制人名称`:string>>")
+    valid = [F.concat(F.lit(f'"{p}":'), F.when(F.try_parse_json(F.col(p)).isNotNull(), F.col(p)).otherwise("{}")) for p in STATEMENTS]
+    return last.select(
+        "key", field("企业名称").alias("company_name"), field("统一社会信用代码").alias("credit_code"), field("法定代表人").alias("legal_person"),
+        field("注册资本").alias("registered_capital"), field("登记状态").alias("reg_status"),
+        F.get_json_object(verified, "$.核验结果是否一致").alias("accuracy"),
+        F.transform(F.coalesce(holders, F.array().cast("array<struct<`股东名称`:string,`持股比例`:string>>")), lambda h: F.struct(
+            h["股东名称"].alias("name"), h["持股比例"].alias("share"))).alias("shareholders"),
+        F.transform(F.coalesce(controllers, F.array().cast("array<struct<`实际控制人名称`:string>>")), lambda c: c["实际控制人名称"]).alias("controllers"),
+        F.concat(F.lit("{"), F.concat_ws(",", *valid), F.lit("}")).alias("financial"))
+
+
 def _partition_exists(spark: SparkSession, path: str, mode: str) -> bool:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/ocr_mode={mode}")
