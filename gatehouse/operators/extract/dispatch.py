@@ -33,6 +33,8 @@ READERS = {
     "transport": (["transport_license"], read_transport, check_transport),
 }
 PAGED = {"production", "transport"}
+#: Readers that are projections of a row.
+PROJECTED = ["legal_person_id", "tax_credit", "iso", "authorization", "after_sales"]
 DISABLED = ["financial_report"]
 #: What a reading depends on: the content, the engine, and the type it is read as.
 READING = ["sha256", "engine", "doc_type"]
@@ -68,31 +70,53 @@ def shared_results(docs: DataFrame, results: DataFrame, cache: DataFrame) -> Dat
     return shared.select(*own, *values).unionByName(alone.select(*own, *values))
 
 
-def extract_all(docs: DataFrame, lines: DataFrame, suppliers: DataFrame, as_of: str) -> DataFrame:
+def _one_pass(rows: DataFrame, as_of: str) -> DataFrame:
+    """Results of all kinds whose readers are projections: each reader sees the texts of its own types only.
+
+    A reader's columns are dropped before the next one starts, so a row carries its text, its supplier and its result.
+    """
+    kept = rows.columns
+    results = []
+    for name in PROJECTED:
+        types, read, check = READERS[name]
+        mine = F.col("doc_type").isin(types)
+        staged = rows.select(*[c for c in rows.columns if c != "text"], F.col("text").alias("__text"), F.when(mine, F.col("text")).alias("text"))
+        done = check(read(staged), as_of)
+        rows = done.select(*[c for c in kept if c != "text"], *results, F.col("__text").alias("text"), F.when(mine, F.col("result")).alias(f"__{name}"))
+        results.append(f"__{name}")
+    generic = check_generic(read_generic(rows), as_of).withColumnRenamed("result", "__generic")
+    blank = F.from_json(F.lit('{"fields":{},"checks":{},"issues":[]}'), OUTCOME_TYPE)
+    failed = F.from_json(F.lit('{"issues":["OCR 失败，转人工核验"]}'), OUTCOME_TYPE)
+    covered = [t for n in PROJECTED for t in READERS[n][0]]
+    result = (F.when(F.col("error").isNotNull(), failed).when(F.col("doc_type").isin(DISABLED), blank)
+              .when(F.col("doc_type").isin(covered), F.coalesce(*results)).otherwise(F.col("__generic")))
+    return generic.withColumn("result", result)
+
+
+def extract_all(docs: DataFrame, lines: DataFrame, suppliers: DataFrame, as_of: str, types: list[str] | None = None) -> DataFrame:
     """Fields, checks and issues of every document by its type.
 
-    Each type is a filter over `docs`, which prunes partitions when the table is
-    partitioned by doc_type; the results are one union.
+    All types but three are read in one pass over `docs` joined to its suppliers. Licences (a similarity in Python) and the
+    two kinds that look at pages are branches of their own; `types`, the types that occur, leaves out branches that would find nothing.
     """
     known = suppliers.select(*SUPPLIER_COLUMNS)
-    good = docs.filter(F.col("error").isNull()).select(*DOC_COLUMNS)
-    out = []
+    docs = docs.select(*DOC_COLUMNS)
 
-    def finish(rows: DataFrame) -> None:
-        out.append(rows.select(
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.select(
             "todo_id", "doc_type", "doc_id", "position", "file",
             F.col("result.fields").alias("fields"), F.col("result.checks").alias("checks"),
-            F.col("result.issues").alias("issues"), "error", "engine"))
-
-    covered = list(DISABLED)
-    for name, (types, read, check) in READERS.items():
-        covered += types
-        part = good.filter(F.col("doc_type").isin(types))
+            F.col("result.issues").alias("issues"), "error", "engine")
+
+    branches = [n for n in READERS if n not in PROJECTED]
+    apart = [t for n in branches for t in READERS[n][0]]
+    rest = ~F.coalesce(F.col("doc_type").isin(apart), F.lit(False)) | F.col("error").isNotNull()
+    out = [finish(_one_pass(docs.filter(rest).join(known, "todo_id", "left"), as_of))]
+    for name in branches:
+        own, read, check = READERS[name]
+        if types is not None and not set(own) & set(types):
+            continue
+        part = docs.filter(F.col("error").isNull() & F.col("doc_type").isin(own))
         fields = read(part, page_texts(lines)) if name in PAGED else read(part)
-        finish(check(fields.join(known, "todo_id", "left"), as_of))
-    finish(check_generic(read_generic(good.filter(~F.col("doc_type").isin(covered))), as_of))
-    blank = F.from_json(F.lit('{"fields":{},"checks":{},"issues":[]}'), OUTCOME_TYPE)
-    finish(good.filter(F.col("doc_type").isin(DISABLED)).withColumn("result", blank))
-    failed = F.from_json(F.lit('{"issues":["OCR 失败，转人工核验"]}'), OUTCOME_TYPE)
-    finish(docs.filter(F.col("error").isNotNull()).select(*DOC_COLUMNS).withColumn("result", failed))
+        out.append(finish(check(fields.join(known, "todo_id", "left"), as_of)))
     return reduce(DataFrame.unionByName, out)

@@ -47,23 +47,27 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     box = F.struct("y1", "x1", "line_no", "y2", "text")
     grouped = (banded.join(blocks, [*PAGE, "__band"]).groupBy(*PAGE, "block")
                .agg(F.array_sort(F.collect_list(box)).alias("boxes")))
-    kind = "array<struct<row:int,x1:double,line_no:int,text:string>>"
+    # only the places where a row begins are gathered, so the work grows with the boxes and not with their square
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("size"),
-                     F.lit(0).alias("row"), F.array().cast(kind).alias("out"))
+                     F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, b: Column) -> Column:
         size = b["y2"] - b["y1"]
         same = F.coalesce(F.abs(b["y1"] - acc["top"]) <= F.greatest(
             F.lit(3.0), F.least(size, acc["size"]) * 0.45), F.lit(False))
-        row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
         return F.struct(
             F.when(same, acc["top"]).otherwise(b["y1"]).alias("top"),
-            F.when(same, acc["size"]).otherwise(size).alias("size"), row.alias("row"),
-            F.concat(acc["out"], F.array(F.struct(
-                row.alias("row"), b["x1"].cast("double").alias("x1"), b["line_no"].cast("int").alias("line_no"),
-                b["text"].alias("text")))).alias("out"))
+            F.when(same, acc["size"]).otherwise(size).alias("size"), (acc["at"] + 1).alias("at"),
+            F.when(same, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["at"]))).alias("begins"))
 
-    placed = F.array_sort(F.aggregate("boxes", start, step, lambda acc: acc["out"]))
+    grouped = grouped.withColumn("begins", F.aggregate("boxes", start, step, lambda acc: acc["begins"]))
+
+    def row_of(begin: Column, index: Column) -> Column:
+        end = F.coalesce(F.try_element_at("begins", index + 2), F.size("boxes") + 1)
+        return F.transform(F.slice("boxes", begin, end - begin), lambda b: F.struct(
+            (index + 1).alias("row"), b["x1"].cast("double").alias("x1"), b["line_no"].cast("int").alias("line_no"), b["text"].alias("text")))
+
+    placed = F.array_sort(F.flatten(F.transform("begins", row_of)))
     numbered = F.transform(placed, lambda b, i: F.struct(i.alias("place"), b.alias("b")))
     return unnested(grouped, [*PAGE, "block"], numbered, "p").select(
         *PAGE, "block", "p.b.row", "p.place", "p.b.line_no", "p.b.text")

@@ -297,7 +297,7 @@ def certificate_checks(spark, sf):
         .when(place == 6, F.concat(F.lit("道路运输经营许可证\n有效期至："), day))
         .otherwise(F.concat(F.lit("税务登记证\n发证日期："), day)))
     docs = _documents(rows, kind, text)
-    found = extract_all(docs, _no_lines(spark), _holders(spark, sf), AS_OF)
+    found = extract_all(docs, _no_lines(spark), _holders(spark, sf), AS_OF, ["transport_license"])
     entry = F.explode(F.map_entries("checks")).alias("c")
     return found.select("doc_id", "doc_type", entry).select(
         "doc_id", "doc_type", F.col("c.key").alias("check_key"),
@@ -311,7 +311,7 @@ def certificate_terms(spark, sf):
     text = F.concat(F.lit("安全生产许可证\n上周期有效期至：1990-01-01\n证书有效期：1991-02-03 至 "), day,
                     F.lit("\n发证日期：2030年1月1日"))
     docs = _documents(rows, F.lit("product_cert"), text)
-    found = extract_all(docs, _no_lines(spark), _holders(spark, sf), AS_OF)
+    found = extract_all(docs, _no_lines(spark), _holders(spark, sf), AS_OF, ["product_cert"])
     return found.select("doc_id", F.col("fields")["有效期至"].alias("valid_until"),
                         F.array_join("issues", "；").alias("issues"))
 
@@ -339,7 +339,7 @@ def licence_checks(spark, sf):
     known = rows.select("todo_id", "name", company.alias("full_name"), code.alias("social_credit_code"),
                         F.when(F.col("is_overseas"), "李四").otherwise("张三").alias("legal_person"),
                         "registered_capital", "busi_scope")
-    found = extract_all(docs, _no_lines(spark), known, AS_OF)
+    found = extract_all(docs, _no_lines(spark), known, AS_OF, ["business_license"])
     c = F.col("checks")
     return found.select("todo_id", *[
         F.coalesce(c[key].cast("string"), F.lit("none")).alias(name) for key, name in [

@@ -411,7 +411,7 @@ def _papers(spark, sf, doc_type: str, text_: Column, **known: Column) -> DataFra
                        F.lit(None).cast("string").alias("sha256"), F.lit("e").alias("engine"), F.lit(None).cast("string").alias("error"))
     values = {"name": F.lit(""), "full_name": F.lit(""), "social_credit_code": F.lit(""), "legal_person": F.lit(""), "registered_capital": F.lit(0.0), "busi_scope": F.lit(""), **known}
     suppliers = rows.select(key.alias("todo_id"), *[v.alias(k) for k, v in values.items()])
-    return extract_all(docs, _no_lines(spark), suppliers, AS_OF)
+    return extract_all(docs, _no_lines(spark), suppliers, AS_OF, [doc_type])
 
 
 @query(f"""WITH {_PAPERS} SELECT doc_id, CASE WHEN layout = 3 THEN 'unknown' ELSE 'true' END AS both_sides,
