@@ -23,6 +23,8 @@ MOST_TIMES = 3.0
 #: Hash bits of one histogram; 64 bits are seven levels at most.
 LEVEL_BITS = 10
 HASH_BITS = 63
+#: Sources whose plan (about 60 bytes each) is sent to every task.
+MOST_SOURCES = 200_000
 
 
 def document_hash():
@@ -101,6 +103,14 @@ def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_tim
     return checkpoint(plan)
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows beside the plan of their source. Up to MOST_SOURCES sources the plan is broadcast and no row is shuffled; beyond
+    that it is an equi join whose hot sources adaptive execution splits."""
+    if plan.count() <= MOST_SOURCES:
+        plan = F.broadcast(plan)
+    return rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
+
+
 def _copies(h, most_times: float):
     return F.least(F.col("whole") + (h < F.col("threshold")).cast("long"), F.lit(int(most_times)).cast("long"))
 
@@ -108,7 +118,7 @@ def _copies(h, most_times: float):
 def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row of `document_sizes`."""
     sizes = checkpoint(sizes)
-    joined = sizes.join(mixing_plan(sizes, weights, most_times), F.col("source").eqNullSafe(F.col("s")))
+    joined = _with_plan(sizes, mixing_plan(sizes, weights, most_times))
     return joined.select("doc_id", "size", "source_size", "target", (_copies(F.col("h"), most_times) * F.col("size")).alias("taken"))
 
 
@@ -119,7 +129,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_ti
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
     """The rows of `docs` as the mix takes them, each as often as it is taken; texts are not shuffled."""
     plan = mixing_plan(checkpoint(document_sizes(docs)), weights, most_times)
-    rows = docs.join(plan, docs["source"].eqNullSafe(plan["s"]))
+    rows = _with_plan(docs, plan)
     taken = F.sequence(F.lit(1).cast("long"), _copies(document_hash(), most_times))
     copies = _copies(document_hash(), most_times)
     return rows.where(copies > 0).withColumn("_copy", F.explode(taken)).select(*(docs[c] for c in docs.columns))
