@@ -4,8 +4,8 @@ A document's size is its number of words. Each source gets a share of all words
 source's own words, and what is left over is shared by weight among the others until none is above. A source then takes every document
 floor(target / words) times and once more each document whose hash is below the source's threshold. The threshold comes from
 histograms: sizes summed by source and leading hash bits, the bucket where the budget ends found, and only that bucket
-summed again by the next bits, until a bucket is one hash value. No document is sorted. A threshold thus depends on
-the hashes alone, so a smaller budget takes a subset of what a larger one takes, and reruns agree.
+summed again by the next bits, until a bucket is one hash value. No document is sorted, and reruns agree. A second pass of the same
+kind over the smaller documents behind the threshold uses up what a large document there left open.
 
 Defined cases: a null or blank text has size 0 and is in the mix with 0 words; a null source is a source of its own, last in order; a null doc_id
 hashes like a value of its own; repeated rows are taken alike; an empty table gives no rows.
@@ -32,10 +32,15 @@ def document_hash():
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 1)
 
 
+def text_size():
+    """The number of words of a text."""
+    kept = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20\x09-\x0D]+", "x")
+    return F.length(F.translate(kept, " \t\n\x0b\x0c\r", "")).cast("long")
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and h, the 63-bit hash that orders documents inside their source."""
-    kept = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20\x09-\x0D]+", "x")
-    size = F.length(F.translate(kept, " \t\n\x0b\x0c\r", "")).cast("long")
+    size = text_size()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), document_hash().alias("h"))
 
 
@@ -70,11 +75,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
     return known.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """source and `threshold`: documents of a smaller hash are taken once more. Reads source, size and hash only."""
-    rest = F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")
+def _cut(sizes: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
+    """source, threshold and `left` of its budget: documents of a smaller hash fit in. Reads source, size and hash only.
+
+    The document at the threshold stays out, or with `nearest` goes in if that comes nearer.
+    """
     # prefix: leading bits already decided; budget: words still to take inside the bucket
-    state = targets.select("source", F.greatest(rest, F.lit(0.0)).alias("budget"), F.lit(0).cast("long").alias("prefix"))
+    state = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"))
     left = HASH_BITS
     while left:
         bits = min(LEVEL_BITS, left)
@@ -87,20 +94,31 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         edges = sums.withColumn("upto", upto).where("upto > budget")
         edge = edges.groupBy("s").agg(F.min_by(F.struct("bucket", "words", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget")), "bucket").alias("e"))
         joined = state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
-        bucket = F.coalesce("e.bucket", F.col("prefix") * F.lit(1 << bits))  # a source without words has no buckets
-        if not left:  # the last document goes in if that comes nearer
+        # no edge: a source without words, or one whose words all fit
+        past = F.col("prefix") * F.lit(1 << bits) + F.when(F.col("budget") > 0, (1 << bits) - 1).otherwise(0)
+        bucket, rest = F.coalesce("e.bucket", past), F.coalesce("e.budget", F.col("budget"))
+        if not left and nearest:
             bucket = bucket + F.coalesce((F.col("e.budget") > F.col("e.words") / 2).cast("long"), F.lit(0))
-        state = checkpoint(joined.select("source", F.coalesce("e.budget", F.lit(0.0)).alias("budget"), bucket.alias("prefix")))
-    return state.select("source", F.col("prefix").alias("threshold"))
+        state = checkpoint(joined.select("source", rest.alias("budget"), bucket.alias("prefix")))
+    return state.select("source", F.col("prefix").alias("threshold"), F.col("budget").alias("left"))
 
 
 def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
-    """One row per source: s (its name), source_size, target, whole (times that every document is taken) and threshold."""
+    """One row per source: s (its name), source_size, target, `whole` (times that every document is taken), and who is taken once
+    more: documents below `threshold`, and those of at most `small` words below `threshold2`.
+
+    The second pass fills what a large document at the first threshold leaves open, with documents that are small enough.
+    """
     targets = checkpoint(source_targets(sizes, weights, most_times))
-    cut = thresholds(sizes, targets).withColumnRenamed("source", "s")
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
-    plan = targets.join(cut, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", whole.alias("whole"), "threshold")
-    return checkpoint(plan)
+    rest = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
+    first = checkpoint(_cut(sizes, targets.select("source", rest.alias("budget")), False)).withColumnRenamed("source", "s")
+    open_ = sizes.join(first, F.col("source").eqNullSafe(F.col("s"))).where((F.col("h") >= F.col("threshold")) & (F.col("size") <= F.col("left")))
+    second = _cut(open_.select("source", "size", "h"), first.select(F.col("s").alias("source"), F.col("left").alias("budget")), True)
+    second = second.select(F.col("source").alias("s2"), F.col("threshold").alias("threshold2"))
+    plan = (targets.select("source", "source_size", "target", whole.alias("whole")).join(first, F.col("source").eqNullSafe(F.col("s")))
+            .join(second, F.col("s").eqNullSafe(F.col("s2"))))
+    return checkpoint(plan.select("s", "source_size", "target", "whole", "threshold", F.floor("left").alias("small"), "threshold2"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -111,15 +129,16 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
 
 
-def _copies(h, most_times: float):
-    return F.least(F.col("whole") + (h < F.col("threshold")).cast("long"), F.lit(int(most_times)).cast("long"))
+def _copies(h, size, most_times: float):
+    once_more = (h < F.col("threshold")) | ((h < F.col("threshold2")) & (size <= F.col("small")))
+    return F.least(F.col("whole") + once_more.cast("long"), F.lit(int(most_times)).cast("long"))
 
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row of `document_sizes`."""
     sizes = checkpoint(sizes)
     joined = _with_plan(sizes, mixing_plan(sizes, weights, most_times))
-    return joined.select("doc_id", "size", "source_size", "target", (_copies(F.col("h"), most_times) * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (_copies(F.col("h"), F.col("size"), most_times) * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
@@ -130,6 +149,6 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: f
     """The rows of `docs` as the mix takes them, each as often as it is taken; texts are not shuffled."""
     plan = mixing_plan(checkpoint(document_sizes(docs)), weights, most_times)
     rows = _with_plan(docs, plan)
-    taken = F.sequence(F.lit(1).cast("long"), _copies(document_hash(), most_times))
-    copies = _copies(document_hash(), most_times)
+    copies = _copies(document_hash(), text_size(), most_times)
+    taken = F.sequence(F.lit(1).cast("long"), copies)
     return rows.where(copies > 0).withColumn("_copy", F.explode(taken)).select(*(docs[c] for c in docs.columns))
