@@ -147,11 +147,6 @@ CCC_SCOPE_WORDS = [
     "电线", "电缆", "开关", "灯具", "照明", "电机", "电池", "充电器", "家用电器", "家电", "玩具",
     "安全玻璃", "汽车零部件", "汽车配件", "低压电器", "插头", "插座", "电焊机",
 ]
-SPECIAL_CATEGORIES = [
-    ("平台", "平台类"), ("云服务", "云服务商"), ("软件服务", "软件服务商"), ("差旅", "差旅服务商"),
-    ("审计", "审计/评估机构"), ("评估", "审计/评估机构"), ("保险", "保险机构"),
-    ("投行", "投资银行类"), ("投资银行", "投资银行类"),
-]
 LABEL_SEPARATORS = r"(?U)[/／、,，;；|\s]+"
 CARRIER_LABELS = [
     "运输商", "承运商", "运输服务商", "道路运输商", "物流运输商",
@@ -245,11 +240,6 @@ MISSING_DETAIL = (
 A08_MISSING = "缺少经审计的上年度财报（须为上一年度，须含资产负债表、利润表、现金流量表及审计意见）"
 
 # --- registry ---------------------------------------------------------------
-RELATED_WORDS = [
-    "中交", "中国交通建设", "CCCC", "中港", "中国港湾", "CHEC", "振华重工", "ZPMC",
-    "一航局", "二航局", "三航局", "四航局", "一公局", "二公局", "三公局", "四公局",
-    "公规院", "水规院", "疏浚", "航道局",
-]
 ACTIVE_STATES = ["存续", "在业", "开业"]
 FOREIGN_MONEY = ["万美元", "万港", "万欧元", "万日元"]
 

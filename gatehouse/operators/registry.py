@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, lists
 from ..functions.numbers import registry_capital, short_number
 from ..functions.ordering import unnested
 from ..functions.outcome import say
@@ -37,7 +37,7 @@ def match_registry(suppliers: DataFrame, registry: DataFrame, keys: list[str],
 def related_parties(shareholders: DataFrame, words: list[str] | None = None,
                     name: str = "name") -> DataFrame:
     """Holders whose name contains a related-party word, with the first such word."""
-    words = fixed.RELATED_WORDS if words is None else words
+    words = lists.RELATED_WORDS if words is None else words
     hit = F.coalesce(*[F.when(F.col(name).contains(word), F.lit(word)) for word in words])
     return shareholders.withColumn("related_word", hit).filter(F.col("related_word").isNotNull())
 
@@ -82,10 +82,10 @@ def _related_item() -> tuple[Column, Column, Column]:
     controller = blank(F.try_element_at(F.coalesce(
         "r_controllers", F.array().cast("array<string>")), F.lit(1)))
     related = F.transform(
-        F.filter(holders, lambda h: has_any(blank(h["name"]), fixed.RELATED_WORDS)),
+        F.filter(holders, lambda h: has_any(blank(h["name"]), lists.RELATED_WORDS)),
         lambda h: say("股东「", h["name"], "」（持股", F.coalesce(h["share"], F.lit("?")), "）"))
     hits = F.array_join(F.concat(related, F.array_compact(F.array(F.when(
-        has_any(controller, fixed.RELATED_WORDS), say("实际控制人「", controller, "」"))))), "、")
+        has_any(controller, lists.RELATED_WORDS), say("实际控制人「", controller, "」"))))), "、")
     shown = F.array_join(F.transform(F.slice(holders, 1, 4), lambda h: say(
         blank(h["name"]), "(", blank(h["share"]), ")")), "、")
     found = hits != ""

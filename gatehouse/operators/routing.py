@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, lists
 from ..functions.ordering import unnested
 from ..functions.text import blank, first_word, has_any, trim
 from .rules import Rule
@@ -13,7 +13,7 @@ from .rules import Rule
 
 def special_category(sup_type: Column) -> Column:
     """Name of the group-specific category, null if there is none."""
-    return first_word(blank(sup_type), fixed.SPECIAL_CATEGORIES)
+    return first_word(blank(sup_type), lists.SPECIAL_CATEGORIES)
 
 
 def with_special(df: DataFrame) -> DataFrame:

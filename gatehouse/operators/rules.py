@@ -61,13 +61,6 @@ def load_catalogue(path: str | None = None) -> list[Rule]:
     return found
 
 
-def load_special_categories(path: str | None = None) -> list[tuple[str, str]]:
-    text = (open(path, encoding="utf-8").read() if path else
-            resources.files("gatehouse.resources").joinpath("rules.yaml").read_text(encoding="utf-8"))
-    return [(row["name"], row.get("requirements", ""))
-            for row in yaml.safe_load(text).get("part_3_special_categories") or []]
-
-
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([tuple(vars(rule).values()) for rule in rules], RULE_SCHEMA)
 
