@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder as named_folder
+
 #: Records of one Arrow batch: texts of a few kilobytes make batches of some megabytes.
 BATCH_RECORDS = 1000
 #: Bytes of text that one numpy step looks at; a longer single text is one step.
@@ -22,19 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, or the one already set for checkpoints.
-
-    Only a local session without either gets a folder of its own; a cluster without one is an error.
-    """
+    """The folder of checkpoints: the one that the session names, as `session.shared_folder` tells."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gatehouse-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        context.setCheckpointDir(named_folder(spark))
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
