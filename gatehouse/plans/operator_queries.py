@@ -545,6 +545,69 @@ def review_cells(spark, sf):
     return shown.select("todo_id", "verified")
 
 
+_MERGE = """mg AS (SELECT o_orderkey AS todo_id, CASE o_custkey % 5 WHEN 0 THEN 'fail' WHEN 1 THEN 'manual' WHEN 2 THEN 'pass' WHEN 3 THEN 'partial' END AS licence,
+  CASE o_custkey % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'manual' END AS transport, o_orderkey % 2 = 0 AS has_files, o_orderkey % 3 > 0 AS conflict,
+  CASE o_orderkey % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'manual' WHEN 2 THEN 'pass' ELSE 'pending' END AS before,
+  CASE o_custkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'pass' WHEN 2 THEN 'partial' END AS cert, CASE o_custkey % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'manual' END AS stmt FROM orders)"""
+_GRAVE = "CASE {x} WHEN 'fail' THEN 4 WHEN 'manual' THEN 3 WHEN 'partial' THEN 2 WHEN 'pending' THEN 2 WHEN 'pass' THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {_MERGE}, a AS (SELECT *, coalesce(licence, before) AS own, CASE WHEN licence IS NULL THEN '原' || CASE WHEN conflict THEN '企查查' ELSE '' END ELSE '照' || licence END AS text,
+  before IN ('fail', 'manual') AND conflict AS kept, '原' || CASE WHEN conflict THEN '企查查' ELSE '' END AS old FROM mg),
+a01 AS (SELECT todo_id, 'A01' AS rule_id, CASE WHEN kept AND own = 'pass' THEN before ELSE own END AS status, CASE WHEN kept THEN text || '；' || old ELSE text END AS detail,
+  CASE WHEN licence IN ('fail', 'manual') THEN '法律主体资格：照有误' ELSE '' END AS issues FROM a),
+e1 AS (SELECT todo_id, 'E1', CASE WHEN before = 'fail' AND NOT has_files THEN before ELSE transport END, CASE WHEN before = 'fail' AND NOT has_files THEN '缺少' ELSE '运' || transport END,
+  CASE WHEN (before = 'fail' AND NOT has_files) OR transport = 'pass' THEN '' ELSE '运有误' END FROM mg),
+one AS (SELECT *, coalesce(cert, before) AS s1, CASE WHEN cert IS NULL THEN '售' ELSE '证' || cert END AS d1 FROM mg),
+two AS (SELECT *, coalesce(stmt, s1) AS s2, CASE WHEN stmt IS NULL THEN d1 ELSE '函' || stmt END AS d2 FROM one),
+a07 AS (SELECT todo_id, 'A07', CASE WHEN {_GRAVE.format(x="s1")} > {_GRAVE.format(x="s2")} THEN s1 ELSE s2 END, CASE WHEN {_GRAVE.format(x="s1")} > {_GRAVE.format(x="s2")} THEN d1 ELSE d2 END,
+  concat_ws(',', CASE WHEN cert = 'manual' THEN '售后服务：证有误' END, CASE WHEN stmt IN ('fail', 'manual') THEN '售后服务：函有误' END) FROM two)
+SELECT * FROM a01 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM a07""")
+def certificate_merge(spark, sf):
+    """Certificate results merged into the items they feed: the graver of two papers, registry conflicts, stale transport papers."""
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(f"WITH {_MERGE} SELECT * FROM mg")
+
+    def paper(order: int, kind: str, status: str, word: str) -> Column:
+        state = F.col(status)
+        return F.struct(F.lit(order).alias("type_order"), F.lit(kind).alias("doc_type"), state.alias("status"), F.concat(F.lit(word), state).alias("detail"),
+                        F.when(state.isin("fail", "manual"), F.lit(f"{word}有误")).alias("issue"))
+
+    def item(rule: str, name: str, detail: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("name"), F.col("before").alias("status"), detail.alias("detail"), F.col("has_files"))
+
+    known = rows.select(
+        "todo_id", F.array(paper(0, "business_license", "licence", "照"), paper(4, "transport_license", "transport", "运"),
+                           paper(5, "after_sales_cert", "cert", "证"), paper(6, "after_sales_statement", "stmt", "函")).alias("ocr_documents"),
+        F.array(item("A01", "法律主体资格", F.concat(F.lit("原"), F.when(F.col("conflict"), "企查查").otherwise(""))), item("E1", "运输承运资质", F.lit("缺少")),
+                item("A07", "售后服务", F.lit("售"))).alias("items"))
+    found = ocr.enrich_ocr(known).select("todo_id", F.explode("items").alias("i"))
+    return found.select("todo_id", "i.rule_id", "i.status", "i.detail", text_of(F.transform("i.ocr_issues", lambda x: x["issue"])).alias("issues"))
+
+
+@query("""SELECT doc_id AS todo_id, 'f' || doc_id || '.png' AS file FROM documents WHERE doc_id % 5 > 1""")
+def masked_files(spark, sf):
+    """Masked files whose content is the one recorded at masking; some were changed since, some never recorded."""
+    from ..operators.audit import verify_masked
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("todo_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".png")).alias("file"), "text")
+    files = docs.select("todo_id", "file", F.when(F.col("todo_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    recorded = docs.select("todo_id", "file", F.when(F.col("todo_id") % 5 != 1, F.sha2(F.col("text").cast("binary"), 256)).alias("masked_sha256"))
+    return verify_masked(files, recorded.unionByName(recorded)).select("todo_id", "file")
+
+
+@query("""SELECT o_orderkey AS todo_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'reject' ELSE 'manual' END AS decision FROM orders""")
+def decision_stream(spark, sf):
+    """Requests decided as they arrive, each once."""
+    schema = table(spark, sf, "orders").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    requests_ = arriving.select(F.col("o_orderkey").alias("todo_id"), "o_orderpriority")
+    folder = jobs.stream_folder(spark, "decisions")
+    decide_ = lambda df: df.select("todo_id", F.when(F.col("o_orderpriority") == "1-URGENT", "reject").otherwise("manual").alias("decision"))
+    jobs.decide_stream(requests_, decide_, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("todo_id", "decision")
+
+
 # --- scalar functions over whole columns -----------------------------------------------------
 @query("""SELECT doc_id, translate(text[1:100000000], 'abcXYZ019', 'abcXYZ019') AS folded,
   CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS clipped,
