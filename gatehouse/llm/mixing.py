@@ -113,7 +113,7 @@ def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_tim
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
     rest = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
     first = checkpoint(_cut(sizes, targets.select("source", rest.alias("budget")), False)).withColumnRenamed("source", "s")
-    open_ = sizes.join(first, F.col("source").eqNullSafe(F.col("s"))).where((F.col("h") >= F.col("threshold")) & (F.col("size") <= F.col("left")))
+    open_ = _with_plan(sizes, first).where((F.col("h") >= F.col("threshold")) & (F.col("size") <= F.col("left")))
     second = _cut(open_.select("source", "size", "h"), first.select(F.col("s").alias("source"), F.col("left").alias("budget")), True)
     second = second.select(F.col("source").alias("s2"), F.col("threshold").alias("threshold2"))
     plan = (targets.select("source", "source_size", "target", whole.alias("whole")).join(first, F.col("source").eqNullSafe(F.col("s")))
