@@ -25,6 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpoint
 from .graph import components
+from .shingle_sets import near_components, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -113,12 +114,14 @@ def near_duplicates(docs: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one of the smallest doc_id (of repeated rows of it, one).
+    """One document of each group of near copies stays: the one of the smallest doc_id (of repeated rows of it, one).
 
-    A row without doc_id stays, as no component is named after it. Columns stay as they are.
+    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more, as `shingle_sets` finds them: that is six to
+    eleven bits and more of a fingerprint, beyond what segments of 64 bits can look up. A row without doc_id stays. Columns stay as they are.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    once = joined.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return once.unionByName(docs.where("doc_id is null"))
+    rows, roots = near_components(docs)
+    order = F.struct("doc_id", "row")
+    kept = rows.where("doc_id is not null").join(roots, "node").groupBy("root").agg(F.min(order).alias("first"))
+    kept = kept.select(F.col("first.row").alias("_row"))
+    once = docs.where("doc_id is not null").withColumn("_row", row_key()).dropDuplicates(["_row"])
+    return once.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -8,11 +8,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gatehouse.llm import embedding_dedup, line_dedup, simhash
+from gatehouse.llm import embedding_dedup, line_dedup, shingle_sets, simhash
 from gatehouse.llm.graph import components
 from gatehouse.llm.line_dedup import PerfectHash
 
-from .fixtures import DOCS, odd_docs, odd_rows, with_clashes
+from .fixtures import DOCS, odd_docs, odd_rows, sentence, with_clashes
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -124,6 +124,49 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def near_copies():
+    """Texts with copies in which 1 to 12 of 240 words are others, single texts, and short ones."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = sentence(rng, 240).split()
+        rows.append(base)
+        for edits in (1, 2, 4, 5, 6, 8, 12):
+            copy = list(base)
+            for at in rng.sample(range(240), edits):
+                copy[at] = f"other{rng.randrange(1 << 30)}"
+            rows.append(copy)
+        rows += [base[:215], base[:180]]
+    rows += [sentence(rng, 240).split() for _ in range(20)]
+    rows += [["one", "two"], ["One", "Two"], ["one", "three"], []]
+    return [" ".join(x) for x in rows]
+
+
+def jaccard_by_hand(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    texts = near_copies()
+    roots = least_reached(texts, lambda a, b: jaccard_by_hand(a, b) >= 0.8)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(roots)
+    far = [(simhash.simhash(a) ^ simhash.simhash(b)).bit_count() for a in texts for b in texts if a and b and 0.8 <= jaccard_by_hand(a, b) < 1]
+    assert min(far) > 0 and max(far) > 2
+
+
+def test_a_bucket_without_a_common_leader_is_compared_whole(spark):
+    """With fewer turns of leaders, the last turn checks all pairs of different components that are left."""
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    roots = least_reached(texts, lambda a, b: jaccard_by_hand(a, b) >= 0.8)
+    for stars in (0, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(shingle_sets, "STARS", stars)
+            assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(roots)
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, i) for i in range(1001, 1300)]
