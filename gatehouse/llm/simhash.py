@@ -114,14 +114,16 @@ def near_duplicates(docs: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest doc_id (of repeated rows of it, one).
+    """One row of each group of near copies stays, with or without an id: the one of the smallest doc_id, null last, then by text hash.
 
     Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more, as `shingle_sets` finds them: that is six to
-    eleven bits and more of a fingerprint, beyond what segments of 64 bits can look up. A row without doc_id stays. Columns stay as they are.
+    eleven bits and more of a fingerprint, beyond what segments of 64 bits can look up. A row with neither id nor text has nothing
+    to be compared and stays. Columns stay as they are.
     """
-    rows, roots = near_components(docs)
-    order = F.struct("doc_id", "row")
-    kept = rows.where("doc_id is not null").join(roots, "node").groupBy("root").agg(F.min(order).alias("first"))
-    kept = kept.select(F.col("first.row").alias("_row"))
-    once = docs.where("doc_id is not null").withColumn("_row", row_key()).dropDuplicates(["_row"])
-    return once.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    nothing = F.col("doc_id").isNull() & F.col("text").isNull()
+    texts = docs.where(~nothing)
+    rows, roots = near_components(texts)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = rows.join(roots, "node").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
+    once = texts.withColumn("_row", row_key()).dropDuplicates(["_row"])
+    return once.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.where(nothing))

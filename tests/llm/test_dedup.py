@@ -167,6 +167,15 @@ def test_a_bucket_without_a_common_leader_is_compared_whole(spark):
             assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(roots)
 
 
+def test_rows_without_id_are_in_groups_too(spark):
+    base, other = near_copies()[0], near_copies()[-10]
+    near = base.replace(base.split()[0], "changed", 1)
+    rows = [(None, other), (None, other), (None, other.upper()), (None, base), (None, near), (4, near), (3, base), (None, ""), (9, " "), (None, None)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len([r for r in kept if r.doc_id is None and r.text and r.text.lower() == other]) == 1
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [3, 9] and len(kept) == 4
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, i) for i in range(1001, 1300)]
