@@ -1,8 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside them, one representative per group.
 
-Equal vectors are one node (its key is the 64-bit hash of its components). Centroids are fitted on a bounded sample of the nodes; every
-node is then assigned to the nearest centroid (its home) and to each other cell whose centroid is at most `margin` farther in
-cosine, where it is a guest. A pair of cosine `threshold` whose difference has no preferred direction lands in each other's cell with
+Equal vectors are one node (its key is the 64-bit hash of its components). Centroids are fitted on the driver on a sample of the nodes, of
+`SAMPLE_PER_CELL` vectors a cell and of `FIT_BYTES` at most, by products of `FIT_STEP` values; every node is then assigned to the nearest
+centroid (its home) and to each other cell whose centroid is at most `margin` farther in cosine, where it is a guest. A pair of cosine `threshold` whose difference has no preferred direction lands in each other's cell with
 high probability; `tests/llm` measures recall against brute force. Inside a cell the home vectors are cut into blocks and compared
 with blocks of all members, in double precision; a block pair is a group of bounded size, so a cell that holds a third of all vectors is
 many tasks. A block pair gives counts of links per node and a spanning forest of its links, never the pairs.
@@ -29,6 +29,10 @@ THRESHOLD = 0.95
 MARGIN = 0.15
 #: Vectors that k-means looks at, per cell.
 SAMPLE_PER_CELL = 32
+#: Ceiling of the sample that the driver holds as doubles, whatever the table's size: 65,536 vectors of 64 components.
+FIT_BYTES = 32 << 20
+#: Values of one product of sample and centroids.
+FIT_STEP = 1 << 22
 HOME_BLOCK = 1024
 MEMBER_BLOCK = 2048
 
@@ -42,12 +46,15 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 12, seed: int =
     rng = np.random.Generator(np.random.PCG64(seed))
     rows = unit(rows)
     centres = rows[rng.choice(len(rows), min(cells, len(rows)), replace=False)]
+    step = max(1, FIT_STEP // len(centres))
     for _ in range(rounds):
-        likeness = rows @ centres.T
-        own = likeness.argmax(axis=1)
+        own, nearest = np.empty(len(rows), np.int64), np.empty(len(rows))
+        for i in range(0, len(rows), step):
+            likeness = rows[i:i + step] @ centres.T
+            own[i:i + step], nearest[i:i + step] = likeness.argmax(axis=1), likeness.max(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)
-        worst = np.argsort(likeness[np.arange(len(rows)), own])
+        worst = np.argsort(nearest)
         empty = np.flatnonzero(np.linalg.norm(sums, axis=1) < 1e-9)
         sums[empty] = rows[worst[:len(empty)]]
         centres = unit(sums)
@@ -136,9 +143,11 @@ def linked_nodes(nodes: DataFrame, width: int, threshold: float = THRESHOLD, mar
     """(node, links, root) per block pair that found links, of nodes (node, copies, v)."""
     count = nodes.count()
     cells = cells or max(1, round(count**0.5))
-    # a bounded sample: SAMPLE_PER_CELL vectors a cell, chosen by hash
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE_PER_CELL * cells).select("v").toPandas()["v"]
-    centres = spherical_kmeans(np.stack(sample.to_numpy()).astype(np.float64), cells)
+    # a bounded sample, chosen by hash and without a sort
+    wanted = min(SAMPLE_PER_CELL * cells, max(1, FIT_BYTES // (8 * width)))
+    chosen = nodes if wanted >= count else nodes.where(F.shiftrightunsigned(F.xxhash64("node"), 1) < int(wanted / count * 2**63))
+    sample = chosen.select("node", "v").toArrow().sort_by("node")["v"].combine_chunks()
+    centres = spherical_kmeans(_matrix(sample, width), cells)
     placed = checkpoint(nodes.mapInArrow(_cells_of(centres, margin), "node long, copies long, v array<double>, home int, cells array<int>"))
     homes = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("hosts"))
     members = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("members"))

@@ -229,6 +229,27 @@ def test_embeddings_in_small_blocks(spark, monkeypatch):
         assert found == {i: int(near[i].sum()) for i in range(len(rows))}
 
 
+def test_the_fit_has_a_ceiling(spark, monkeypatch):
+    rows = vectors_with_groups(1500, 4)
+    near = by_hand(rows)
+    seen = []
+    fit = embedding_dedup.spherical_kmeans
+    monkeypatch.setattr(embedding_dedup, "FIT_BYTES", 200 * 32 * 8)
+    monkeypatch.setattr(embedding_dedup, "FIT_STEP", 1000)
+    monkeypatch.setattr(embedding_dedup, "spherical_kmeans", lambda sample, *a, **b: seen.append(len(sample)) or fit(sample, *a, **b))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert 100 < seen[0] < 300  # 200 wanted, chosen by hash
+    assert len(found) == len(rows) and sum(found.values()) >= 0.98 * near.sum() and all(found[i] <= near[i].sum() for i in found)
+
+
+def test_steps_of_the_fit_change_nothing(monkeypatch):
+    rows = vectors_with_groups(600, 2).astype(np.float64)
+    whole = embedding_dedup.spherical_kmeans(rows, 20)
+    monkeypatch.setattr(embedding_dedup, "FIT_STEP", 700)
+    assert np.allclose(embedding_dedup.spherical_kmeans(rows, 20), whole)
+
+
 def test_odd_vectors(spark):
     one = [1.0, 0.0, 0.0]
     rows = [(1, one, 0), (2, one, 0), (2, one, 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0, 0.0], 0), (6, [float("nan"), 1.0, 0.0], 0),
