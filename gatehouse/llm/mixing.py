@@ -8,7 +8,7 @@ summed again by the next bits, until a bucket is one hash value. No document is
 kind over the smaller documents behind the threshold uses up what a large document there left open.
 
 Defined cases: a null or blank text has size 0 and is in the mix with 0 words; a null source is a source of its own, last in order; a null doc_id
-hashes like a value of its own; repeated rows are taken alike; an empty table gives no rows.
+hashes by its text; rows of equal id and equal text are taken alike, all or none at a threshold; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ MOST_SOURCES = 200_000
 
 
 def document_hash():
-    """63 bits of the id alone, so that a rerun or another order of rows takes the same documents."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 1)
+    """63 bits of id and text, so that a rerun or another order of rows takes the same documents, and rows of one id or none can be parted."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"), "text"), 1)
 
 
 def text_size():

@@ -176,6 +176,16 @@ def test_a_large_document_at_the_threshold_leaves_no_gap(spark):
         assert abs(sum(r.taken for r in own) / name - 1) < 0.005
 
 
+def test_rows_of_one_id_are_cut_at_the_threshold(spark):
+    rng = random.Random(6)
+    for doc_id in (None, 7):
+        rows = [(doc_id if i % 2 else i, sentence(rng, rng.randint(1, 30)), "en", "a" if i % 5 else "b", 0) for i in range(1, 1000)]
+        found = mixing.mix_documents(spark.createDataFrame(rows, DOCS)).collect()
+        for name in {r.target for r in found}:
+            own = [r for r in found if r.target == name]
+            assert abs(sum(r.taken for r in own) / name - 1) < 0.01
+
+
 KINDS = [("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 12),
          ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16)]
 
