@@ -60,6 +60,15 @@ def unnested(df: DataFrame, columns: list[str], array: Column, name: str) -> Dat
     return df.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """`df` with a computed struct that many later expressions read.
+
+    A projection above another one takes the computation of a struct's fields into each place that reads them, also
+    into the lambdas that run per element. The element of an unnested array of one stays a value of the row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def joined_text(df: DataFrame, keys: list[str], order: Column, text: Column, cell: Column,
                 separator: str, name: str = "text") -> DataFrame:
     """Texts of a group in order, joined per cell first and then cell by cell."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, lists
 from ..functions.numbers import registry_capital, short_number
-from ..functions.ordering import unnested
+from ..functions.ordering import computed_once, unnested
 from ..functions.outcome import say
 from ..functions.text import blank, has_any, or_null
 from .financial import assessment_detail, report_periods
@@ -46,8 +46,8 @@ def _active(state: Column) -> Column:
     return has_any(state, fixed.ACTIVE_STATES)
 
 
-def _identity_item(item: Column) -> tuple[Column, Column, Column]:
-    """Status, detail, issue."""
+def _identity_item() -> tuple[Column, Column, Column, Column]:
+    """Whether the evidence is incomplete; status, detail and issue where it is not."""
     incomplete = (F.coalesce("r_accuracy", F.lit("")) != "一致")
     for field in REG_FIELDS:
         incomplete = incomplete | (blank(F.col(f"r_{field}")) == "")
@@ -63,17 +63,10 @@ def _identity_item(item: Column) -> tuple[Column, Column, Column]:
                                 short_number(stated), "万）")),
         F.when(~_active(state), say("工商登记状态异常：「", state, "」"))))
     text = F.array_join(found, "；")
-    status = (F.when(incomplete, F.when(item["status"] == "fail", "fail").otherwise("manual"))
-              .when(F.size(found) > 0, "fail").otherwise("pass"))
-    detail = (
-        F.when(incomplete, F.when(item["status"] == "fail", item["detail"]).otherwise(
-            "企查查身份核验不完整或不一致，需人工核验"))
-        .when(F.size(found) > 0, say("企查查核验发现问题：", text))
-        .otherwise(say("企查查核验通过：名称/信用代码一致，法定代表人", known, "，注册资本",
-                       F.col("r_registered_capital"), "，登记状态「", state, "」")))
-    issue = (F.when(incomplete, "法律主体资格：公开信息不足以确认一致")
-             .when(F.size(found) > 0, say("法律主体资格：", text)))
-    return status, detail, issue
+    passed = say("企查查核验通过：名称/信用代码一致，法定代表人", known, "，注册资本", F.col("r_registered_capital"), "，登记状态「", state, "」")
+    odd = F.size(found) > 0
+    return (incomplete, F.when(odd, "fail").otherwise("pass"),
+            F.when(odd, say("企查查核验发现问题：", text)).otherwise(passed), F.when(odd, say("法律主体资格：", text)))
 
 
 def _related_item() -> tuple[Column, Column, Column]:
@@ -130,18 +123,32 @@ def enrich_registry(requests: DataFrame, as_of: str) -> DataFrame:
     has_reg = F.coalesce("r_has_reg", F.lit(False))
     holders = F.size(F.coalesce("r_shareholders", F.array().cast("array<struct<name:string,share:string>>")))
     report = assessment_detail(report_periods(F.col("r_financial")), F.col("has_financial_report"), day)
-    related, reputation = _related_item(), _reputation_item(has_reg)
-    financial = (F.when(~F.col("has_financial_report"), "fail").otherwise("manual"), report, say("A08 财报：", report))
+    incomplete, *identity = _identity_item()
+
+    def parts(applies: Column, values: list[Column] | tuple[Column, ...]) -> Column:
+        """The outcome of a rule, null where the registry has nothing to say on it."""
+        names = ("status", "detail", "registry_issue")
+        return F.when(applies, F.struct(*[v.cast("string").alias(n) for v, n in zip(values, names)]))
+
+    always = F.lit(True)
+    outcomes = F.struct(
+        (has_reg & incomplete).alias("incomplete"), parts(has_reg & ~incomplete, identity).alias("A01"),
+        parts(has_reg | (holders > 0), _related_item()).alias("A02"),
+        parts(always, (F.when(~F.col("has_financial_report"), "fail").otherwise("manual"), report, F.lit(None))).alias("A08"),
+        parts(always, _reputation_item(has_reg)).alias("A10"))
+    known = computed_once(requests, outcomes, "__outcomes")
+    o = F.col("__outcomes")
+    unsure = F.lit("企查查身份核验不完整或不一致，需人工核验")
 
     def enriched(item: Column) -> Column:
-        rule, identity = item["rule_id"], _identity_item(item)
-
-        def pick(part: int, default: Column) -> Column:
-            return (F.when((rule == "A01") & has_reg, identity[part])
-                    .when((rule == "A02") & (has_reg | (holders > 0)), related[part])
-                    .when(rule == "A08", financial[part]).when(rule == "A10", reputation[part]).otherwise(default))
-
-        return (item.withField("status", pick(0, item["status"])).withField("detail", pick(1, item["detail"]))
-                .withField("registry_issue", pick(2, F.lit(None).cast("string"))))
-
-    return requests.withColumn("items", F.transform("items", enriched))
+        rule, failed = item["rule_id"], item["status"] == "fail"
+        own = F.struct(item["status"].alias("status"), item["detail"].alias("detail"), F.lit(None).cast("string").alias("registry_issue"))
+        doubtful = F.struct(F.when(failed, "fail").otherwise("manual").alias("status"), F.when(failed, item["detail"]).otherwise(unsure).alias("detail"),
+                            F.lit("法律主体资格：公开信息不足以确认一致").alias("registry_issue"))
+        found = F.coalesce(
+            F.when(rule == "A01", F.when(o["incomplete"], doubtful).otherwise(o["A01"])).when(rule == "A02", o["A02"])
+            .when(rule == "A08", o["A08"].withField("registry_issue", say("A08 财报：", o["A08"]["detail"]))).when(rule == "A10", o["A10"]), own)
+        return (item.withField("status", found["status"]).withField("detail", found["detail"])
+                .withField("registry_issue", found["registry_issue"]))
+
+    return known.withColumn("items", F.transform("items", enriched)).drop("__outcomes")

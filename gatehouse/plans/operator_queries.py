@@ -598,16 +598,63 @@ def masked_files(spark, sf):
 
 @query("""SELECT o_orderkey AS todo_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'reject' ELSE 'manual' END AS decision FROM orders""")
 def decision_stream(spark, sf):
-    """Requests decided as they arrive, each once."""
-    schema = table(spark, sf, "orders").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    requests_ = arriving.select(F.col("o_orderkey").alias("todo_id"), "o_orderpriority")
+    """Requests decided as they arrive, each once; the stream is stopped twice, and every seventh request comes again after its state has ended."""
+    requests_ = table(spark, sf, "orders").select(F.col("o_orderkey").alias("todo_id"), "o_orderpriority")
     folder = jobs.stream_folder(spark, "decisions")
     decide_ = lambda df: df.select("todo_id", F.when(F.col("o_orderpriority") == "1-URGENT", "reject").otherwise("manual").alias("decision"))
-    jobs.decide_stream(requests_, decide_, f"{folder}/out", f"{folder}/state").awaitTermination()
+    third = F.col("todo_id") % 3
+    for part in (0, 1, 2):
+        arriving = requests_.where((third == part) | ((third < part) & (F.col("todo_id") % 7 == 0)))
+        arriving.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(requests_.schema).parquet(f"{folder}/in")
+        jobs.decide_stream(stream, decide_, f"{folder}/out", f"{folder}/state", "0 seconds").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("todo_id", "decision")
 
 
+#: Four parts of the log by time; every 50th record arrives with the last part.
+_PARTS = """p AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 4 // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS part FROM events)"""
+
+
+def _arriving(spark: SparkSession, events: DataFrame, folder: str, late: Column):
+    """Lands four parts of the log, one after the other, and gives the stream over what has landed each time."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(micros).alias("low"), F.max(micros).alias("high")).first()
+    low, width = ends.low or 0, (ends.high or 0) - (ends.low or 0) + 1
+    part = F.when(late, 3).otherwise(F.floor((micros - low) * 4 / width))
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("__part", part)
+    for number in range(4):
+        marked.where(F.col("__part") == number).drop("__part").write.mode("append").parquet(folder)
+        yield spark.readStream.schema(marked.drop("__part").schema).parquet(folder)
+
+
+@query(f"""WITH {_PARTS}, a AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 3 ELSE part END AS arrives FROM p),
+w AS (SELECT max(epoch_us(ts)) FILTER (WHERE arrives < 3) // 1000 - 60000 AS before, max(epoch_us(ts)) // 1000 - 60000 AS after FROM a),
+l AS (SELECT user_id, arg_max(event_type, (epoch_us(ts) // 1000, event_id)) AS kind, max(epoch_us(ts) // 1000) AS ms FROM a, w WHERE arrives < 3 OR epoch_us(ts) > before * 1000 GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS todo_id, CASE WHEN kind NOT IN ('view', 'click') THEN 'done' WHEN ms + 36000000 < after THEN 'error' ELSE 'running' END AS status,
+  CASE WHEN kind IN ('view', 'click') AND ms + 36000000 < after THEN 'stale_running_reset' ELSE 'step-' || kind END AS step FROM l, w""")
+def task_stream_states(spark, sf):
+    """Task states after a log that arrives in four parts, with a restart between them, late records and timers of ten hours."""
+    events, folder = table(spark, sf, "events"), jobs.stream_folder(spark, "tasks")
+    kind = F.col("event_type")
+    for stream in _arriving(spark, events, f"{folder}/in", F.col("event_id") % 50 == 0):
+        log = stream.select(
+            F.col("user_id").alias("todo_id"), F.col("event_id").alias("seq"), F.when(kind.isin("view", "click"), "running").otherwise("done").alias("status"),
+            F.concat(F.lit("step-"), kind).alias("step"), F.lit(None).cast("string").alias("error"), F.col("ts").alias("at"))
+        found = jobs.run_to_table(jobs.task_stream(log, 600), folder, ["todo_id"])
+    return found.select("todo_id", "status", "step")
+
+
+@query("""WITH l AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type <> 'signup'), w AS (SELECT max(ms) - 3600000 AS now FROM l)
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS entries, arg_max(event_id, (ms, event_id)) AS newest FROM l, w WHERE ms + 86400000 >= now GROUP BY user_id""")
+def live_entries_stream(spark, sf):
+    """T4: cache entries in force per key, kept as state with timers over a log that arrives in four parts."""
+    events, folder = table(spark, sf, "events"), jobs.stream_folder(spark, "entries")
+    for stream in _arriving(spark, events, f"{folder}/in", F.lit(False)):
+        log = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "signup", F.col("ts")).alias("at"))
+        found = jobs.run_to_table(jobs.live_stream(log), folder, ["key"], "-entries")
+    return found.where("entries > 0").select("key", "entries", "newest")
+
+
 # --- scalar functions over whole columns -----------------------------------------------------
 @query("""SELECT doc_id, translate(text[1:100000000], 'abcXYZ019', 'abcXYZ019') AS folded,
   CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS clipped,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..session import shared_folder
 
@@ -17,21 +19,60 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state outside the heap, as processors with timers need it."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
 def decide_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                  once: bool = True) -> StreamingQuery:
-    """Decide arriving requests, each key once.
+                  delay: str = "1 day", once: bool = True) -> StreamingQuery:
+    """Decide arriving requests, each key (todo_id) once however late it comes again.
 
-    Which keys were decided is state of the stream, kept by key and spread over the shuffle partitions, so a batch reads its
-    own rows only. A batch writes its own partition in overwrite mode: one that is run again after a
-    failure replaces its own output.
+    The state of the stream holds the keys that arrived within the last `delay` only, and drops repeats among them. It follows the time of
+    arrival, so no request is ever late. A key that comes again after that is found in the table of decided requests: the batch's own
+    keys meet its key column, and only what is not in it is decided. A batch writes its own partition in overwrite mode and looks at
+    those of earlier batches, so one that is run again after a failure replaces its own output.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    spark = requests.sparkSession
+    schema = "todo_id " + requests.schema["todo_id"].dataType.simpleString() + ", batch long"
 
-    writer = requests.dropDuplicates(["todo_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.drop("__arrived").persist()
+        try:
+            # before the first output there is no folder to read
+            decided = spark.read.schema(schema).parquet(out).where(F.col("batch") < batch_id) if batch_id and _exists(spark, out) else None
+            fresh = batch.dropDuplicates(["todo_id"])
+            if decided is not None:
+                seen = decided.select("todo_id").join(batch.select("todo_id"), "todo_id", "left_semi").distinct()
+                fresh = fresh.join(seen, "todo_id", "left_anti")
+            decide(fresh).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    arrived = requests.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", delay)
+    recent = arrived.dropDuplicatesWithinWatermark(["todo_id"])
+    writer = recent.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 STALE = "上次处理被中断（服务重启），请重新点击后台审批"
 
 
@@ -52,46 +93,128 @@ def mark_stale(tasks: DataFrame, as_of: str, minutes: int) -> DataFrame:
             .withColumn("status", F.when(stale, "error").otherwise(F.col("status"))))
 
 
-class _TaskWatch:
+def _milliseconds(moment) -> int:
+    return int(moment.value // 1_000_000)
+
+
+class TaskWatch(StatefulProcessor):
     """Last state of each request, and a timer that fires when a running task has not reported for too long."""
 
-    SCHEMA = "todo_id string, status string, step string, error string, at timestamp"
+    OUTPUT = "todo_id string, status string, step string, error string, at timestamp"
+    STATE = "status string, step string, error string, at long, seq long"
 
     def __init__(self, minutes: int):
         self.limit = 60_000 * minutes
 
-    def __call__(self, key, batches, state):
-        import pandas as pd
-
-        newest = state.get if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], "error", "stale_running_reset", STALE, pd.Timestamp(newest[2], unit="ms"))],
-                               columns=["todo_id", "status", "step", "error", "at"])
-            return
-        for batch in batches:
-            for row in batch.itertuples():
-                at = int(row.at.timestamp() * 1000)
-                if newest is None or (at, row.seq) >= (newest[2], newest[3]):
-                    newest = (row.status, row.error, at, int(row.seq), row.step)
-        status, error, at, seq, step = newest
-        state.update(newest)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.last.get() if self.last.exists() else None
+        newest = before
+        for batch in rows:
+            row = batch.sort_values(["at", "seq"]).iloc[-1]
+            found = (row["status"], row["step"], row["error"], _milliseconds(row["at"]), int(row["seq"]))
+            if newest is None or found[3:] >= tuple(newest[3:]):
+                newest = found
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        status, step, error, at, _ = newest
         if status == "running":
-            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + self.limit)
-        yield pd.DataFrame([(key[0], status, step, error, pd.Timestamp(at, unit="ms"))],
-                           columns=["todo_id", "status", "step", "error", "at"])
+            self.handle.registerTimer(at + self.limit)
+        self.last.update(tuple(newest))
+        yield self._frame(key, status, step, error, at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = self.last.get()[3]
+        self.last.clear()
+        yield self._frame(key, "error", "stale_running_reset", STALE, at)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _frame(key, status, step, error, at):
+        return pd.DataFrame({"todo_id": [key[0]], "status": [status], "step": [step], "error": [error], "at": [pd.Timestamp(at, unit="ms")]})
 
 
 def task_stream(log: DataFrame, minutes: int, delay: str = "1 minute") -> DataFrame:
     """Task states (todo_id, seq, status, step, error, at) as a stream, in update mode.
 
     Each batch gives the latest state of the requests it touches. A running task that no record follows within `minutes`
-    of event time comes out once more as failed.
+    of event time comes out once more as failed, and its state ends. Records behind the watermark are dropped. The stream is started inside `keyed_store`.
     """
     rows = log.withWatermark("at", delay).select(
         F.col("todo_id").cast("string").alias("todo_id"), "status", "step", "error", "at", F.col("seq").cast("long").alias("seq"))
-    return rows.groupBy("todo_id").applyInPandasWithState(
-        _TaskWatch(minutes), _TaskWatch.SCHEMA, "status string, error string, at long, seq long, step string", "update", "EventTimeTimeout")
+    return rows.groupBy("todo_id").transformWithStateInPandas(
+        statefulProcessor=TaskWatch(minutes), outputStructType=TaskWatch.OUTPUT, outputMode="Update", timeMode="EventTime")
+
+
+class LiveEntries(StatefulProcessor):
+    """How many entries of one key are younger than their time to live; a timer ends those of one millisecond.
+
+    A state's own time to live counts the clock of the machine, so a log that is read again would keep everything; timers
+    follow the times in the log.
+    """
+
+    OUTPUT = "key string, entries long, newest long, at timestamp"
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = 1000 * ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "entries long, newest long, at long")
+        self.held = handle.getMapState("held", "at long", "entries long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        entries, newest, last = self.total.get() if self.total.exists() else (0, -1, -1)
+        for batch in rows:
+            moments = batch["at"].astype("datetime64[ns]").astype("int64") // 1_000_000
+            for at, seqs in batch["seq"].groupby(moments):
+                at = int(at)
+                if at + self.ttl < watermark:
+                    continue
+                before = self.held.getValue((at,))[0] if self.held.containsKey((at,)) else 0
+                if not before:
+                    self.handle.registerTimer(at + self.ttl)
+                self.held.updateValue((at,), (before + len(seqs),))
+                entries, (last, newest) = entries + len(seqs), max((last, newest), (at, int(seqs.max())))
+        if entries:
+            self.total.update((entries, newest, last))
+            yield self._frame(key, entries, newest, last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.ttl
+        entries, newest, last = self.total.get()
+        entries -= self.held.getValue((at,))[0]
+        self.held.removeKey((at,))
+        if entries:
+            self.total.update((entries, newest, last))
+        else:
+            self.total.clear()
+        yield self._frame(key, entries, newest, last)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _frame(key, entries, newest, last):
+        return pd.DataFrame({"key": [key[0]], "entries": [entries], "newest": [newest], "at": [pd.Timestamp(last, unit="ms")]})
+
+
+def live_stream(log: DataFrame, ttl_seconds: int = 86400, delay: str = "1 hour") -> DataFrame:
+    """T4: per key the number of entries (seq, key, at) in force, the latest of them and its time, in update mode.
+
+    Undated entries never count, nor do entries that arrive behind the watermark. An entry leaves once the watermark has passed its time to live; what
+    is left then is given out again, and a key without entries has the count 0 and no state. The stream is started inside `keyed_store`.
+    """
+    rows = log.where(F.col("at").isNotNull()).withWatermark("at", delay).select(
+        F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "at")
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=LiveEntries(ttl_seconds), outputStructType=LiveEntries.OUTPUT, outputMode="Update", timeMode="EventTime")
 
 
 def call_counts_stream(events: DataFrame, at: str = "at", endpoint: str = "kind",
@@ -102,19 +225,21 @@ def call_counts_stream(events: DataFrame, at: str = "at", endpoint: str = "kind"
             .select(F.to_date("window.start").alias("day"), "endpoint", "calls"))
 
 
-def run_to_table(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+def run_to_table(stream: DataFrame, folder: str, keys: list[str], within: str = "0") -> DataFrame:
     """Drain a stream in update mode and give back the last value of each key.
 
-    A batch writes the keys it changed to its own partition, so one that is run again replaces its own output.
+    A batch writes the keys it changed to its own partition, so one that is run again replaces its own output. `within` is an expression
+    that tells which of several values of one key and batch is the last: the largest.
     """
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(write)
-             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
+    with keyed_store(stream.sparkSession):
+        query = (stream.writeStream.outputMode("update").foreachBatch(write)
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
     written = stream.sparkSession.read.parquet(out)
     values = [c for c in written.columns if c not in (*keys, "batch")]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("batch", F.expr(within))).alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])

@@ -241,21 +241,30 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    source, out = tmp_path / "in", str(tmp_path / "out")
+    source, out, held = tmp_path / "in", str(tmp_path / "out"), []
     schema = "todo_id string, apply_time timestamp"
 
     def land(name, rows):
-        spark.createDataFrame([(k, datetime.fromisoformat(t)) for k, t in rows], schema).coalesce(1).write.mode("append").parquet(str(source))
+        spark.createDataFrame([(k, t and datetime.fromisoformat(t)) for k, t in rows], schema).coalesce(1).write.mode("append").parquet(str(source))
 
     def run():
         stream = spark.readStream.schema(schema).parquet(str(source))
-        jobs.decide_stream(stream, lambda df: df.withColumn("decision", F.lit("manual")), out, str(tmp_path / "ck")).awaitTermination()
+        query = jobs.decide_stream(stream, lambda df: df.withColumn("decision", F.lit("manual")), out, str(tmp_path / "ck"), "0 seconds")
+        query.awaitTermination()
+        held.append(max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators))
         return sorted(r.todo_id for r in spark.read.parquet(out).collect())
 
     land("a", [("1", "2026-01-01T00:00:00"), ("1", "2026-01-01T00:00:00"), ("2", "2026-01-02T00:00:00")])
     assert run() == ["1", "2"]
     land("b", [("2", "2026-01-03T00:00:00"), ("3", "2026-01-03T00:00:00")])
     assert run() == ["1", "2", "3"]
+    # what arrived before has left the state, and is still decided once
+    land("c", [("1", "2026-01-09T00:00:00"), ("2", "2025-01-09T00:00:00"), ("2", None)])
+    assert run() == ["1", "2", "3"]
+    for n in range(3):
+        land("d", [(str(10 * n + k), "2026-02-01T00:00:00") for k in range(4)])
+        run()
+    assert max(held) <= 8
     log = str(tmp_path / "log")
 
     def count():
@@ -297,6 +306,21 @@ def test_task_stream(spark, tmp_path):
     assert run() == {"1": ("error", "stale_running_reset"), "2": ("done", "s"), "3": ("running", "s")}
 
 
+def test_live_stream(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(*rows):
+        spark.createDataFrame([(k, n, t and datetime.fromisoformat(t)) for k, n, t in rows], "key string, seq long, at timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("key string, seq long, at timestamp").parquet(source)
+        found = jobs.run_to_table(jobs.live_stream(stream, 3600, "1 minute"), out, ["key"], "-entries")
+        return {r.key: (r.entries, r.newest) for r in found.collect()}
+
+    assert run(("a", 1, "2026-01-01T00:00:00"), ("a", 2, "2026-01-01T00:00:00"), ("a", 3, "2026-01-01T00:30:00"), ("b", 4, None), ("c", 5, "2026-01-01T00:10:00")) == {"a": (3, 3), "c": (1, 5)}
+    # two of three entries of a and the only one of c have lived their hour; a late entry no longer counts
+    assert run(("d", 6, "2026-01-01T01:20:00")) == {"a": (1, 3), "c": (0, 5), "d": (1, 6)}
+    assert run(("c", 7, "2026-01-01T00:15:00"), ("d", 8, "2026-01-01T01:25:00")) == {"a": (1, 3), "c": (0, 5), "d": (2, 8)}
+
+
 def test_a_cluster_without_shared_folder_is_an_error():
     from types import SimpleNamespace
 
