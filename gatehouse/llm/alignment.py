@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +92,18 @@ class Vocabularies:
         whole = spaced.encode()
         a = np.frombuffer(self.a(spaced), "<u4").astype(np.int64)
         b = self.b.encode(text, num_threads=1)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+        # A merges bytes and loses none, so its tokens differ from the text only if their lengths do
+        if self.a_length[a].sum() != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return none
         return a, np.array(b, np.int64)
 
 
+@lru_cache(maxsize=1)
+def vocabularies(a_path: str, b_path: str, a_ranks: str | None = None) -> Vocabularies:
+    """The last ones used: a Python worker builds them once and not for each of its tasks."""
+    return Vocabularies(a_path, b_path, a_ranks)
+
+
 class Aligned:
     """Groups and links of some documents whose tokens stand one document after the other."""
 
@@ -105,9 +113,14 @@ class Aligned:
         a_ids, b_ids = np.concatenate(a), np.concatenate(b)
         a_doc = np.repeat(np.arange(docs), self.n_a)
         a_end, b_end = np.cumsum(words.a_length[a_ids]), np.cumsum(words.b_length[b_ids])
-        cuts = np.union1d(a_end, b_end)
-        at_a, at_b = np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
-        closing = (a_end[at_a] == cuts) & (b_end[at_b] == cuts)
+        # one place per byte: where tokens end, and how many have ended before
+        ends = int(a_end[-1]) + 1 if len(a_end) else 1
+        ends_a, ends_b = np.zeros(ends, bool), np.zeros(ends, bool)
+        ends_a[a_end], ends_b[b_end] = True, True
+        ends_both = ends_a & ends_b
+        before_a, before_b, before_both = (np.cumsum(x, dtype=np.int64) - x for x in (ends_a, ends_b, ends_both))
+        cuts = np.flatnonzero(ends_a | ends_b)
+        at_a, at_b, closing = before_a[cuts], before_b[cuts], ends_both[cuts]
         alone = closing & np.concatenate(([True], closing[:-1]))[:len(closing)]
         self.doc = a_doc[at_a]
         self.linked_a, self.linked_b = a_ids[at_a], b_ids[at_b]
@@ -115,14 +128,13 @@ class Aligned:
         self.exact = alone & (words.same[self.linked_a] == self.linked_b)
         self.n_links = np.bincount(self.doc, minlength=docs)
         self.n_groups = np.bincount(self.doc[closing], minlength=docs)
-        groups = cuts[closing]
-        a_group, b_group = np.searchsorted(groups, a_end), np.searchsorted(groups, b_end)
+        a_group, b_group = before_both[a_end], before_both[b_end]
+        a_upto, b_upto = (np.cumsum(np.bincount(g, minlength=int(closing.sum()))) for g in (a_group, b_group))
         #: Both sides of each group in turn.
         self.written = np.empty(len(a_ids) + len(b_ids), np.int64)
         size = len(words.a_bytes)
-        last_a, last_b = np.append(a_group[1:] != a_group[:-1], True)[:len(a_ids)], np.append(b_group[1:] != b_group[:-1], True)[:len(b_ids)]
-        self.written[np.arange(len(a_ids)) + np.searchsorted(b_group, a_group)] = a_ids + size * last_a
-        self.written[np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, side="right")] = b_ids + 2 * size + len(words.b_bytes) * last_b
+        self.written[np.arange(len(a_ids)) + np.concatenate(([0], b_upto))[a_group]] = a_ids + size * ends_both[a_end]
+        self.written[np.arange(len(b_ids)) + a_upto[b_group]] = b_ids + 2 * size + len(words.b_bytes) * ends_both[b_end]
 
     def digests(self, words: Vocabularies) -> list[str]:
         text = list(map(words.words.__getitem__, self.written.tolist()))
@@ -181,7 +193,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, a_ranks: str | None = Non
     """A row per document with its groups' digest and its pairs, and rows of counted pairs, as `ENCODED` says; written to a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabularies(a_path, b_path, a_ranks)
+        words = vocabularies(a_path, b_path, a_ranks)
         counts = Counts(words)
 
         def counted(pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
