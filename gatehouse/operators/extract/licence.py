@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from ...functions import fixed
 from ...functions.dates import find_dates
 from ...functions.numbers import float_text, licence_capital, short_number
+from ...functions.ordering import computed_once
 from ...functions.outcome import outcome, say
 from ...functions.text import (
     blank, either_contains, find, find_all, fold_width, grab, has, join_labels, or_null, prepare_text,
@@ -110,23 +112,43 @@ SIMILARITY = T.StructType([
     T.StructField("ratio", T.DoubleType()), T.StructField("two", T.StringType()), T.StructField("whole", T.StringType())])
 
 
+@lru_cache(maxsize=1 << 16)
+def _similar(a: str, b: str) -> tuple[float, str, str]:
+    ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return ratio, f"{ratio:.2%}", f"{ratio:.0%}"
+
+
 @F.pandas_udf(SIMILARITY)
 def similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Share of matching blocks, only where both sides are given."""
-    rows = []
-    for a, b in zip(left, right):
-        if a is None or b is None:
-            rows.append((None, None, None))
-        else:
-            ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
-            rows.append((ratio, f"{ratio:.2%}", f"{ratio:.0%}"))
+    """Share of matching blocks, only where both sides are given; a worker works out a pair that comes again once."""
+    rows = [(None, None, None) if a is None or b is None else _similar(a, b) for a, b in zip(left, right)]
     return pd.DataFrame(rows, columns=["ratio", "two", "whole"])
 
 
+def decided_ratio(a: Column, b: Column) -> Column:
+    """The share of matching blocks of two different texts where it needs no matching, else null.
+
+    If one text stands inside the other, the first block is all of it and nothing is left to match: twice its length over both
+    lengths. Texts without a common character have no block: zero.
+    """
+    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    apart = ~F.arrays_overlap(F.split(a, ""), F.split(b, ""))
+    return (F.when(either_contains(a, b), F.lit(2.0) * shorter / both)
+            .when(apart, F.lit(0.0)))
+
+
+def percent_of(ratio: Column, places: int) -> Column:
+    """A share as percent, ties to even as the similarity writes them."""
+    exact = (ratio * 100).cast("decimal(20,10)")
+    return F.concat(F.bround(exact, places).cast(f"decimal(12,{places})").cast("string"), F.lit("%"))
+
+
 def compare_scope(read: DataFrame) -> DataFrame:
     """Adds `scope_state` (ok / note / open / no), its issue, similarity and differences.
 
-    Only pairs that are comparable and not equal as sets go through Python.
+    Equal texts, texts of which one holds the other, and texts without a common character are decided in generated code. The share that is
+    reported is exact, so a bound of it decides nothing more: the pairs that are left are matched in Python; all other rows
+    carry nulls there.
     """
     doc, system = squeeze(F.col("scope")), squeeze(F.col("busi_scope"))
     general = doc.contains("具体经营项目") & (doc.contains("公示系统") | F.lower(doc).contains("gsxt"))
@@ -134,19 +156,26 @@ def compare_scope(read: DataFrame) -> DataFrame:
              .when(system == "", "no_system").when(general, "general").otherwise("compare"))
     staged = read.withColumn("__state", state)
     compared = F.col("__state") == "compare"
-    staged = (staged.withColumn("__doc", F.when(compared, scope_items(doc)))
-              .withColumn("__sys", F.when(compared, scope_items(system))))
-    staged = (staged.withColumn("__doc_only", F.array_except("__doc", "__sys"))
-              .withColumn("__sys_only", F.array_except("__sys", "__doc"))
-              .withColumn("__same", compared & (F.size("__doc") > 0) & (F.size("__sys") > 0)
-                          & (F.size("__doc_only") == 0) & (F.size("__sys_only") == 0))
-              .withColumn("__a", F.array_join("__doc", "")).withColumn("__b", F.array_join("__sys", "")))
+    sides = computed_once(staged, F.struct(
+        F.when(compared, scope_items(doc)).alias("doc"), F.when(compared, scope_items(system)).alias("sys")), "__items")
+    joined = computed_once(sides, F.struct(
+        F.array_join("__items.doc", "").alias("a"), F.array_join("__items.sys", "").alias("b"),
+        F.array_except("__items.doc", "__items.sys").alias("doc_only"), F.array_except("__items.sys", "__items.doc").alias("sys_only")), "__x")
+    a, b = F.col("__x.a"), F.col("__x.b")
     # equal texts need no matching; sets that are equal in another order still report their share
-    need = compared & (F.col("__a") != F.col("__b"))
-    staged = staged.withColumn("__sim", similarity(F.when(need, F.col("__a")), F.when(need, F.col("__b"))))
-    ratio = F.when(compared, F.coalesce(F.col("__sim.ratio"), F.lit(1.0)))
-    two = F.when(compared, F.coalesce(F.col("__sim.two"), F.lit("100.00%")))
-    whole = F.coalesce(F.col("__sim.whole"), F.lit("100%"))
+    unequal = compared & (a != b)
+    decided = F.when(compared & (a == b), F.lit(1.0)).when(unequal, decided_ratio(a, b))
+    staged = joined.select(
+        *staged.columns, F.col("__items.doc").alias("__doc"), F.col("__items.sys").alias("__sys"), a.alias("__a"), b.alias("__b"),
+        F.col("__x.doc_only").alias("__doc_only"), F.col("__x.sys_only").alias("__sys_only"), decided.alias("__decided"))
+    open_ = compared & F.col("__decided").isNull()
+    staged = (staged.withColumn("__same", compared & (F.size("__doc") > 0) & (F.size("__sys") > 0)
+                                & (F.size("__doc_only") == 0) & (F.size("__sys_only") == 0))
+              .withColumn("__sim", similarity(F.when(open_, F.col("__a")), F.when(open_, F.col("__b")))))
+    known = F.col("__decided").isNotNull()
+    ratio = F.coalesce("__decided", F.col("__sim.ratio"))
+    two = F.when(known, percent_of(F.col("__decided"), 2)).otherwise(F.col("__sim.two"))
+    whole = F.when(known, percent_of(F.col("__decided"), 0)).otherwise(F.col("__sim.whole"))
     shorter = F.least(F.length("__a"), F.length("__b"))
     longer = F.greatest(F.length("__a"), F.length("__b"))
     verdict = (

@@ -37,12 +37,16 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.when(card, blank(kept)).otherwise(F.col("text")))
 
 
-def mask_patterns(docs: DataFrame, patterns: list[tuple[str, str]], column: str = "text") -> DataFrame:
-    """The same job for free text: every pattern is replaced by its mark."""
-    text = F.col(column)
-    for pattern, mark in patterns:
-        text = F.regexp_replace(text, pattern, mark)
-    return docs.withColumn(column, text)
+def mask_patterns(docs: DataFrame, patterns: list[tuple[str, ...]], column: str = "text") -> DataFrame:
+    """The same job for free text: every pattern is replaced by its mark.
+
+    A pattern may come with a piece of text that each of its matches holds: texts without it are not searched.
+    """
+    for pattern, mark, *held in patterns:
+        text = F.col(column)
+        masked = F.regexp_replace(text, pattern, mark)
+        docs = docs.withColumn(column, F.when(text.contains(held[0]), masked).otherwise(text) if held else masked)
+    return docs
 
 
 def public_subset(files: DataFrame, mats: DataFrame) -> DataFrame:

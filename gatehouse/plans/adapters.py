@@ -73,9 +73,15 @@ _NEEDS = {
 }
 
 
+#: Requests and uploads are dealt by these columns as they are read, at every size, before texts are made of them: their files
+#: are few row groups of narrow rows, and what follows is wide text work. No request, however many uploads it has, is one task.
+_DEALT = {"application": ["todo_id"], "material": ["todo_id", "position"]}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables(spark, sf_dir, *_NEEDS[name])
-    return spark.sql(VIEWS[name])
+    rows = spark.sql(VIEWS[name])
+    return rows.repartition(*_DEALT[name]) if name in _DEALT else rows
 
 
 AS_OF = "2001-06-30"

@@ -25,6 +25,13 @@ def applications(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "application")
 
 
+def landed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """`rows` as a table in the shared folder, for plans that read them several times."""
+    folder = jobs.stream_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def log(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "log")
 
@@ -317,20 +324,25 @@ def certificate_terms(spark, sf):
 
 
 def licence_checks(spark, sf):
-    """Licence texts of every request compared with the system record."""
+    """Licence texts of every request compared with the system record (X5, X6, X7): scopes that agree, are cut, general, unread,
+    missing in the system, longer, altered or others altogether."""
     apps = applications(spark, sf)
     cust = view(spark, sf, "supplier_view")
     rows = apps.join(cust, "supplier_id")
     number = F.col("supplier_id").cast("string")
     code = F.concat(F.lit("91"), F.lpad(number, 16, "0"))
     company = F.concat(F.lit("合成"), number, F.lit("号有限公司"))
-    stated = F.when(F.col("bill_type") == "P0701", F.concat(F.lit("9"), F.substring(code, 2, 17))).otherwise(code)
+    stated = F.when(F.col("bill_type") == "P0701", F.concat(F.lit("92"), F.substring(code, 3, 16))).otherwise(code)
     wrong_name = F.concat(F.lit("另一"), number, F.lit("号有限公司"))
+    scope, kind = F.col("busi_scope"), F.col("todo_id") % 8
+    written = (F.when(kind == 1, "零售").when(kind == 2, "具体经营项目以公示系统为准").when(kind == 3, F.concat(scope, F.lit("；农产品零售")))
+               .when(kind == 4, "餐饮住宿；棋牌娱乐").when(kind == 5, F.translate(scope, "设代术", "社贷木"))
+               .when(kind == 7, F.concat(F.translate(scope, "备运", "施通"), F.lit("；安装"))).otherwise(scope))
     text = F.concat(
-        F.lit("营业执照\n统一社会信用代码："), code, F.lit("\n名 称："), F.when(
+        F.lit("营业执照\n统一社会信用代码："), stated, F.lit("\n名 称："), F.when(
             F.col("bill_type") == "P0704", wrong_name).otherwise(company),
         F.lit("\n法定代表人：张三\n注册资本："), F.abs(F.round("registered_capital")).cast("int").cast("string"),
-        F.lit("万元\n营业期限：1990-01-01 至 "), day_text(F.col("apply_date")), F.lit("\n经营范围："), F.col("busi_scope"),
+        F.lit("万元\n营业期限：1990-01-01 至 "), day_text(F.col("apply_date")), F.lit("\n经营范围："), written,
         F.lit("\n登记机关：市场监督管理局"))
     docs = rows.select(
         F.col("todo_id").cast("string").alias("doc_id"), "todo_id", F.lit("business_license").alias("doc_type"),
@@ -338,14 +350,14 @@ def licence_checks(spark, sf):
         F.lit(None).cast("string").alias("sha256"), F.lit("e").alias("engine"), F.lit(None).cast("string").alias("error"))
     known = rows.select("todo_id", "name", company.alias("full_name"), code.alias("social_credit_code"),
                         F.when(F.col("is_overseas"), "李四").otherwise("张三").alias("legal_person"),
-                        "registered_capital", "busi_scope")
+                        "registered_capital", F.when(kind == 6, "").otherwise(scope).alias("busi_scope"))
     found = extract_all(docs, _no_lines(spark), known, AS_OF, ["business_license"])
     c = F.col("checks")
     return found.select("todo_id", *[
         F.coalesce(c[key].cast("string"), F.lit("none")).alias(name) for key, name in [
             ("信用代码一致", "code_ok"), ("名称一致", "name_ok"), ("法人一致", "person_ok"),
             ("注册资本一致", "capital_ok"), ("营业期限长期或有效", "term_ok"), ("经营范围一致", "scope_ok")]],
-        F.size("issues").alias("issues"))
+        F.coalesce(F.col("fields")["经营范围相似度"], F.lit("")).alias("likeness"), F.size("issues").alias("issues"))
 
 
 # --- state, claims, audit ---------------------------------------------------------------
@@ -487,8 +499,8 @@ def mask_documents(spark, sf):
 def extract_dedupe(spark, sf):
     """The reading of every upload (X21): its own, a shared or a cached one; some uploads have no digest."""
     digest = F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256))
-    docs = view(spark, sf, "ocr_doc").select(
-        "doc_id", F.col("lang").alias("doc_type"), "owner", digest.alias("sha256"), F.lit("e1").alias("engine"))
+    docs = landed(spark, view(spark, sf, "ocr_doc").select(
+        "doc_id", F.col("lang").alias("doc_type"), "owner", digest.alias("sha256"), F.lit("e1").alias("engine")), "digests")
     old = docs.filter("owner = 'src0' and sha256 is not null").groupBy(*READING).agg(F.min("doc_id").alias("reading"))
     results = to_extract(docs, old).select("doc_id", F.col("doc_id").alias("reading"))
     return shared_results(docs, results, old).select("doc_id", "doc_type", "sha256", "reading")

@@ -55,7 +55,7 @@ BASE_INFO = """info AS (
 def _info(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("orders", "customer"):
         table(spark, sf, name).createOrReplaceTempView(name)
-    return spark.sql(f"WITH {BASE_INFO} SELECT * FROM info")
+    return spark.sql(f"WITH {BASE_INFO} SELECT * FROM info").repartition("todo_id")
 
 
 _JUDGED = f"""{BASE_INFO}, j AS (SELECT *, CAST(regexp_extract(tyc_info, '公司([0-9]+)', 1) AS VARCHAR) AS tyc_no, tyc_info LIKE '{{"%' AS good,
@@ -360,7 +360,7 @@ SELECT * FROM a01 UNION ALL SELECT * FROM a02 UNION ALL SELECT * FROM a08 UNION
 def registry_enrichment(spark, sf):
     """K6, K7: registry findings over the four items they touch, every branch."""
     table(spark, sf, "orders").createOrReplaceTempView("orders")
-    rows = spark.sql(f"WITH {_REG} SELECT * FROM reg")
+    rows = spark.sql(f"WITH {_REG} SELECT * FROM reg").repartition("todo_id")
     held = F.array(F.struct(F.when(F.col("related"), "中交某局").otherwise("王五").alias("name"), F.when(F.col("related"), "60%").otherwise("40%").alias("share")))
     items = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col("before").alias("status"), F.lit("原").alias("detail")) for r in ("A01", "A02", "A08", "A10")])
     known = rows.select(

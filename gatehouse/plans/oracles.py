@@ -437,12 +437,20 @@ SELECT (SELECT count(*) FROM m) AS documents, (SELECT v FROM o WHERE r = n // 2
     "certificate_terms": f"""WITH {APPS}, {MAT}, {PARTIES} SELECT doc_id, {_DAY} AS valid_until,
 CASE WHEN valid_until < {_ASOF} THEN '证书已过期（' || {_DAY} || '）' ELSE '' END AS issues FROM party""",
     "licence_checks": f"""WITH {APPS}, {SUP}, c AS (SELECT *, CAST(round(abs(registered_capital)) AS BIGINT) AS stated FROM app JOIN sup ON app.supplier_id = sup.supplier_id),
-k AS (SELECT *, stated > 0 AND registered_capital <> 0 AS cap_known, abs(stated - registered_capital) / greatest(registered_capital, 1) <= 0.01 AS cap_ok FROM c)
-SELECT todo_id, 'true' AS code_ok, CASE WHEN bill_type = 'P0704' THEN 'false' ELSE 'true' END AS name_ok,
+k AS (SELECT *, stated > 0 AND registered_capital <> 0 AS cap_known, abs(stated - registered_capital) / greatest(registered_capital, 1) <= 0.01 AS cap_ok FROM c),
+-- first characters of the system's scope, kind of licence, outcome and share of matching blocks
+likeness(head, kind, ok, share) AS (VALUES
+  ('机械', 3, 'none', '80.00%'), ('机械', 4, 'false', '0.00%'), ('机械', 5, 'none', '90.00%'), ('机械', 7, 'none', '81.82%'),
+  ('国际', 3, 'none', '80.00%'), ('国际', 4, 'false', '0.00%'), ('国际', 5, 'none', '90.00%'), ('国际', 7, 'none', '72.73%'),
+  ('工程', 3, 'none', '76.19%'), ('工程', 4, 'false', '0.00%'), ('工程', 5, 'none', '75.00%'), ('工程', 7, 'none', '77.78%'),
+  ('技术', 3, 'none', '85.71%'), ('技术', 4, 'none', '0.00%'), ('技术', 5, 'none', '93.33%'), ('技术', 7, 'none', '93.75%')),
+m AS (SELECT k.*, CASE WHEN todo_id % 8 = 0 THEN 'true' ELSE coalesce(ok, 'none') END AS scope_ok, CASE WHEN todo_id % 8 = 0 THEN '100.00%' ELSE coalesce(share, '') END AS likeness
+  FROM k LEFT JOIN likeness ON head = busi_scope[1:2] AND kind = todo_id % 8)
+SELECT todo_id, CASE WHEN bill_type = 'P0701' THEN 'false' ELSE 'true' END AS code_ok, CASE WHEN bill_type = 'P0704' THEN 'false' ELSE 'true' END AS name_ok,
 CASE WHEN is_overseas THEN 'false' ELSE 'true' END AS person_ok,
 CASE WHEN NOT cap_known THEN 'none' WHEN cap_ok THEN 'true' ELSE 'false' END AS capital_ok,
-CASE WHEN apply_date >= {_ASOF} THEN 'true' ELSE 'false' END AS term_ok, 'true' AS scope_ok,
-CAST((bill_type = 'P0704')::INT + is_overseas::INT + (cap_known AND NOT cap_ok)::INT + (apply_date < {_ASOF})::INT + (stated = 0)::INT AS INTEGER) AS issues FROM k""",
+CASE WHEN apply_date >= {_ASOF} THEN 'true' ELSE 'false' END AS term_ok, scope_ok, likeness,
+CAST((bill_type = 'P0701')::INT + (bill_type = 'P0704')::INT + is_overseas::INT + (cap_known AND NOT cap_ok)::INT + (apply_date < {_ASOF})::INT + (stated = 0)::INT + (scope_ok <> 'true')::INT AS INTEGER) AS issues FROM m""",
     "resume_pending": f"""WITH {APPS} SELECT todo_id, bill_type FROM app WHERE todo_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
     "latest_state": """SELECT user_id AS key, max(event_id) AS seq, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS value
 FROM events WHERE CAST(user_id AS VARCHAR) NOT LIKE '14%' GROUP BY user_id""",
