@@ -397,3 +397,6 @@ DAMAGED_NAME_LABELS = ["城名", "性名", "姓各", "姓多"]
 TERM_LABELS = ["有效期限", "有效期", "无效期限", "无效期", "视效期限", "视效期"]
 LICENCE_PAGE_WORDS = ["营业执照", "统一社会信用代码", "法定代表人", "注册资本", "经营范围", "登记机关"]
 COMPLETE_DATE = r"(?:19|20)\d{2}\s*[年.\-/]\s*\d{1,2}\s*[月.\-/]\s*\d{1,2}(?!\d)"
+
+#: One string of a JSON text.
+JSON_STRING = r'"(?:[^"\\]|\\.)*+"'

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def split_ordinal(df: DataFrame, keys: list[str], order: list[Column], cells: list[Column],
-                  name: str = "ordinal", total: str | None = None) -> DataFrame:
+                  name: str = "ordinal", total: str | None = None, weight: str | None = None) -> DataFrame:
     """row_number() over (keys; order), worked out per cell plus the count of earlier cells.
 
+    With `weight`, a row stands for so many rows and gets the number of the first of them.
+
     With several cells each one refines the one before it: earlier rows are counted
     level by level, so a level only ever orders the values of its own cell.
     """
@@ -27,7 +29,7 @@ def split_ordinal(df: DataFrame, keys: list[str], order: list[Column], cells: li
     for level in range(len(marks), 0, -1):
         group, last = [*keys, *marks[:level]], marks[level - 1]
         source = marked if offsets is None else offsets
-        rows = F.count(F.lit(1)) if offsets is None else F.sum("__rows")
+        rows = F.sum("__rows") if offsets is not None else F.sum(weight) if weight else F.count(F.lit(1))
         counts = source.groupBy(*group).agg(rows.alias("__rows"))
         ahead = Window.partitionBy(*keys, *marks[:level - 1]).orderBy(last)
         before = F.coalesce(F.sum("__rows").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -41,12 +43,57 @@ def split_ordinal(df: DataFrame, keys: list[str], order: list[Column], cells: li
                 (F.col("o.__before") + F.col("c.__ahead")).alias("__before"),
                 *([F.col(f"c.{total}")] if extra else []))
     inside = Window.partitionBy(*keys, *marks).orderBy(*order)
-    ranked = marked.withColumn("__inside", F.row_number().over(inside)).alias("r")
+    earlier = F.row_number().over(inside) if weight is None else F.coalesce(
+        F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    ranked = marked.withColumn("__inside", earlier).alias("r")
     kept = [F.col(f"r.{c}") for c in df.columns] + ([F.col(f"o.{total}")] if total else [])
     return ranked.join(offsets.alias("o"), _same("r", "o", [*keys, *marks])).select(
         *kept, (F.col("r.__inside") + F.col("o.__before")).alias(name))
 
 
+#: Rows from which a cell is cut, names that cut it (about so many, chosen by hash), and places where rows meet what is known of their cell.
+CROWDED, BOUNDS, SALTS = 512, 256, 16
+
+
+def name_cells(df: DataFrame, keys: list[str], cells: list[Column], name: str) -> tuple[DataFrame, list[str]]:
+    """Adds cells that follow the order of a text column, where the given cells hold more than `CROWDED` rows.
+
+    A counting pass finds the crowded cells, and names of them, chosen by hash, are bounds: a row's cell is the number of
+    bounds up to its name. Rows meet their cell in `SALTS` places, so a crowded one is no hot key.
+    Returns the frame and the names of its cell columns, the given cells first.
+    """
+    marks = [f"__level{i}" for i in range(len(cells))]
+    df = df.select("*", *[cell.alias(mark) for cell, mark in zip(cells, marks)])
+    group = [*keys, *marks]
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+    crowded = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWDED).select(*group, "__n", spread)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("bound"), F.col(f"l.{name}")), 1) < F.lit(float(BOUNDS)) / F.col("r.__n") * F.lit(2.0**63)
+    drawn = salted.alias("l").join(crowded.alias("r"), _same("l", "r", [*group, "__salt"])).where(chance).select("l.*")
+    bounds = drawn.groupBy(*group).agg(F.sort_array(F.collect_set(name)).alias("__bounds")).select(*group, "__bounds", spread)
+    met = salted.alias("l").join(bounds.alias("r"), _same("l", "r", [*group, "__salt"]), "left")
+    mark = f"__level{len(marks)}"
+    place = F.size(F.filter("r.__bounds", lambda b: b <= F.col(f"l.{name}")))
+    cut = F.when(F.col("r.__bounds").isNotNull(), place).otherwise(0)
+    return met.select(*[F.col(f"l.{c}") for c in df.columns], cut.alias(mark)), [*marks, mark]
+
+
+def spot_ordinal(df: DataFrame, keys: list[str], place: Column, name: str, cells: list[Column], ordinal: str = "ordinal", total: str = "total") -> DataFrame:
+    """row_number() over (keys; place, name) of wide rows, and the size of each group, however many rows share one place.
+
+    The distinct (place, name) of a group, narrow rows with a count, are numbered in cells: the given ones, and inside a crowded one
+    cells of names. The wide rows meet their number by (keys, place, name) and are shuffled for nothing else.
+    """
+    spot = [*keys, "__place", name]
+    placed = df.withColumn("__place", place)
+    spots, marks = name_cells(placed.groupBy(*spot).agg(F.count(F.lit(1)).alias("__copies")), keys, cells, name)
+    numbered_ = split_ordinal(spots, keys, [F.col("__place"), F.col(name)], [F.col(m) for m in marks], "__first", total, "__copies")
+    copy = F.row_number().over(Window.partitionBy(*spot).orderBy(name))
+    rows, numbers = placed.withColumn("__copy", copy).alias("l"), numbered_.alias("r")
+    return rows.join(numbers, _same("l", "r", spot)).select(
+        *[F.col(f"l.{c}") for c in df.columns], (F.col("r.__first") + F.col("l.__copy") - 1).alias(ordinal), F.col(f"r.{total}").alias(total))
+
+
 def _same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 

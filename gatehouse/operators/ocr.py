@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.ordering import split_ordinal
+from ..functions.ordering import spot_ordinal
 from ..functions.outcome import say
 from ..functions.text import blank, has_any, shown
 
@@ -21,15 +21,16 @@ def combine_attachments(extractions: DataFrame) -> DataFrame:
 
     A single attachment stays as it is. With several, every check, field and
     issue carries `附件N(file)`, and a failed or unchecked attachment adds a null
-    check, so that all of them must pass. One row per attachment: no group is collected.
+    check, so that all of them must pass. One row per attachment: no group is collected. Attachments are numbered in cells of
+    positions; a cell of very many, such as a request whose attachments all stand at one position, is cut by ranges of its document ids.
     """
     checks = F.coalesce("checks", F.create_map().cast(_CHECKS))
     fields = F.coalesce("fields", F.create_map().cast("map<string,string>"))
     issues = F.coalesce("issues", F.array().cast("array<string>"))
-    rows = split_ordinal(
-        extractions.withColumn("checks", checks).withColumn("fields", fields).withColumn("issues", issues),
-        ["todo_id", "doc_type"], [F.col("position"), F.col("doc_id")],
-        [F.floor(F.col("position") / CELL)], "ordinal", total="documents")
+    given = extractions.withColumn("checks", checks).withColumn("fields", fields).withColumn("issues", issues)
+    # positions that are crowded by themselves are cells of their own before names cut them
+    rows = spot_ordinal(given, ["todo_id", "doc_type"], F.col("position"), "doc_id", [F.floor(F.col("__place") / CELL), F.col("__place")],
+                        "ordinal", "documents")
     many = F.col("documents") > 1
     prefix = F.when(many, F.concat(
         F.lit("附件"), F.col("ordinal").cast("string"), F.lit("("), blank(F.col("file")), F.lit(")"))).otherwise("")
@@ -57,7 +58,7 @@ def _keys(test) -> Column:
 def ocr_summary(extractions: DataFrame) -> DataFrame:
     """What the checklist needs of each (request, type), in attachment order.
 
-    Attachments meet in cells of at most 512 positions first; per request only
+    Attachments meet in cells of at most 512 ordinals first; per request only
     the short cell summaries meet. Lists that are shown cut are cut per cell.
     """
     rows = combine_attachments(extractions)
@@ -65,7 +66,7 @@ def ocr_summary(extractions: DataFrame) -> DataFrame:
     shown_fields = F.transform(
         F.slice(F.map_entries("fields"), 1, 4), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
     cells = rows.select(
-        "todo_id", "doc_type", F.floor(F.col("position") / CELL).alias("cell"), "documents", "type_check",
+        "todo_id", "doc_type", F.floor((F.col("ordinal") - 1) / CELL).alias("cell"), "documents", "type_check",
         "is_valid", "is_expired", F.struct(
             first.alias("at"), F.slice("issues", 1, 3).alias("issues"), F.size("issues").alias("n_issues"),
             _keys(lambda v: v).alias("yes"), _keys(lambda v: ~v).alias("no"),

@@ -655,6 +655,23 @@ def live_entries_stream(spark, sf):
     return found.where("entries > 0").select("key", "entries", "newest")
 
 
+# --- crowded attachments ----------------------------------------------------------------------
+@query("""WITH a AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'one' ELSE 'r' || l_suppkey END AS todo_id, 'iso9001' AS doc_type, l_linenumber > 6 AS later,
+    'scan-' || l_orderkey || '-' || l_linenumber AS doc_id FROM lineitem)
+SELECT todo_id, doc_id, row_number() OVER (PARTITION BY todo_id ORDER BY later, doc_id) AS ordinal, count(*) OVER (PARTITION BY todo_id) AS documents FROM a""")
+def crowded_attachments(spark, sf):
+    """Ordinals where one request has a third of all attachments, nearly all of them at position 0."""
+    lines = table(spark, sf, "lineitem")
+    owner = F.when(F.col("l_suppkey") % 3 == 0, "one").otherwise(F.concat(F.lit("r"), F.col("l_suppkey").cast("string")))
+    none = F.create_map().cast("map<string,string>")
+    rows = lines.select(
+        owner.alias("todo_id"), F.lit("iso9001").alias("doc_type"), F.when(F.col("l_linenumber") > 6, 5).otherwise(0).alias("position"),
+        F.concat(F.lit("scan-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("doc_id"),
+        F.lit("a.png").alias("file"), none.cast("map<string,boolean>").alias("checks"), none.alias("fields"),
+        F.array().cast("array<string>").alias("issues"), F.lit(None).cast("string").alias("error"))
+    return ocr.combine_attachments(rows).select("todo_id", "doc_id", "ordinal", "documents")
+
+
 # --- scalar functions over whole columns -----------------------------------------------------
 @query("""SELECT doc_id, translate(text[1:100000000], 'abcXYZ019', 'abcXYZ019') AS folded,
   CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS clipped,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -27,11 +27,47 @@ ENTRY = (
 )
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON files that may be cut anywhere for reading: file, block, at (order inside the block), value, and per line the depth of
+    brackets before it and the number of the top-level entry it belongs to (0 before the first).
+
+    A JSON string holds no line end, so every line can be judged by itself. Depths and entries are counted inside each block that a task
+    reads, and the totals of earlier blocks, one row each, are added.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    bare = F.regexp_replace("value", fixed.JSON_STRING, "s")
+    # openings minus closings: without the closing brackets a line is longer by them than without the opening ones
+    step = F.length(F.translate(bare, "}]", "")) - F.length(F.translate(bare, "{[", ""))
+    judged = lines.select("*", step.cast("long").alias("__step"), F.ltrim(bare, F.lit(" \t,")).startswith("s").alias("__named"))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = judged.groupBy("file", "block").agg(F.sum("__step").alias("__sum"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    depths = totals.select("file", "block", F.coalesce(F.sum("__sum").over(earlier), zero).alias("__base"))
+    placed = judged.withColumn("__in", F.coalesce(F.sum("__step").over(before), zero)).join(depths, ["file", "block"])
+    placed = placed.withColumn("depth", F.col("__base") + F.col("__in")).withColumn("__start", ((F.col("depth") == 1) & F.col("__named")).cast("long"))
+    begun = placed.groupBy("file", "block").agg(F.sum("__start").alias("__starts"))
+    firsts = begun.select("file", "block", F.coalesce(F.sum("__starts").over(earlier), zero).alias("__first"))
+    return placed.withColumn("__own", F.sum("__start").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(firsts, ["file", "block"]).select(
+        "file", "block", "at", "value", "depth", (F.col("__first") + F.col("__own")).alias("entry"))
+
+
 def read_keyed_json(spark: SparkSession, path: str, entry: str = ENTRY) -> DataFrame:
-    """Files that hold one JSON object keyed by request: (todo_id, entry). One file is one row,
-    so a store is best landed as many files."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("todo_id", "entry"))
+    """Files that hold one JSON object keyed by request: (todo_id, entry).
+
+    Where each entry begins on a line of its own, as such stores are written, a file is read by as many tasks as it has blocks; an
+    object on a single line is one row. An entry that is no valid JSON is skipped, and the others are read.
+    """
+    lines = _numbered_lines(spark, path)
+    own = lines.where((F.col("depth") >= 1) & (F.col("entry") > 0) & ((F.col("depth") > 1) | ~F.ltrim("value").startswith("}")))
+    texts = own.groupBy("file", "entry").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("lines"))
+    joined = F.concat_ws("\n", F.transform("lines", lambda line: line["value"]))
+    written = texts.select(F.concat(F.lit("{"), F.regexp_replace(joined, r"^\s*,|,\s*$", ""), F.lit("}")).alias("value"))
+    compact = lines.where((F.col("depth") == 0) & (F.length(F.trim("value")) > 1)).select("value")
+    objects = written.unionByName(compact).select(F.from_json("value", f"map<string,{entry}>").alias("object"))
+    return objects.select(F.explode("object").alias("todo_id", "entry")).where(F.col("entry").isNotNull())
 
 
 def keyed_applications(entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatehouse import schemas
@@ -46,6 +47,22 @@ def test_scalars(spark):
     assert (s.a, s.b, s.c, s.d, s.f) == (True, False, "&lt;a &#x27;&quot;&gt;&amp;", "a_b_c", "12_环境.a")
 
 
+def test_spot_ordinal_equals_window(spark, monkeypatch):
+    """Crowded places are cut by names with long common beginnings, outliers, repeats and nulls."""
+    monkeypatch.setattr(ordering, "CROWDED", 20)
+    monkeypatch.setattr(ordering, "BOUNDS", 60)
+    names = [f"2026/documents/scan-{i:05d}.png" for i in range(0, 3000, 7)] + ["a", "2026/documents/scan-", "2027/x", "2026/documents/scan-00007.png", "漢字", ""]
+    rows = [("k", 0, n) for n in names] + [("k", 0, None), ("k", 1, "z"), ("k", 600, "y"), ("k", None, "b")] + [("j", i % 3, f"n{i}") for i in range(50)] + [(None, 0, "q")] * 2
+    df = spark.createDataFrame(rows, "k string, at int, name string")
+    got = ordering.spot_ordinal(df, ["k"], F.col("at"), "name", [F.floor(F.col("__place") / 512), F.col("__place")], "n", "t")
+    ranked = Window.partitionBy("k").orderBy("at", "name")
+    want = df.select("k", "at", "name", F.row_number().over(ranked).alias("n"), F.count("*").over(Window.partitionBy("k")).alias("t"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    spots = df.groupBy("k", "at", "name").count()
+    cut, marks = ordering.name_cells(spots, ["k"], [F.col("at")], "name")
+    assert max(r.n for r in cut.groupBy("k", *marks).agg(F.count("*").alias("n")).collect()) <= 60
+
+
 def test_split_ordinal_equals_window(spark):
     rows = [("hot" if i % 3 else None, (i * 7919) % 100, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v int, id int")
@@ -240,6 +257,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert names == {"最终审批意见_1_甲_有限.txt", "最终审批意见_2_乙.txt"}
 
 
+def test_a_keyed_store_is_read_in_blocks(spark, tmp_path):
+    """Entries that cross blocks, brackets and quotes inside texts, an entry that is no JSON, several files and one line."""
+    store = {str(i): {"todo": {"billType": f"P0{i % 3}", "title": '乙"{[\\'}, "supplier": {"name": "a\\", "registered_capital": i + .5},
+                      "materials_detail": [{"fileName": "x}"}] * (i % 3)} for i in range(120)}
+    text = json.dumps(store, ensure_ascii=False, indent=1).replace('"P00"', '"P00" "broken"', 1)
+    (tmp_path / "a.json").write_text(text, encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"b": store["5"]}), encoding="utf-8")
+    (tmp_path / "c.json").write_text("{}", encoding="utf-8")
+    (tmp_path / "d.json").write_text("not json", encoding="utf-8")
+    small = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "10"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        assert readers._numbered_lines(spark, str(tmp_path / "a.json")).select("block").distinct().count() > 5
+        entries = readers.read_keyed_json(spark, str(tmp_path))
+        found = {r.todo_id: (r.entry.todo.title, r.entry.supplier.name, r.entry.supplier.registered_capital, len(r.entry.materials_detail)) for r in entries.collect()}
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    wanted = {k: (v["todo"]["title"], v["supplier"]["name"], v["supplier"]["registered_capital"], len(v["materials_detail"])) for k, v in store.items()}
+    del wanted["0"]
+    assert found == {**wanted, "b": wanted["5"]}
+
+
 def test_streams(spark, tmp_path):
     source, out, held = tmp_path / "in", str(tmp_path / "out"), []
     schema = "todo_id string, apply_time timestamp"
