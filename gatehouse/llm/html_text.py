@@ -5,8 +5,11 @@ those of the blocks before and after it, and where it stands (inside an article,
 sidebar or form by tag, inside an element whose class, id or role names such a part, heading or paragraph). The tree (Gini splits, grown in
 numpy) learns from the small table of labelled blocks in `html_training`. Blocks it takes for main text are joined by one line break.
 
+Formulas stay in the sentence they stand in; what belongs to scripts, forms and players (noscript, template, textarea, select, iframe, svg, audio, video,
+canvas) and the page's title are no text. Links tell menus and lists of related pages from text where no name does.
+
 Defined cases: a null or empty page has empty text; an unclosed tag ends with its parent; an unclosed comment, script or
-style runs to the end of the page; a page of one block is judged by the same tree; repeated rows have equal results.
+style runs to the end of the page; a tag that the page cuts off is no text; a page of one block is judged by the same tree; repeated rows have equal results.
 """
 
 from __future__ import annotations
@@ -24,16 +27,20 @@ from pyspark.sql import functions as F
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|title|noscript|template|textarea|select|iframe|svg|math|object|audio|video|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    r"|<(?P<raw>script|style|title|noscript|template|textarea|select|iframe|svg|audio|video|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    # attributes whose quotes close, or else everything up to the next bracket; nothing is tried twice
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*+)>",
     re.S | re.I)
+#: Where a tag begins that the page cuts off.
+CUT = re.compile(r"<[a-zA-Z/!?]")
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\S+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small "
-                   "span strike strong sub sup time tt u var wbr".split())
+                   "span strike strong sub sup time tt u var wbr "
+                   "math semantics annotation mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 INSIDE = frozenset(["article", "main"])
@@ -127,7 +134,9 @@ def blocks(page: str) -> list[Block]:
                     place.close(name)  # such an element ends where the next one begins
                 place.open(name, m["rest"])
     if at < len(page):
-        pieces.append(page[at:])
+        rest = page[at:]
+        cut = CUT.search(rest)
+        pieces.append(rest[:cut.start()] if cut else rest)
     end()
     return found
 
@@ -142,9 +151,10 @@ def vectors(found: list[Block]) -> np.ndarray:
 
 
 class Tree:
-    """Binary splits on one feature each; a leaf is the share of main text among its examples."""
+    """Binary splits on one feature each; a leaf is the share of main text among its examples, of which it has `least` or more."""
 
-    def __init__(self, rows: np.ndarray, main: np.ndarray, depth: int = 8):
+    def __init__(self, rows: np.ndarray, main: np.ndarray, depth: int = 10, least: int = 10):
+        self.least = least
         self.nodes: list[tuple[int, float, int, int, float]] = []
         self._grow(rows, main.astype(float), depth)
 
@@ -158,6 +168,7 @@ class Tree:
                 order = np.argsort(rows[:, feature], kind="stable")
                 value, hits = rows[order, feature], np.cumsum(main[order])
                 cut = np.flatnonzero(value[1:] > value[:-1])
+                cut = cut[(cut + 1 >= self.least) & (len(main) - cut - 1 >= self.least)]
                 if not len(cut):
                     continue
                 left = cut + 1.0

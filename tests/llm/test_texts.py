@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import fingerprint, html_text, mixing, packing, secrets
 from gatehouse.llm.common import join_utf8
+from gatehouse.llm.html_training import drawn_page
 
 from .fixtures import DOCS, odd_docs, odd_rows, sentence, with_clashes
 
@@ -136,7 +139,7 @@ def mix_by_hand(rows):
     return sizes, words, {s: 3 * words[s] if s in capped else share * weight[s] for s in order}
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rng = random.Random(8)
     rows = odd_rows() + [(100 + i, sentence(rng, rng.randint(1, 60)), "en", rng.choice(["web"] * 6 + ["books", "news", "zeta", "Émile", "blank"]), 0) for i in range(600)]
     rows = [(*r[:3], r[3], r[4]) if r[3] != "blank" else (r[0], "  ", "en", "blank", 0) for r in rows]
@@ -160,6 +163,11 @@ def test_mix(spark):
 
     again = mixing.mix_documents(frame.repartition(5)).withColumnRenamed("size", "n").collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)  # a join instead of a broadcast, and more levels
+    monkeypatch.setattr(mixing, "LEVEL_BITS", 3)
+    again = mixing.mix_documents(frame).withColumnRenamed("size", "n").collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    monkeypatch.undo()
     assert mixing.mix_documents(frame.limit(0)).collect() == []
     mixed = mixing.mixture(frame)
     copies = Counter(r.doc_id for r in mixed.collect())
@@ -241,6 +249,88 @@ def test_page_texts(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
-def test_tree_learns_its_table():
+class PlainBlocks(HTMLParser):
+    """Texts between block-level tags, found by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.pieces, self.skipped = [], [], 0
+
+    def end(self):
+        text = " ".join("".join(self.pieces).split())
+        self.found += [text] if text else []
+        self.pieces = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.skipped += 1
+        elif tag == "br":
+            self.pieces.append(" ")
+        elif tag not in html_text.INLINE:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.skipped -= 1
+        elif tag not in html_text.INLINE:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.pieces.append(data)
+
+
+def test_blocks_equal_those_of_another_parser():
+    made = [drawn_page(seed)[0] for seed in range(300, 330)]
+    made += ["<p>a &lt;b&gt; &amp;amp; &#x41;<b>c</b>d<br/>e<div title='x > y'>f</div>g<p>h<li>i<table><tr><td>j<td>k</table>", "no tags &copy; at all", "a<i> b </i>c<!-- no --> d"]
+    for page in made:
+        plain = PlainBlocks()
+        plain.feed(page)
+        plain.close()
+        plain.end()
+        assert [b.text for b in html_text.blocks(page)] == plain.found
+
+
+def main_texts(page):
+    found = html_text.blocks(page)
+    return [b.text for b, good in zip(found, html_text.default_tree()(html_text.vectors(found)), strict=True) if good]
+
+
+def filler(count, name):
+    return " ".join(f"{name}{i}" for i in range(count))
+
+
+def test_tree_on_pages_it_has_not_seen():
+    right = total = 0
+    for seed in range(5000, 5100):
+        page, texts = drawn_page(seed)
+        found = html_text.blocks(page)
+        right += sum(good == (b.text in texts) for b, good in zip(found, html_text.default_tree()(html_text.vectors(found)), strict=True))
+        total += len(found)
+    assert right / total > 0.98
+
+
+def test_links_decide_where_no_name_does():
     tree = html_text.default_tree()
-    assert 3 < len(tree.nodes) < 80
+    assert {html_text.FEATURES[n[0]] for n in tree.nodes if n[0] >= 0} & {"links", "links_after", "links_before"} and len(tree.nodes) < 80
+    links = "".join(f"<li><a href='/x'>{filler(6, f'l{i}x')}</a></li>" for i in range(5))
+    text = [filler(40, "a"), filler(25, "b")]
+    for box in ("article", "div"):
+        assert main_texts(f"<{box}><p>{text[0]}</p><ul>{links}</ul><p>{text[1]}</p></{box}>") == text
+    linked = f"{filler(20, 'c')} <a href='/y'>{filler(6, 'd')}</a> {filler(9, 'e')}"
+    assert main_texts(f"<article><p>{linked}</p><p>{text[0]}</p></article>") == [f"{filler(20, 'c')} {filler(6, 'd')} {filler(9, 'e')}", text[0]]
+
+
+def test_plain_pages_and_formulas():
+    title, a, b, c = filler(5, "t"), filler(60, "a"), filler(60, "b"), filler(60, "c")
+    assert main_texts(f"<body><h1>{title}</h1><p>{a}</p><p>{b}</p><p>{c}</p><footer>{filler(6, 'f')}</footer></body>") == [title, a, b, c]
+    assert main_texts(f"<body><h1>{title}</h1><div class=sidebar>{filler(31, 's')}</div><div id=comments>{filler(31, 'r')}</div><p>{filler(41, 'x')}</p></body>") == [title, filler(41, "x")]
+    assert main_texts("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here</p></article>") == ["Energy is E=m here"]
+
+
+def test_cut_tags_end_at_once():
+    started = time.perf_counter()
+    assert main_texts(f"<article><p>{filler(30, 'a')}</p><a " + 'b="c" ' * 1000) == [filler(30, "a")]
+    html_text.blocks("<p>x</p>" + '<a b="' * 20_000)
+    html_text.blocks("<p " + "'" * 1001 + ">text</p>")
+    assert time.perf_counter() - started < 1
