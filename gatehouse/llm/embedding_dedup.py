@@ -1,14 +1,15 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside them, one representative per group.
 
-Equal vectors are one node (its key is the 64-bit hash of its components). Centroids are fitted on the driver on a sample of the nodes, of
-`SAMPLE_PER_CELL` vectors a cell and of `FIT_BYTES` at most, by products of `FIT_STEP` values; every node is then assigned to the nearest
+Equal vectors are one node (its key is the 64-bit hash of its components). Vectors of different lengths never link: each length has cells of
+its own. Centroids are fitted on the driver on a sample of the nodes, of `SAMPLE_PER_CELL` vectors a cell and of `FIT_BYTES` at most for all
+lengths together, by products of `FIT_STEP` values. The `FITTED_LENGTHS` most common lengths have centroids; each rarer one is a single cell,
+compared whole in blocks. Every node of a fitted length is then assigned to the nearest
 centroid (its home) and to each other cell whose centroid is at most `margin` farther in cosine, where it is a guest. A pair of cosine `threshold` whose difference has no preferred direction lands in each other's cell with
 high probability; `tests/llm` measures recall against brute force. Inside a cell the home vectors are cut into blocks and compared
 with blocks of all members, in double precision; a block pair is a group of bounded size, so a cell that holds a third of all vectors is
 many tasks. A block pair gives counts of links per node and a spanning forest of its links, never the pairs.
 
-Defined cases: vectors that are null, empty, zero, of another length than the most common one, or hold null or non-finite components
-link with nothing; repeated rows and equal vectors count as other vectors; rows without vec_id link with nothing and are not
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; repeated rows and equal vectors count as other vectors; rows without vec_id link with nothing and are not
 kept; an empty table gives no rows.
 """
 
@@ -31,6 +32,7 @@ MARGIN = 0.15
 SAMPLE_PER_CELL = 32
 #: Ceiling of the sample that the driver holds as doubles, whatever the table's size: 65,536 vectors of 64 components.
 FIT_BYTES = 32 << 20
+FITTED_LENGTHS = 64
 #: Values of one product of sample and centroids.
 FIT_STEP = 1 << 22
 HOME_BLOCK = 1024
@@ -75,22 +77,48 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _cells_of(centres: np.ndarray, margin: float):
+def _cells_of(fitted: dict[int, tuple[int, np.ndarray]], margin: float):
+    """`fitted`: for a length the number of its first cell and its centroids; the cell of any other length is its negative."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            likeness = unit(_matrix(batch.column("v"), centres.shape[1])) @ centres.T
-            home = likeness.argmax(axis=1).astype(np.int32)
-            inside = likeness >= likeness.max(axis=1, keepdims=True) - margin
-            row, cell = np.nonzero(inside)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(inside.sum(axis=1)))), pa.int32()), pa.array(cell, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("v"), pa.array(home), lists],
-                                             ["node", "copies", "v", "home", "cells"])
+            lengths = np.asarray(batch.column("v").value_lengths(), np.int64)
+            for width in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == width))
+                first, centres = fitted.get(width, (-width, np.zeros((1, width))))
+                likeness = unit(_matrix(part.column("v"), width)) @ centres.T
+                home = (first + likeness.argmax(axis=1)).astype(np.int32)
+                inside = likeness >= likeness.max(axis=1, keepdims=True) - margin
+                row, cell = np.nonzero(inside)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(inside.sum(axis=1)))), pa.int32()), pa.array(first + cell, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("copies"), part.column("v"), pa.array(home), lists],
+                                                 ["node", "copies", "v", "home", "cells"])
 
     return run
 
 
+def _fitted(nodes: DataFrame, cells: int | None) -> dict[int, tuple[int, np.ndarray]]:
+    """Centroids of the most common lengths, from a bounded sample that is chosen by hash and without a sort."""
+    size = F.size("v")
+    common = nodes.groupBy(size.alias("width")).count().orderBy(F.desc("count"), "width").limit(FITTED_LENGTHS).collect()
+    wanted, chosen = {}, F.lit(False)
+    for width, count in common:
+        wanted[width] = cells or max(1, round(count**0.5))
+        most = min(SAMPLE_PER_CELL * wanted[width], max(1, FIT_BYTES // len(common) // (8 * width)))
+        drawn = F.lit(True) if most >= count else F.shiftrightunsigned(F.xxhash64("node"), 1) < int(most / count * 2**63)
+        chosen = chosen | ((size == width) & drawn)
+    sample = nodes.where(chosen).select("node", "v").toArrow().sort_by("node")["v"].combine_chunks()
+    lengths = np.asarray(sample.value_lengths(), np.int64)
+    found, first = {}, 0
+    for width, count in wanted.items():
+        rows = sample.filter(pa.array(lengths == width))
+        if len(rows):
+            centres = spherical_kmeans(_matrix(rows, width), count)
+            found[width] = first, centres
+            first += len(centres)
+    return found
+
+
 BLOCK_RESULT = "node long, links long, root long"
 
 
@@ -138,17 +166,9 @@ def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[(out["links"] > 0) | (out["node"] != out["root"])]
 
 
-def linked_nodes(nodes: DataFrame, width: int, threshold: float = THRESHOLD, margin: float = MARGIN,
-                 cells: int | None = None) -> DataFrame:
+def linked_nodes(nodes: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cells: int | None = None) -> DataFrame:
     """(node, links, root) per block pair that found links, of nodes (node, copies, v)."""
-    count = nodes.count()
-    cells = cells or max(1, round(count**0.5))
-    # a bounded sample, chosen by hash and without a sort
-    wanted = min(SAMPLE_PER_CELL * cells, max(1, FIT_BYTES // (8 * width)))
-    chosen = nodes if wanted >= count else nodes.where(F.shiftrightunsigned(F.xxhash64("node"), 1) < int(wanted / count * 2**63))
-    sample = chosen.select("node", "v").toArrow().sort_by("node")["v"].combine_chunks()
-    centres = spherical_kmeans(_matrix(sample, width), cells)
-    placed = checkpoint(nodes.mapInArrow(_cells_of(centres, margin), "node long, copies long, v array<double>, home int, cells array<int>"))
+    placed = checkpoint(nodes.mapInArrow(_cells_of(_fitted(nodes, cells), margin), "node long, copies long, v array<double>, home int, cells array<int>"))
     homes = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("hosts"))
     members = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("members"))
     blocks = homes.join(members, "cell").select(
@@ -168,19 +188,14 @@ def linked_nodes(nodes: DataFrame, width: int, threshold: float = THRESHOLD, mar
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, cells: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
     marked = marked_vectors(vectors)
-    widths = marked.where("good").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths.w if widths else 0
-    linkable = F.col("good") & (F.size("v") == width)
-    alone = marked.where(~linkable).select(
+    alone = marked.where(~F.col("good")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not width:
-        return alone
-    valid = marked.where(linkable).select("vec_id", F.xxhash64("v").alias("node"), "v")
+    valid = marked.where("good").select("vec_id", F.xxhash64("v").alias("node"), "v")
     classes = checkpoint(valid.select("vec_id", "node").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
     # one vector of each node carries its components; of repeated ids any, as they are equal
     named = classes.withColumnRenamed("least", "vec_id")
     nodes = checkpoint(valid.join(named, ["node", "vec_id"]).select("node", "copies", "v").dropDuplicates(["node"]))
-    found = checkpoint(linked_nodes(nodes, width, threshold, margin, cells))
+    found = checkpoint(linked_nodes(nodes, threshold, margin, cells))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(counts, "node", "left").join(roots, "node", "left").select(

@@ -156,15 +156,25 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert min(far) > 0 and max(far) > 2
 
 
-def test_a_bucket_without_a_common_leader_is_compared_whole(spark):
-    """With fewer turns of leaders, the last turn checks all pairs of different components that are left."""
-    texts = near_copies()
+def template_pages():
+    """Pages that share most of their words but are near copies of few of the others."""
+    rng = random.Random(17)
+    common = sentence(rng, 200)
+    pages = [f"{common} {sentence(rng, 45)}" for _ in range(40)]
+    return pages + [p + " and more" for p in pages[::4]] + pages[:3]
+
+
+@pytest.mark.parametrize(("small", "block"), [(10_000, 4), (1, 4), (1, 10_000), (6, 2)])
+def test_a_bucket_without_a_common_leader_is_compared_whole(spark, small, block):
+    """Pairs of different components come from a join or from blocks, and all of them are looked at."""
+    texts = near_copies() + template_pages()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     roots = least_reached(texts, lambda a, b: jaccard_by_hand(a, b) >= 0.8)
-    for stars in (0, 2):
-        with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(shingle_sets, "STARS", stars)
-            assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(roots)
+    assert len(set(roots)) > 60
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shingle_sets, "SMALL", small)
+        patch.setattr(shingle_sets, "BLOCK", block)
+        assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(roots)
 
 
 def test_rows_without_id_are_in_groups_too(spark):
@@ -229,6 +239,23 @@ def test_embeddings_in_small_blocks(spark, monkeypatch):
         assert found == {i: int(near[i].sum()) for i in range(len(rows))}
 
 
+def test_vectors_of_each_length_have_their_links(spark, monkeypatch):
+    """A common length, a rarer one with cells of its own, and one without centroids."""
+    wide, narrow = vectors_with_groups(400, 5), vectors_with_groups(150, 6)[:, :9].copy()
+    few = np.concatenate([narrow[:20, :5], narrow[:20, :5] * 2]).astype(np.float32)
+    tables = [wide, narrow, few]
+    rows = [(1000 * t + i, v.tolist()) for t, table in enumerate(tables) for i, v in enumerate(table)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embedding_dedup, "FITTED_LENGTHS", 2)
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame, margin=2.0).collect()}
+    for t, table in enumerate(tables):
+        near = by_hand(table)
+        roots = least_reached(range(len(table)), lambda i, j: near[i, j])  # noqa: B023
+        assert near.sum() > 20
+        for i in range(len(table)):
+            assert (found[1000 * t + i].n_links, found[1000 * t + i].component_id) == (near[i].sum(), 1000 * t + roots[i])
+
+
 def test_the_fit_has_a_ceiling(spark, monkeypatch):
     rows = vectors_with_groups(1500, 4)
     near = by_hand(rows)
