@@ -15,13 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import chunks, join_utf8, utf8_column
-from .samples import held_out, labelled_sample
+from .samples import held_out, labelled_rows
 from .words import BYTE_VALUES, Words, mix
 
 BUCKETS = 1 << 17
@@ -84,6 +85,20 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
+def _feature_lists(texts: list[str]) -> list[np.ndarray]:
+    """Features of each text, all in one array."""
+    encoded = [text.encode() for text in texts]
+    # a text has at most as many words and as many pairs as bytes, and as many n-grams of each size
+    held = np.empty(sum((2 + len(GRAMS)) * len(x) for x in encoded), np.int32)
+    found, end = [], 0
+    for text in encoded:
+        own = features(*join_utf8([text]))[0]
+        held[end:end + len(own)] = own
+        found.append(held[end:end + len(own)])
+        end += len(own)
+    return found
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Classifier:
     labels = np.asarray(labels)
     if len(set(labels.tolist())) < 2:
@@ -93,7 +108,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     rng = np.random.Generator(np.random.PCG64(seed))
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     layer = np.zeros((2, WIDTH), np.float32)
-    documents = [features(*join_utf8([text.encode()]))[0] for text in texts]
+    documents = _feature_lists(texts)
     steps = epochs * len(texts)
     order = np.concatenate([rng.permutation(len(texts)) for _ in range(epochs)])
     sizes = np.exp(rng.uniform(np.log(FEWEST), np.log(MOST), steps)).astype(int)
@@ -117,8 +132,18 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    rows = labelled_sample(docs, labels, "quality", PARTS, REMAINDER, {0: sample, 1: 2 * sample})
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+    """The sample, bounded whatever the input, is fitted in one task; the driver gets the weights, half a megabyte."""
+    rows = labelled_rows(docs, labels, "quality", PARTS, REMAINDER, {0: sample, 1: 2 * sample})
+
+    def fitted(texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("doc_id")
+        found = fit(texts["text"].tolist(), texts["label"].to_numpy())
+        return pd.DataFrame({"weights": [found.weights.tobytes()], "bias": [found.bias]})
+
+    found = rows.groupBy().applyInPandas(fitted, "weights binary, bias double").first()
+    if found is None:
+        return fit([], np.zeros(0, int))
+    return Classifier(np.frombuffer(found.weights, np.float32), found.bias)
 
 
 def with_quality(docs: DataFrame, classifier: Classifier, output: str = "score") -> DataFrame:

@@ -19,8 +19,8 @@ def held_out(doc_id, parts: int, remainder: int):
     return F.coalesce(fold(doc_id, parts) == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, remainder: int, most: dict[int, int]) -> pd.DataFrame:
-    """Texts and labels (columns text, label) of at most most[0] and most[1] documents, in the order of a hash of their ids.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, remainder: int, most: dict[int, int]) -> DataFrame:
+    """Texts and labels (doc_id, text, label) of at most most[0] and most[1] documents, those of the least hashes of their ids.
 
     Only labels outside the held-out fold count. An id with several labels has the largest of them.
     """
@@ -33,5 +33,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     chosen = picked[0].unionByName(picked[1])
     # at most sum(most.values()) ids: small enough to send to every task
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, remainder: int, most: dict[int, int]) -> pd.DataFrame:
+    """The rows of `labelled_rows` on the driver (columns text, label), in the order of their ids."""
+    found = labelled_rows(docs, labels, label, parts, remainder, most).toPandas()
     return found.sort_values("doc_id").reset_index(drop=True)[["text", "label"]]
