@@ -166,36 +166,36 @@ OTHERS = {
     "tax": ("tax_credit", "国家税务总局\n2025年度评价结果：A", {}),
     "tax_low": ("tax_credit", "纳税信用等级：D\n2024年度", {}),
     "grant": ("authorization", "授权方：某厂有限公司\n被授权方：合成贸易有限公司\n有效期至：2027年01月01日", {"full_name": "合成贸易有限公司"}),
-    "unlabelled": ("tax_cert", "开票资料 2020年01月01日", {}),
-    "spread": ("tax_cert", "**有** **效** **期：** 2020年01月01日 至 2099年01月01日", {}),
-    "production": ("production_license", "全国工业产品生产许可证 许可证编号：XK00-001-12345 持证单位 合成铁路器材有限公司 有效期至：2099年12月31日",
-                   {"full_name": "合成铁路器材有限公司"}),
-    "ccc": ("production_license", "中国国家强制性产品认证证书 CCC认证 证书编号：2026999999999999 持证单位 合成铁路器材有限公司 有效期至：2099年12月31日",
-            {"full_name": "合成铁路器材有限公司"}),
-    "production_old": ("production_license", "全国工业产品生产许可证 持证单位 合成铁路器材有限公司 有效期至：2020年01月01日",
-                       {"full_name": "合成铁路器材有限公司"}),
-    "production_mix": ("production_license", "营业执照\n质量管理体系认证证书\n有效期至：2099年06月04日", {"full_name": "合成铁路器材有限公司"}),
-    "road": ("transport_license", "道路运输经营许可证\n有效期至：2099年06月04日", {}),
-    "road_old": ("transport_license", "道路运输经营许可证\n有效期至：2020年06月04日", {}),
+    "unlabelled": ("tax_cert", "开票资料 2018年02月03日", {}),
+    "spread": ("tax_cert", "**有** **效** **期：** 2018年02月03日 至 2089年08月08日", {}),
+    "production": ("production_license", "全国工业产品生产许可证 许可证编号：XK07-002-00417 持证单位 云泽桥隧配件有限公司 有效期至：2091年10月30日",
+                   {"full_name": "云泽桥隧配件有限公司"}),
+    "ccc": ("production_license", "中国国家强制性产品认证证书 CCC认证 证书编号：2024010203000777 持证单位 云泽桥隧配件有限公司 有效期至：2091年10月30日",
+            {"full_name": "云泽桥隧配件有限公司"}),
+    "production_old": ("production_license", "全国工业产品生产许可证 持证单位 云泽桥隧配件有限公司 有效期至：2018年02月03日",
+                       {"full_name": "云泽桥隧配件有限公司"}),
+    "production_mix": ("production_license", "营业执照\n质量管理体系认证证书\n有效期至：2093年03月15日", {"full_name": "云泽桥隧配件有限公司"}),
+    "road": ("transport_license", "道路运输经营许可证\n有效期至：2093年03月15日", {}),
+    "road_old": ("transport_license", "道路运输经营许可证\n有效期至：2019年03月15日", {}),
     "road_bare": ("transport_license", "道路运输经营许可证", {}),
-    "road_issue": ("transport_license", "道路运输经营许可证\n发证日期：2026年06月04日", {}),
-    "road_early": ("transport_license", "道路运输经营许可证\n有效期：2098年06月04日至2099年06月04日", {}),
-    "road_other": ("transport_license", "营业执照\n有效期至：2099年06月04日", {}),
+    "road_issue": ("transport_license", "道路运输经营许可证\n发证日期：2026年05月11日", {}),
+    "road_early": ("transport_license", "道路运输经营许可证\n有效期：2092年03月15日至2093年03月15日", {}),
+    "road_other": ("transport_license", "营业执照\n有效期至：2093年03月15日", {}),
     "road_pages": ("transport_license", "", {}),
-    "promise": ("after_sales_cert", "售后服务证明函\n我公司提供售后服务保障。\n日期：2026年08月27日", {}),
+    "promise": ("after_sales_cert", "售后服务证明函\n本厂对所售水泵负责售后服务。\n日期：2026年07月30日", {}),
     "promise_old": ("after_sales_statement", "售后服务承诺\n日期：2026年01月01日", {}),
-    "stars": ("after_sales_cert", "商品售后服务评价体系认证 售后服务认证证书 五星级 有效期至：2099年12月31日", {}),
-    "unrelated": ("after_sales_cert", "营业执照 注册资本1000万元", {}),
-    "card": ("legal_person_id", "姓名 张三\n性别 男\n有效期限 2018.12.26-2038.12.26", {"legal_person": "张三"}),
-    "card_close": ("legal_person_id", "姓名 陈昊\n性别 男\n有效期限 2018.12.26-长期", {"legal_person": "陈吴"}),
+    "stars": ("after_sales_cert", "售后服务评价体系认证\n售后服务认证证书 四星级 有效期至：2091年10月30日", {}),
+    "unrelated": ("after_sales_cert", "营业执照 注册资本640万元", {}),
+    "card": ("legal_person_id", "姓名 张三\n性别 男\n有效期限 2017.03.09-2037.03.09", {"legal_person": "张三"}),
+    "card_close": ("legal_person_id", "姓名 林晟\n性别 男\n有效期限 2015.05.20-长期", {"legal_person": "林成"}),
     "card_front": ("legal_person_id", "姓名 张三\n性别 男", {"legal_person": "李四"}),
     "report": ("financial_report", "资产负债表", {}),
 }
 DETAIL = [
-    {"doc_id": "production_mix", "page_id": 1, "line_no": 0, "text": "营业执照 名称 合成铁路器材有限公司"},
-    {"doc_id": "production_mix", "page_id": 2, "line_no": 1, "text": "质量管理体系认证证书 ISO 9001 有效期至：2099年06月04日"},
+    {"doc_id": "production_mix", "page_id": 1, "line_no": 0, "text": "营业执照 名称 云泽桥隧配件有限公司"},
+    {"doc_id": "production_mix", "page_id": 2, "line_no": 1, "text": "质量管理体系认证证书 ISO 9001 有效期至：2093年03月15日"},
     {"doc_id": "road_pages", "page_id": 1, "line_no": 0, "text": "道路运输经营许可证"},
-    {"doc_id": "road_pages", "page_id": 2, "line_no": 1, "text": "ISO9001 有效期至：2099年06月04日"},
+    {"doc_id": "road_pages", "page_id": 2, "line_no": 1, "text": "ISO9001 有效期至：2093年03月15日"},
 ]
 
 
@@ -225,7 +225,7 @@ def test_other_certificates(spark):
     assert check("stars") is True and check("stars", "材料类型正确") is True
     assert check("unrelated", "材料类型正确") is False
     assert got["card"]["checks"] == {"正反面齐全": True, "姓名与法人一致": True, "在有效期内": True}
-    assert got["card"]["fields"]["有效期至"] == "2038-12-26"
+    assert got["card"]["fields"]["有效期至"] == "2037-03-09"
     assert got["card_close"]["checks"]["姓名与法人一致"] is None and check("card_close") is True
     assert got["card_front"]["checks"] == {"正反面齐全": None, "姓名与法人一致": False}
     assert got["report"]["checks"] == {} and got["report"]["issues"] == []
@@ -236,14 +236,14 @@ def test_confidence(spark):
 
     from .helpers import documents, lines, suppliers
 
-    text = "质量管理体系认证证书\n合成实业有限公司\nGB/T19001-2016 idt ISO9001:2015\n有效期至：2028年07月18日"
+    text = "质量管理体系认证证书\n云泽泵业有限公司\nGB/T19001-2016 idt ISO9001:2015\n有效期至：2029年04月11日"
     cases = {k: ("iso9001", text) for k in ("good", "weak", "none")}
     cases["tax"] = ("tax_credit", "国家税务总局\n2025年度评价结果：A")
-    known = suppliers(spark, [{"todo_id": k, "full_name": "合成实业有限公司"} for k in cases])
+    known = suppliers(spark, [{"todo_id": k, "full_name": "云泽泵业有限公司"} for k in cases])
 
     def rows(doc, holder):
-        scored = [("质量管理体系认证证书", .99), ("合成实业有限公司", holder), ("GB/T19001-2016 idt ISO9001:2015", .98),
-                  ("有效期至：2028年07月18日", .99), ("IAF", .74), ("（贴花）", .77)]
+        scored = [("质量管理体系认证证书", .99), ("云泽泵业有限公司", holder), ("GB/T19001-2016 idt ISO9001:2015", .98),
+                  ("有效期至：2029年04月11日", .99), ("IAF", .74), ("（贴花）", .77)]
         return [{"doc_id": doc, "page_id": 1, "line_no": i, "text": t, "confidence": c} for i, (t, c) in enumerate(scored)]
 
     detail = lines(spark, rows("good", .99) + rows("weak", .82) + [

@@ -48,20 +48,20 @@ ROUTES = {
     "mixed": ("服务商/代理商/承运商", "", {"D1_03", "A07"}, {"E1"}),
     "service": ("服务商", "", {"A01", "A07"}, {"E2", "D1_03"}),
     "service_trade": ("服务商", "景观规划、造价咨询、工期管理；仪表选型、仪表采购；仪表和备件进出口；销售照明电器", {"D1_03"}, {"E1"}),
-    "maker_trade": ("其他", "机械设备生产、加工、销售；货物进出口", {"C1_01", "C1_02", "C1_03", "C1_04", "D1_06"}, {"D1_03", "D1_04", "D1_05"}),
-    "solar": ("其他服务商", "光伏设备及元器件制造；电池制造；电子产品销售；货物进出口", {"C1_02"}, {"D1_03"}),
-    "freight_service": ("服务商", "国际货运代理，仓储服务；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
-    "freight_agent": ("代理商", "国际货运代理，仓储服务；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
-    "freight_other": ("其他", "国际货运代理，仓储服务；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
-    "freight_blank": ("", "国际货运代理，仓储服务；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
+    "maker_trade": ("其他", "水泵生产、装配、销售；技术进出口", {"C1_01", "C1_02", "C1_03", "C1_04", "D1_06"}, {"D1_03", "D1_04", "D1_05"}),
+    "solar": ("其他服务商", "储能柜制造；逆变器制造；电子元件销售；货物进出口", {"C1_02"}, {"D1_03"}),
+    "freight_service": ("服务商", "国际货运代理；恒温库房出租；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
+    "freight_agent": ("代理商", "国际货运代理；恒温库房出租；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
+    "freight_other": ("其他", "国际货运代理；恒温库房出租；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
+    "freight_blank": ("", "国际货运代理；恒温库房出租；无船承运。", {"A01", "E1", "E2"}, {"A07", "D1_03"}),
     "phrase1": ("服务商", "国际货物运输代理；国内集装箱货物运输代理", {"E1", "E2"}, set()),
     "phrase2": ("服务商", "道路货物运输；普通货运", {"E1", "E2"}, set()),
     "phrase3": ("服务商", "网络货运；仓储服务", {"E1", "E2"}, set()),
-    "logistics": ("物流服务商", "国内集装箱货物运输代理；海上国际货物运输代理；国内贸易代理；食品销售；无船承运业务", {"E1", "E2"}, {"A07", "D1_03"}),
-    "warehouse_logistics": ("仓储服务商、物流服务商", "承办海运、陆运、空运国际运输代理业务", {"E1", "E2"}, {"A07", "D1_03"}),
-    "warehouse": ("仓储服务商", "仓储服务；装卸搬运", {"A07"}, {"E1"}),
-    "bidding": ("服务商", "招标代理；软件开发；技术服务", set(), {"E1", "E2"}),
-    "agent": ("代理商", "产品销售代理；货物进出口", {"D1_03"}, {"E1"}),
+    "logistics": ("物流服务商", "海上国际货物运输代理；国内贸易代理；茶叶销售；无船承运业务", {"E1", "E2"}, {"A07", "D1_03"}),
+    "warehouse_logistics": ("仓储服务商、物流服务商", "代办空运、海运国际运输代理业务", {"E1", "E2"}, {"A07", "D1_03"}),
+    "warehouse": ("仓储服务商", "仓储服务；货架租赁", {"A07"}, {"E1"}),
+    "bidding": ("服务商", "招标代理；网站维护；技术服务", set(), {"E1", "E2"}),
+    "agent": ("代理商", "灯具销售代理；货物进出口", {"D1_03"}, {"E1"}),
     "explicit": ("物流服务商/经销商", "国际货运代理；无船承运", {"D1_03"}, {"E1"}),
 }
 
@@ -128,12 +128,12 @@ def test_profile(spark):
 
 # --- classification ------------------------------------------------------------------
 UPLOADS = {
-    "alias1": ("环境管理.png", "环境管理体系认证证书图片", ["iso14001"]),
-    "alias2": ("环境管理.png", " 环境管理体系认证证书 图片 ", ["iso14001"]),
-    "alias3": ("环境管理.png", "其他文件", ["iso14001"]),
-    "alias4": ("certificate.png", "环境管理体系认证证书扫描件", ["iso14001"]),
-    "tax": ("纳税等级证明.pdf", "其他文件", ["tax_credit"]),
-    "rating": ("AAA级信用等级证书.pdf", "其他文件", []),
+    "alias1": ("环境管理.jpg", "环境管理体系认证证书图片", ["iso14001"]),
+    "alias2": ("环境管理.jpg", " 环境管理体系认证证书 图片 ", ["iso14001"]),
+    "alias3": ("环境管理.jpg", "其他文件", ["iso14001"]),
+    "alias4": ("scan-07.png", "环境管理体系认证证书扫描件", ["iso14001"]),
+    "tax": ("纳税等级证明（云泽）.pdf", "其他文件", ["tax_credit"]),
+    "rating": ("AA级信用等级证书.pdf", "其他文件", []),
     "rating2": ("企业信用等级证明.pdf", "其他文件", []),
     "cnas1": ("云泽仪表厂-质量管理体系认证证书（CNAS认可）.png", "质量管理体系认证证书", ["iso9001"]),
     "cnas2": ("云泽仪表厂-职业健康安全管理体系认证证书（CNAS认可）.jpg", "健康安全管理体系认证证书图片", ["iso45001"]),
@@ -171,20 +171,20 @@ def test_file_matching(spark):
         {"todo_id": "a", "file_name": "旧 营业执照.jpg", "type_name": "组织机构代码证图片", "types": ["business_license"]},
         {"todo_id": "a", "file_name": "营业执照.jpg", "type_name": "营业执照副本图片", "types": ["business_license"]},
         {"todo_id": "b", "file_name": "旧 营业执照.jpg", "type_name": "组织机构代码证图片", "types": ["business_license"]},
-        {"todo_id": "c", "file_name": "环境管理.png", "type_name": "环境管理体系认证证书图片", "types": []},
-        {"todo_id": "d", "file_name": "环境管理.png", "type_name": "环境管理体系认证证书图片", "types": [], "file_desc": "含身份证"},
+        {"todo_id": "c", "file_name": "环境管理.jpg", "type_name": "环境管理体系认证证书图片", "types": []},
+        {"todo_id": "d", "file_name": "环境管理.jpg", "type_name": "环境管理体系认证证书图片", "types": [], "file_desc": "含身份证"},
         {"todo_id": "e", "file_name": "张三.gif", "type_name": "法人代表身份证", "types": ["legal_person_id"]},
         {"todo_id": "e", "file_name": "李四.pdf", "type_name": "法人代表身份证", "types": ["legal_person_id"]},
     ])
     files = spark.createDataFrame([
-        ("a", "1_旧 营业执照.jpg"), ("a", "2_营业执照.jpg"), ("b", "3_旧 营业执照.jpg"), ("c", "10_环境管理.png"),
-        ("d", "10_环境管理.png"), ("e", "张三.gif"), ("e", "9_李四.pdf"), ("f", "x.png")], "todo_id string, file string")
+        ("a", "1_旧 营业执照.jpg"), ("a", "2_营业执照.jpg"), ("b", "3_旧 营业执照.jpg"), ("c", "10_环境管理.jpg"),
+        ("d", "10_环境管理.jpg"), ("e", "张三.gif"), ("e", "9_李四.pdf"), ("f", "x.png")], "todo_id string, file string")
     got = {(r.todo_id, r.file): (r.types, r.is_public) for r in with_public_flag(classify.match_files(files, mats)).collect()}
     assert got["a", "1_旧 营业执照.jpg"] == ([], False)
     assert got["a", "2_营业执照.jpg"] == (["business_license"], True)
     assert got["b", "3_旧 营业执照.jpg"] == (["business_license"], True)
-    assert got["c", "10_环境管理.png"] == (["iso14001"], True)
-    assert got["d", "10_环境管理.png"] == (["iso14001", "sensitive"], False)
+    assert got["c", "10_环境管理.jpg"] == (["iso14001"], True)
+    assert got["d", "10_环境管理.jpg"] == (["iso14001", "sensitive"], False)
     assert got["f", "x.png"] == ([], False)
     assert public_subset(files, mats).count() == 3
     cards = frame(spark, schemas.CARD, [{"todo_id": "e", "file": "9_李四.pdf", "card_index": 1}])
@@ -197,7 +197,7 @@ def test_file_matching(spark):
 
 
 def test_hydrate(spark):
-    mats = materials(spark, [{"todo_id": "1", "file_name": "环境管理.png", "type_name": "环境管理体系认证证书图片", "types": []}])
+    mats = materials(spark, [{"todo_id": "1", "file_name": "环境管理.jpg", "type_name": "环境管理体系认证证书图片", "types": []}])
     _, sups = classify.hydrate(mats, suppliers(spark, [{"todo_id": "1", "certifications": ["ISO9001"]}]))
     row = sups.collect()[0]
     assert row.certifications == ["ISO14001", "ISO9001"] and row.classified_materials == ["iso14001"]
@@ -207,16 +207,16 @@ def test_hydrate(spark):
 def test_financial(spark):
     report = ["financial_report"]
     mats = materials(spark, [
-        {"todo_id": "ok", "file_name": "2025年度审计报告.pdf", "types": report}, {"todo_id": "old", "file_name": "2024年财报.pdf", "types": report},
-        {"todo_id": "none", "file_name": "经审计财务报告.pdf", "types": report},
-        {"todo_id": "two", "file_name": "2024年比较财务数据.pdf", "types": report}, {"todo_id": "two", "file_name": "2025年度审计报告.pdf", "types": report},
+        {"todo_id": "ok", "file_name": "2025年度审计报告（云泽）.pdf", "types": report}, {"todo_id": "old", "file_name": "2024年财报.pdf", "types": report},
+        {"todo_id": "none", "file_name": "经审计财务报告（无年份）.pdf", "types": report},
+        {"todo_id": "two", "file_name": "2024年对照财务数据.pdf", "types": report}, {"todo_id": "two", "file_name": "2025年度审计报告（云泽）.pdf", "types": report},
         {"todo_id": "title", "file_name": "财务附件.pdf", "file_title": "2024年财报", "types": report},
-        {"todo_id": "far", "file_name": "2075年财报.pdf", "types": report},
+        {"todo_id": "far", "file_name": "2081年财报.pdf", "types": report},
         {"todo_id": "other", "file_name": "营业执照2025.png"}])
     requests = spark.createDataFrame([(k,) for k in ("ok", "old", "none", "two", "title", "far", "other", "empty")], "todo_id string")
     got = {r.todo_id: (r.status, r.title_years) for r in financial.financial_title_check(mats, requests, AS_OF).collect()}
     assert got == {"ok": ("matched", [2025]), "old": ("mismatch", [2024]), "none": ("unknown", []), "two": ("matched", [2024, 2025]),
-                   "title": ("mismatch", [2024]), "far": ("mismatch", [2075]), "other": ("missing", []), "empty": ("missing", [])}
+                   "title": ("mismatch", [2024]), "far": ("mismatch", [2081]), "other": ("missing", []), "empty": ("missing", [])}
     data = spark.createDataFrame([
         ("a", "{}", None), ("b", '{"财务数据信息": [{"报告期": "2020", "资产负债率": 10}]}', True),
         ("c", '{"balance_sheet": {"result": [{"报告期": "2025-12-31"}]}, "cash_flow": {"result": []}}', True), ("d", None, False)],
