@@ -4,7 +4,7 @@ A document's size is its number of words. Each source gets a share of all words
 source's own words, and what is left over is shared by weight among the others until none is above. A source then takes every document
 floor(target / words) times and once more each document whose hash is below the source's threshold. The threshold comes from
 histograms: sizes summed by source and leading hash bits, the bucket where the budget ends found, and only that bucket
-summed again by the next bits, until a bucket is one hash value. No document is sorted, and reruns agree. A second pass of the same
+summed again by the next bits, until it holds one hash value. No document is sorted, and reruns agree. A second pass of the same
 kind over the smaller documents behind the threshold uses up what a large document there left open.
 
 Defined cases: a null or blank text has size 0 and is in the mix with 0 words; a null source is a source of its own, last in order; a null doc_id
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions
+from .common import checkpoint, measured_checkpoint, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3.0
@@ -78,29 +78,39 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
 def _cut(sizes: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     """source, threshold and `left` of its budget: documents of a smaller hash fit in. Reads source, size and hash only.
 
-    The document at the threshold stays out, or with `nearest` goes in if that comes nearer.
+    The document at the threshold stays out, or with `nearest` goes in if that comes nearer. A source is settled once the bucket where its
+    budget ends holds a single hash; after the first level only rows of buckets that are still open are read.
     """
     # prefix: leading bits already decided; budget: words still to take inside the bucket
-    state = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"))
-    left = HASH_BITS
+    state = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(None).cast("long").alias("threshold"))
+    rows, left = sizes.where("size > 0").select("source", "size", "h"), HASH_BITS
     while left:
-        bits = min(LEVEL_BITS, left)
+        above, bits = left, min(LEVEL_BITS, left)
         left -= bits
-        inside = sizes.where("size > 0").join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        inside = inside.where(F.shiftright("h", left + bits) == F.col("prefix"))
-        sums = inside.groupBy("s", "budget", F.shiftright("h", left).alias("bucket")).agg(F.sum("size").alias("words"))
+        open_ = state.where("threshold IS NULL").select(F.col("source").alias("s"), "budget", "prefix")
+        inside = rows.join(open_, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", above) == F.col("prefix"))
+        sums = inside.groupBy("s", "budget", F.shiftright("h", left).alias("bucket")).agg(
+            F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"))
         # at most 1,024 buckets a source
         upto = F.sum("words").over(Window.partitionBy("s").orderBy("bucket"))
         edges = sums.withColumn("upto", upto).where("upto > budget")
-        edge = edges.groupBy("s").agg(F.min_by(F.struct("bucket", "words", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget")), "bucket").alias("e"))
+        here = F.struct("bucket", "words", "low", "high", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget"))
+        edge = edges.groupBy("s").agg(F.min_by(here, "bucket").alias("e"))
         joined = state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
         # no edge: a source without words, or one whose words all fit
-        past = F.col("prefix") * F.lit(1 << bits) + F.when(F.col("budget") > 0, (1 << bits) - 1).otherwise(0)
-        bucket, rest = F.coalesce("e.bucket", past), F.coalesce("e.budget", F.col("budget"))
-        if not left and nearest:
-            bucket = bucket + F.coalesce((F.col("e.budget") > F.col("e.words") / 2).cast("long"), F.lit(0))
-        state = checkpoint(joined.select("source", rest.alias("budget"), bucket.alias("prefix")))
-    return state.select("source", F.col("prefix").alias("threshold"), F.col("budget").alias("left"))
+        past = F.shiftleft("prefix", above) + F.when(F.col("budget") > 0, F.lit((1 << above) - 1)).otherwise(F.lit(0).cast("long"))
+        single = F.when(F.col("e.low") == F.col("e.high"), F.col("e.low"))
+        if nearest:
+            single = single + (F.col("e.budget") > F.col("e.words") / 2).cast("long")
+        settled = F.coalesce("threshold", F.when(F.col("e").isNull(), past).otherwise(single))
+        state = measured_checkpoint(joined.select("source", F.coalesce("e.budget", "budget").alias("budget"), F.coalesce("e.bucket", "prefix").alias("prefix"),
+                                         settled.alias("threshold")))
+        if state.where("threshold IS NULL").isEmpty():
+            break
+        if above == HASH_BITS:
+            edge = state.where("threshold IS NULL").select(F.col("source").alias("s"), "prefix")
+            rows = checkpoint(rows.join(edge, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", left) == F.col("prefix")).select("source", "size", "h"))
+    return state.select("source", "threshold", F.col("budget").alias("left"))
 
 
 def mixing_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
