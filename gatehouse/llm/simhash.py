@@ -125,5 +125,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows, roots = near_components(texts)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     kept = rows.join(roots, "node").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
-    once = texts.withColumn("_row", row_key()).dropDuplicates(["_row"])
+    once = texts.withColumn("_row", row_key()).dropDuplicates(["doc_id", "_row"])
     return once.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.where(nothing))
